@@ -103,7 +103,7 @@ UNION ALL SELECT i.slot, l.word FROM items i, lex l WHERE i.slot NOT IN (SELECT
 )
 def slot_candidates(spark, sf):
     trials, _, model = fitted(spark, sf)
-    shift = F.explode(F.array(F.lit(0), F.lit(1000)))
-    items = trials.select((F.col("word_idx") + shift).alias("slot")).distinct()
+    both = F.explode(F.array(F.col("word_idx"), F.col("word_idx") + 1000)).alias("slot")
+    items = trials.select(both).distinct()
     lexicon = px.table(spark, sf, "part").select(F.col("p_brand").alias("word")).distinct()
     return lm.slot_candidates(items, model, lexicon)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,23 @@ def build_session(master: str | None = None, app: str = "subvox", **conf: str) -
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives Python workers this package, as ``--py-files`` would; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="subvox-")) / "subvox"), "zip", root, "subvox")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
