@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later lambdas read many times and that must be computed once per row.
+
+    The optimizer inlines a plain projection into every use, also inside lambdas where it
+    would run per element; a generator of one element keeps the value.
+    """
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def microvolts_per_count(bits: int = 16, vref: float = 2.4, gain: float = 24.0) -> float:
     return vref / gain / (2 ** (bits - 1) - 1) * 1e6
 

@@ -83,11 +83,10 @@ def slot_candidates(items: DataFrame, lm: TrialLM, lexicon: DataFrame | None = N
     cands = lm.slot_words
     if lexicon is not None:
         known = cands.join(lexicon.select("word").distinct(), "word", "left_semi")
-        unseen = items.select("slot").distinct().join(lm.slot_words.select("slot").distinct(), "slot", "left_anti")
-        whole = lexicon.groupBy().agg(F.collect_set("word").alias("_w"))
-        # The lexicon is a closed vocabulary; one row of it is attached to the few unseen slots.
-        empty = unseen.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
-        cands = known.unionByName(empty.select("slot", F.explode("_w").alias("word")))
+        unseen = items.select("slot").distinct().join(known.select("slot").distinct(), "slot", "left_anti")
+        # The lexicon is a closed vocabulary; one array of it serves the few slots without words.
+        whole = lexicon.groupBy().agg(F.collect_set("word")).scalar()
+        cands = known.unionByName(unseen.withColumn("_w", whole).select("slot", F.explode("_w").alias("word")))
     return spread_join(items, cands, ["slot"])
 
 

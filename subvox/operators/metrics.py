@@ -14,10 +14,6 @@ from subvox.plans.joins import spread_join
 from subvox.plans.ordered import exact_percentiles
 
 
-def _per(*cols: str) -> list[str]:
-    return [c for c in cols if c]
-
-
 def classification_metrics(pred: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Recall, precision and F1 of every label of ``labels(label)``; absent labels get 0.
 
@@ -42,10 +38,8 @@ def classification_metrics(pred: DataFrame, labels: DataFrame, keys: Sequence[st
         F.sum(F.when((F.col("e.s") == "r") & F.col("ok"), F.col("n")).otherwise(0)).alias("n_ok"),
     )
     if keys:
-        groups = cells.select(*keys).distinct()
-        names = groups.withColumn("label", F.lit(None).cast("string")).limit(0)
-        listed = labels.groupBy().agg(F.collect_set("label").alias("_l"))
-        names = groups.join(listed).select(*keys, F.explode("_l").alias("label"))
+        listed = labels.groupBy().agg(F.collect_set("label")).scalar()
+        names = cells.select(*keys).distinct().withColumn("_l", listed).select(*keys, F.explode("_l").alias("label"))
         per = names.join(per, [*keys, "label"], "left")
     else:
         per = labels.select("label").join(per, "label", "left")

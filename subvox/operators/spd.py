@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from subvox.functions import kernels as k
+from subvox.functions.arrays import once
 from subvox.functions.fixed import SPD_ETA, SPD_STEP_MS, SPD_WINDOW_MS
 from subvox.plans.draws import draw, quota_cut, uniform
 from subvox.plans.joins import spread_join
@@ -44,11 +45,10 @@ def diagonal_places(channels: Column) -> Column:
 
 def spd_regularize(df: DataFrame, eta: float = SPD_ETA, cov: str = "cov") -> DataFrame:
     """``(1 - eta) E + eta * trace(E) / C * I`` on upper triangles."""
-    places = diagonal_places(F.col("channels"))
-    trace = F.aggregate(places, F.lit(0.0), lambda s, p: s + F.get(cov, p))
-    lifted = df.withColumn("_p", places).withColumn("_t", F.lit(eta) * trace / F.col("channels"))
+    df = once(df, _p=diagonal_places(F.col("channels")))
+    df = once(df, _t=F.aggregate("_p", F.lit(0.0), lambda s, p: s + F.get(cov, p)) * F.lit(eta) / F.col("channels"))
     value = F.transform(cov, lambda v, i: v * F.lit(1 - eta) + F.when(F.array_contains("_p", i), F.col("_t")).otherwise(0.0))
-    return lifted.withColumn(cov, value).drop("_p", "_t")
+    return df.withColumn(cov, value).drop("_p", "_t")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -178,7 +178,7 @@ def augment_sigma(
     dropped = F.transform(
         F.when(n_feat > 0, F.sequence(F.lit(1), n_feat)).otherwise(none), lambda m: F.floor(unit(F.lit("f"), m) * d).cast("int")
     )
-    marked = keyed.withColumn("_t", masked).withColumn("_f", dropped)
+    marked = once(keyed, _t=masked, _f=dropped)
 
     def noisy(v: Column, i: Column) -> Column:
         u1, u2 = unit("frame", i, F.lit("a")), unit("frame", i, F.lit("b"))
