@@ -22,9 +22,9 @@ LABELS = [f"w{i}" for i in range(64)]
     "score_probabilities",
     """WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: exp(4 * v::DOUBLE)) AS e FROM embeddings),
 q AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM p),
-s AS (SELECT vec_id, p, list_max(p) AS conf, list_position(p, list_max(p)) AS at, list_reverse_sort(p) AS r,
-             list_sum(list_transform(p, lambda v: -greatest(v, 1e-12::DOUBLE) * ln(greatest(v, 1e-12::DOUBLE)))) / ln(64) AS h FROM q)
-SELECT vec_id AS frame, 'w' || (at - 1) AS token, round(conf, 6) AS confidence, round(h, 6) AS entropy, round(r[1] - r[2], 6) AS margin,
+s AS (SELECT vec_id, p, list_max(p) AS conf, list_position(p, list_max(p)) AS place, list_reverse_sort(p) AS r,
+             list_sum(list_transform(p, lambda v: (0 - greatest(v, 1e-12::DOUBLE)) * ln(greatest(v, 1e-12::DOUBLE)))) / ln(64) AS h FROM q)
+SELECT vec_id AS frame, 'w' || (place - 1) AS token, round(conf, 6) AS confidence, round(h, 6) AS entropy, round(r[1] - r[2], 6) AS margin,
        (h > 0.97::DOUBLE OR r[1] - r[2] < 0.002::DOUBLE) AS abstain FROM s""",
 )
 def score_probabilities(spark, sf):
@@ -162,7 +162,7 @@ PREDS_SQL = f"{px.PX_SIGNAL_SQL}, p AS (SELECT session_id, sample AS step, label
 def predictions(spark, sf):
     s = px.px_signal(spark, sf)
     return s.select(
-        "session_id", F.col("sample").alias("step"), (F.unix_micros("ts") / 1e6).alias("t"), F.col("label").alias("token"),
+        "session_id", F.col("sample").alias("step"), (px.micros("ts") / 1e6).alias("t"), F.col("label").alias("token"),
         F.least(F.lit(1.0), F.lit(0.6) + F.col("x") / 100).alias("confidence"), F.lit(None).cast("double").alias("snr_db"), (F.col("x") < 1.0).alias("abstain"),
     )
 
@@ -220,13 +220,13 @@ def recalibration_monitor(spark, sf):
 
 @query(
     "session_recal_check",
-    f"""WITH {px.PX_SESSIONS_SQL} SELECT session_id, round(greatest(baseline - snr_db, 0.0), 5) AS snr_deficit_db, snr_db < baseline - 3 AS suggested,
+    f"""WITH {px.PX_SESSIONS_SQL} SELECT session_id, round(greatest(baseline - snr_db, 0.0), 7) AS snr_deficit_db, snr_db < baseline - 3 AS suggested,
   CAST((greatest(baseline - snr_db, 0.0) >= 3)::INT + (snr_db / 50 >= 0.4)::INT AS BIGINT) AS n_reasons FROM px_sessions""",
 )
 def session_recal_check(spark, sf):
     s = px.px_sessions(spark, sf).withColumn("motion_index", F.col("snr_db") / 50)
     out = mon.session_recal_check(s)
-    return out.select("session_id", F.round("snr_deficit_db", 5).alias("snr_deficit_db"), "suggested", F.size("reasons").cast("long").alias("n_reasons"))
+    return out.select("session_id", F.round("snr_deficit_db", 7).alias("snr_deficit_db"), "suggested", F.size("reasons").cast("long").alias("n_reasons"))
 
 
 @query(
@@ -237,7 +237,7 @@ p AS (SELECT session_id, min(t) AS t FROM e GROUP BY session_id
 SELECT session_id, t / 1000000.0::DOUBLE AS t FROM p""",
 )
 def throttle(spark, sf):
-    e = px.px_signal(spark, sf).select("session_id", (F.unix_micros("ts") / 1e6).alias("t"))
+    e = px.px_signal(spark, sf).select("session_id", (px.micros("ts") / 1e6).alias("t"))
     return mon.throttle(e, ["session_id"], 86_400.0)
 
 
@@ -295,7 +295,7 @@ def decoding(spark, sf):
     words = px.table(spark, sf, "part").select(F.col("p_partkey").alias("utt_id"), F.lower("p_type").alias("ref"))
     refs = utts.select("utt_id", "trial_id", "slot").join(words, "utt_id")
     trials = refs.select("trial_id", F.col("slot").alias("word_idx"), F.col("ref").alias("label"))
-    return utts, refs, lexicon, lmod.fit_trial_lm(trials, max_trial=1 << 40, date_slots=False)
+    return utts, refs, lexicon, lmod.fit_trial_lm(trials, max_trial=1 << 40, date_slots=False).saved()
 
 
 def _scores(spark, sf):

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 from subvox.catalog.registry import query
 from subvox.operators import splits as sp
 from subvox.plans import proxies as px
+from subvox.session import cut_lineage
 
 VAL_SQL = "CASE WHEN n <= 1 THEN 0 ELSE least(greatest(1, CAST(round_even(n * CAST('{f}' AS DOUBLE), 0) AS BIGINT)), n - 1) END"
 
 
+def spans(spark, sf):
+    """The spans, written once: a split reads its events several times."""
+    return cut_lineage(px.px_spans(spark, sf))
+
+
 @query(
     "split_stratified",
     f"""WITH {px.PX_SPANS_SQL}, r AS (
@@ -19,7 +25,7 @@ VAL_SQL = "CASE WHEN n <= 1 THEN 0 ELSE least(greatest(1, CAST(round_even(n * CA
 SELECT session_id, event_id, label, CASE WHEN rn <= {VAL_SQL.format(f="0.25")} THEN 'val' ELSE 'train' END AS split FROM r""",
 )
 def split_stratified(spark, sf):
-    s = sp.split_stratified(px.px_spans(spark, sf), ["session_id", "event_id"], 0.25, 1337)
+    s = sp.split_stratified(spans(spark, sf), ["session_id", "event_id"], 0.25, 1337)
     return s.select("session_id", "event_id", "label", "split")
 
 
@@ -83,7 +89,7 @@ def split_merged(spark, sf):
 SELECT label, CASE WHEN rn <= {VAL_SQL.format(f="0.1")} THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM r GROUP BY ALL""",
 )
 def resolve_split(spark, sf):
-    s = sp.resolve_split(px.px_spans(spark, sf), "auto", key=["session_id", "event_id"], fraction=0.1, seed=5)
+    s = sp.resolve_split(spans(spark, sf), "auto", key=["session_id", "event_id"], fraction=0.1, seed=5)
     return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,4 +112,4 @@ SELECT session_id, event_id, label FROM px_spans
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY md5('3:' || session_id || ':' || event_id)) <= 20""",
 )
 def sample_events(spark, sf):
-    return sp.sample_events(px.px_spans(spark, sf), 20, 3, ["session_id", "event_id"]).select("session_id", "event_id", "label")
+    return sp.sample_events(spans(spark, sf), 20, 3, ["session_id", "event_id"]).select("session_id", "event_id", "label")

@@ -49,7 +49,7 @@ def confidence_threshold(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = F.when(F.col("ref") == F.col("hyp"), F.col("conf"))
     out = pred.groupBy(*keys).agg(F.avg(right).alias("_m"), F.stddev_pop(right).alias("_s"), F.count(right).alias("n_correct"))
     level = F.greatest(F.lit(0.5), F.least(F.lit(0.95), F.col("_m") - 2 * F.col("_s")))
-    return out.select(*keys, F.coalesce(level, F.lit(0.70)).alias("threshold"), "n_correct")
+    return out.select(*keys, F.when(F.col("n_correct") > 0, level).otherwise(0.70).alias("threshold"), "n_correct")
 
 
 def pooled_features(sequences: DataFrame, keys: Sequence[str] = ("session_id", "event_id")) -> DataFrame:

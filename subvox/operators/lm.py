@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from subvox.functions.fixed import MONTHS, TRAIN_TRIALS, WEEKDAYS
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import drop_halo, halo_window, with_halo
+from subvox.session import cut_lineage
 
 #: Words of one trial that a window task sees at once; longer trials are split with a halo.
 TRIAL_CHUNK = 4096
@@ -24,6 +25,10 @@ class TrialLM:
     slot_words: DataFrame  # slot, word: allowed candidates (counted words and fixed sets)
     backoff: float = 0.1
 
+    def saved(self) -> TrialLM:
+        """The same model with its tables written once; for use in many joins."""
+        return replace(self, **{f: cut_lineage(getattr(self, f)) for f in ("slot", "bigram", "trigram", "slot_words")})
+
 
 def with_history(events: DataFrame, trial: str = "trial_id", slot: str = "word_idx", word: str = "label") -> DataFrame:
     """Adds the previous two words of the trial."""
@@ -50,11 +55,13 @@ def fit_trial_lm(
     """Counts on the training trials, then ``ln((c + .1) / (total + .1 * vocabulary))``.
 
     The words are counted once as ``(slot, prev2, prev, word)``; the three models are
-    sums of that table, so events are shuffled once whatever their number.
+    sums of that table, which is written once, so events are read and shuffled once.
     """
     words = with_history(events.where(F.col(trial) < max_trial).select(trial, slot, word), trial, slot, word)
-    grams = words.groupBy(F.col(slot).cast("long").alias("slot"), "prev2", "prev", F.col(word).alias("word")).agg(
-        F.count(F.lit(1)).alias("n")
+    grams = cut_lineage(
+        words.groupBy(F.col(slot).cast("long").alias("slot"), "prev2", "prev", F.col(word).alias("word")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
     )
 
     def counts(*cols: str) -> DataFrame:

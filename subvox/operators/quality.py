@@ -103,9 +103,12 @@ def welch_snr(blocks: DataFrame, lengths: DataFrame, noise: tuple[float, float]
     )
     brief = rows.select(*facts, "channels", F.flatten("r.samples").alias("samples")).mapInPandas(small, sums)
     total = within.unionByName(between).unionByName(brief).groupBy("session_id", "channel").agg(
-        (F.sum("signal") / F.greatest(F.sum("noise") / F.sum("n"), F.lit(1e-12)) / F.sum("n")).alias("ratio")
+        (F.sum("signal") / F.sum("n")).alias("_s"), (F.sum("noise") / F.sum("n")).alias("_n")
     )
-    return total.withColumn("snr_db", _decibel(F.greatest("ratio", F.lit(1e-12))))
+    # ``greatest`` skips nulls, so an undefined band has to be kept apart.
+    ratio = F.when(F.col("_n").isNotNull(), F.col("_s") / F.greatest("_n", F.lit(1e-12)))
+    out = total.select("session_id", "channel", ratio.alias("ratio"))
+    return out.withColumn("snr_db", F.when(F.col("ratio").isNotNull(), _decibel(F.greatest("ratio", F.lit(1e-12)))))
 
 
 def session_snr(per_channel: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ def window_cov(events: DataFrame, win: int, step: int, keys: Sequence[str] = ("s
             for i in range(len(pdf)):
                 row = pdf.iloc[i]
                 cov = k.upper(k.covariances(k.frames(row["samples"], row["channels"]), win, step))
+                if not len(cov):
+                    continue
                 yield pd.DataFrame(
                     {**{c: [row[c]] * len(cov) for c in keys}, "frame": range(len(cov)), "channels": int(row["channels"]), "cov": list(cov)}
                 )

@@ -6,7 +6,7 @@ Each view has a SQL twin used by the DuckDB checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subvox.plans.ordered import add_position, drop_halo, halo_window, running_sum, with_halo
@@ -16,12 +16,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
 def px_signal(spark: SparkSession, folder: str) -> DataFrame:
     """One-channel samples: a user is a session, the time order is the sample index."""
     rows = table(spark, folder, "events").select(
         F.col("user_id").alias("session_id"), "ts", "event_id", F.col("value").alias("x"), F.col("event_type").alias("label")
     )
-    rows = add_position(rows, ["session_id"], ["ts", "event_id"], on=F.unix_micros("ts"), name="sample")
+    rows = add_position(rows, ["session_id"], ["ts", "event_id"], on=micros("ts"), name="sample")
     return rows.select("session_id", "sample", "x", "label", "ts")
 
 
@@ -174,7 +179,7 @@ def px_packets(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey", "l_quantity", "l_extendedprice",
     )
     order = ["l_shipdate", "sample_index", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    ranked = add_position(lines, ["device_id"], order, on=F.unix_micros("l_shipdate"), name="arrival_no")
+    ranked = add_position(lines, ["device_id"], order, on=micros("l_shipdate"), name="arrival_no")
     return ranked.select(
         "device_id", "arrival_no", "sample_index", F.col("l_quantity").cast("long").alias("frames"),
         F.col("l_extendedprice").alias("x"),
