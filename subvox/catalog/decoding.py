@@ -203,10 +203,10 @@ def low_streaks(spark, sf):
 @query(
     "recalibration_monitor",
     f"""WITH RECURSIVE {px.PX_QUALITY_SQL}, r AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS seq, snr_db FROM px_quality WHERE snr_db IS NOT NULL),
-e AS (SELECT session_id, seq, snr_db AS ema, CASE WHEN 20.0 - snr_db >= 3 THEN 1 ELSE 0 END AS streak FROM r WHERE seq = 0
-      UNION ALL SELECT session_id, seq, ema, CASE WHEN 20.0 - ema >= 3 THEN streak + 1 ELSE 0 END FROM (
+e AS (SELECT session_id, seq, snr_db AS ema, CASE WHEN 20.0::DOUBLE - snr_db >= 3 THEN 1 ELSE 0 END AS streak FROM r WHERE seq = 0
+      UNION ALL SELECT session_id, seq, ema, CASE WHEN 20.0::DOUBLE - ema >= 3 THEN streak + 1 ELSE 0 END FROM (
         SELECT r.session_id, r.seq, 0.85::DOUBLE * e.ema + 0.15::DOUBLE * r.snr_db AS ema, e.streak FROM e JOIN r ON r.session_id = e.session_id AND r.seq = e.seq + 1))
-SELECT session_id, seq, round(ema, 6) AS snr_ema, round(greatest(0.0, 20.0 - ema), 6) AS snr_deficit_db, CAST(streak AS BIGINT) AS low_streak, streak >= 3 AS suggested FROM e""",
+SELECT session_id, seq, ema AS snr_ema, greatest(0.0::DOUBLE, 20.0::DOUBLE - ema) AS snr_deficit_db, CAST(streak AS BIGINT) AS low_streak, streak >= 3 AS suggested FROM e""",
 )
 def recalibration_monitor(spark, sf):
     q = px.px_quality(spark, sf)
@@ -215,7 +215,7 @@ def recalibration_monitor(spark, sf):
         "session_id", (F.col("nth") - 1).alias("seq"), F.col("nth").cast("double").alias("t"), "snr_db", F.lit(0.0).alias("motion_index"), F.lit(20.0).alias("baseline")
     )
     out = mon.recalibration_monitor(readings)
-    return out.select("session_id", "seq", F.round("snr_ema", 6).alias("snr_ema"), F.round("snr_deficit_db", 6).alias("snr_deficit_db"), "low_streak", "suggested")
+    return out.select("session_id", "seq", "snr_ema", "snr_deficit_db", "low_streak", "suggested")
 
 
 @query(

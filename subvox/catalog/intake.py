@@ -157,7 +157,7 @@ def stream_recalibration(spark, sf):
         "session_id", (F.col("nth") - 1).alias("seq"), F.col("nth").cast("double").alias("t"), "snr_db", F.lit(0.0).alias("motion_index"), F.lit(20.0).alias("baseline")
     )
     out = live_run(spark, readings, "session_id", "seq", live.stream_recalibration)
-    return out.select("session_id", "seq", F.round("snr_ema", 6).alias("snr_ema"), F.round("snr_deficit_db", 6).alias("snr_deficit_db"), "low_streak", "suggested")
+    return out.select("session_id", "seq", "snr_ema", "snr_deficit_db", "low_streak", "suggested")
 
 
 @query("stream_throttle", _SQL["throttle"])

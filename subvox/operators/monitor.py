@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subvox.plans.inorder import in_order
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import drop_halo, halo_window, last_known, running_sum, with_halo
 
@@ -111,24 +111,6 @@ def recal_start() -> dict:
     return {"ema": None, "streak": 0, "last_t": 0.0}
 
 
-def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, machine: Callable[[], Callable]) -> DataFrame:
-    """Feeds each key's rows in order through a small state machine.
-
-    Rows stream through in Arrow batches, so memory does not grow with the key; pass only
-    the narrow columns the machine reads. ``machine()`` returns a function from one row to
-    a list of output tuples.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = machine()
-        for pdf in batches:
-            rows = [out for row in pdf.itertuples(index=False) for out in step(row)]
-            yield pd.DataFrame(rows, columns=[f.strip().split(" ")[0] for f in schema.split(",")])
-
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ordered.groupBy(*keys).applyInPandas(run, schema)
-
-
 def stabilize_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """Token events of each session from ``session_id, step, t, token, confidence, snr_db, abstain``."""
     sid = predictions.schema["session_id"].dataType.simpleString()

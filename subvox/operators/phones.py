@@ -22,41 +22,45 @@ def phone_weight(phone: Column, mode: str = "pseudo") -> Column:
     return F.coalesce(F.create_map(*pairs)[F.upper(F.trim(phone))], F.lit(other))
 
 
-def phone_lengths(words: DataFrame, mode: str = "pseudo", least: int = 2) -> DataFrame:
-    """Adds ``lengths``, whole sample counts per phone of a word span.
+def phone_lengths(shapes: DataFrame, mode: str = "pseudo", least: int = 2) -> DataFrame:
+    """Adds ``lengths``, whole sample counts per phone, to rows of ``phones, n``.
 
-    Each phone gets at least ``least`` samples where the span allows it; the rest is
-    shared by weight with the largest remainders rounded up (first phone on ties), so the
-    sum is exactly the span.
+    Each phone gets at least ``least`` samples where ``n`` allows it; the rest is shared by
+    weight with the largest remainders rounded up (first phone on ties), so the sum is ``n``.
     """
-    n, count = F.col("end_sample") - F.col("start_sample"), F.size("phones")
+    n, count = F.col("n"), F.size("phones")
     floor = F.greatest(F.lit(1), F.least(F.lit(least), F.floor(n / count))).cast("long")
-    df = once(words, _w=F.transform("phones", lambda p: phone_weight(p, mode)))
+    df = once(shapes, _w=F.transform("phones", lambda p: phone_weight(p, mode)))
     df = once(df, _sum=F.aggregate("_w", F.lit(0.0), lambda s, w: s + w), _least=floor, _free=F.greatest(n - floor * count, F.lit(0)))
     df = once(df, _share=F.transform("_w", lambda w: F.col("_free") * w / F.col("_sum")))
     left = F.col("_free") - F.aggregate("_share", F.lit(0).cast("long"), lambda s, x: s + F.floor(x))
     ranked = F.sort_array(F.transform("_share", lambda x, i: F.struct(F.round(-(x - F.floor(x)), 9).alias("f"), i.alias("i"))))
     df = once(df, _up=F.slice(F.transform(ranked, lambda e: e["i"]), 1, left.cast("int")))
     lengths = F.transform("_share", lambda x, i: F.col("_least") + F.floor(x) + F.array_contains("_up", i).cast("long"))
-    return once(df, lengths=lengths).drop("_w", "_sum", "_least", "_free", "_share", "_up")
+    return once(df, lengths=lengths).select("phones", "n", "lengths")
 
 
 def phone_spans(words: DataFrame, mode: str = "pseudo", least: int = 2) -> DataFrame:
-    """Word spans with ``phones`` to phone spans that cover them without gaps."""
+    """Word spans with ``phones`` to phone spans that cover them without gaps.
+
+    The cut depends on the phones and the length of a word only, so it is worked out once
+    per distinct pair and joined to the spans.
+    """
     keep = [c for c in words.columns if c not in ("start_sample", "end_sample", "phones")]
-    rows = words.where((F.size("phones") > 0) & (F.col("end_sample") - F.col("start_sample") >= F.size("phones")))
-    rows = phone_lengths(rows, mode, least)
-    spans = F.transform(
+    sized = words.withColumn("n", F.col("end_sample") - F.col("start_sample"))
+    sized = sized.where((F.size("phones") > 0) & (F.col("n") >= F.size("phones")))
+    shapes = phone_lengths(sized.select("phones", "n").distinct(), mode, least)
+    cut = F.transform(
         "lengths",
-        lambda n, i: F.struct(
+        lambda k, i: F.struct(
             i.alias("phone_idx"), F.get("phones", i).alias("phone"),
-            F.aggregate(F.slice("lengths", 1, i), F.col("start_sample"), lambda s, v: s + v).alias("start_sample"),
-            n.alias("n"),
+            F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda s, v: s + v).alias("at"), k.alias("k"),
         ),
     )
-    out = rows.select(*keep, F.explode(spans).alias("_s"))
-    end = (F.col("_s.start_sample") + F.col("_s.n")).alias("end_sample")
-    return out.select(*keep, "_s.phone_idx", "_s.phone", "_s.start_sample", end)
+    cuts = once(shapes, _cut=cut).select("phones", "n", "_cut")
+    out = spread_join(sized, cuts, ["phones", "n"], salt_by=["start_sample"]).select(*keep, "start_sample", F.explode("_cut").alias("_s"))
+    start = F.col("start_sample") + F.col("_s.at")
+    return out.select(*keep, "_s.phone_idx", "_s.phone", start.alias("start_sample"), (start + F.col("_s.k")).alias("end_sample"))
 
 
 def centroids(vectors: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:

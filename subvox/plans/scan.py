@@ -11,17 +11,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subvox.plans.inorder import in_order
+
 RUN = 1024
 Power = Callable[[str, float, int], "np.ndarray | float"]
 Begin = Callable[[str, float, int], np.ndarray]
 
 
-def _step(power, state: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return (power @ state if np.ndim(power) == 2 else power * state) + own
+def _matrix(values, channels: int) -> np.ndarray:
+    return np.asarray(values, dtype=np.float64).reshape(-1, int(channels))
+
+
+class _Fold:
+    """Own state of a whole run of blocks."""
+
+    def __init__(self, power: Power):
+        self.power, self.state, self.n, self.row = power, None, 0, None
+
+    def __call__(self, row) -> list[tuple]:
+        own = _matrix(row.state, row.channels)
+        self.state = own if self.state is None else _after(self.power, row, self.state)
+        self.n, self.row = self.n + int(row.n), row
+        return []
+
+    def finish(self) -> list[tuple]:
+        r = self.row
+        return [(r.session_id, r.run, self.n, r.mode, r.fs_hz, r.channels, self.state.ravel())]
+
+
+def _after(power: Power, row, state: np.ndarray) -> np.ndarray:
+    p = power(row.mode, float(row.fs_hz), int(row.n))
+    return (p @ state if np.ndim(p) == 2 else p * state) + _matrix(row.state, row.channels)
+
+
+def _walk(power: Power, key: str, first: Callable):
+    """Emits the state before each row, starting from ``first(row)``."""
+    held: list = [None]
+
+    def step(row) -> list[tuple]:
+        state = first(row) if held[0] is None else held[0]
+        held[0] = _after(power, row, state)
+        return [(row.session_id, getattr(row, key), state.ravel())]
+
+    return step
 
 
 def carry_states(parts: DataFrame, power: Power, begin: Begin, run: int = RUN) -> DataFrame:
@@ -32,47 +67,17 @@ def carry_states(parts: DataFrame, power: Power, begin: Begin, run: int = RUN) -
     """
     sid = parts.schema["session_id"].dataType.simpleString()
     runs = parts.withColumn("run", F.floor(F.col("block") / run).cast("long"))
-
-    def matrix(row) -> np.ndarray:
-        return np.asarray(row.state, dtype=np.float64).reshape(-1, int(row.channels))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        first = pdf.iloc[0]
-        state = np.zeros_like(matrix(first))
-        for row in pdf.itertuples(index=False):
-            state = _step(power(row.mode, float(row.fs_hz), int(row.n)), state, matrix(row))
-        return pd.DataFrame(
-            [(first.session_id, first.run, int(pdf["n"].sum()), first["mode"], first.fs_hz, first.channels, state.ravel())],
-            columns=["session_id", "run", "n", "mode", "fs_hz", "channels", "state"],
-        )
-
-    folded = runs.groupBy("session_id", "run").applyInPandas(
-        fold, f"session_id {sid}, run bigint, n bigint, mode string, fs_hz double, channels int, state array<double>"
+    keys = ["session_id", "run"]
+    folded = in_order(
+        runs, keys, ["block"],
+        f"session_id {sid}, run bigint, n bigint, mode string, fs_hz double, channels int, state array<double>",
+        lambda: _Fold(power),
     )
-
-    def carries(pdf: pd.DataFrame, key: str, state: np.ndarray | None = None) -> list[tuple]:
-        out = []
-        for row in pdf.sort_values(key).itertuples(index=False):
-            if state is None:
-                state = begin(row.mode, float(row.fs_hz), int(row.channels))
-            out.append((row.session_id, getattr(row, key), state.ravel()))
-            state = _step(power(row.mode, float(row.fs_hz), int(row.n)), state, matrix(row))
-        return out
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(carries(pdf, "run"), columns=["session_id", "run", "carry"])
-
-    starts = folded.groupBy("session_id").applyInPandas(scan, f"session_id {sid}, run bigint, carry array<double>")
-
-    def spread(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=["session_id", "block", "carry"])
-        state = np.asarray(start["carry"].iloc[0], dtype=np.float64).reshape(-1, int(pdf["channels"].iloc[0]))
-        return pd.DataFrame(carries(pdf, "block", state), columns=["session_id", "block", "carry"])
-
-    return (
-        runs.groupBy("session_id", "run")
-        .cogroup(starts.groupBy("session_id", "run"))
-        .applyInPandas(spread, f"session_id {sid}, block bigint, carry array<double>")
+    starts = in_order(
+        folded, ["session_id"], ["run"], f"session_id {sid}, run bigint, start array<double>",
+        lambda: _walk(power, "run", lambda row: begin(row.mode, float(row.fs_hz), int(row.channels))),
+    )
+    return in_order(
+        runs.join(starts, keys), keys, ["block"], f"session_id {sid}, block bigint, carry array<double>",
+        lambda: _walk(power, "block", lambda row: _matrix(row.start, row.channels)),
     )
