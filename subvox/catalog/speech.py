@@ -372,3 +372,31 @@ def phone_error_rate_coded(spark, sf):
     pairs = pairs.join(coded.select(F.col("p_partkey").alias("l_suppkey"), F.col("code").alias("ref")), "l_suppkey")
     r = m.distance_rate(pairs, "hyp", "ref")
     return r.select("distance", "ref_length", F.round("rate", 6).alias("rate"), "n")
+
+
+@query("quality_events")
+def quality_events(spark, sf):
+    from subvox.operators import quality as ql
+
+    ev = frame_events(spark, sf).withColumn("low_hz", F.lit(8.0)).withColumn("high_hz", F.lit(35.0))
+    out = ql.quality_events(ev, (0.5, 8.0))
+    names = ["snr_db", "band_snr_db", "motion_index", "baseline_wander", "signal_power"]
+    return out.select("event_id", "n_frames", *[F.round(c, 4).alias(c) for c in names])
+
+
+@query(
+    "onboard_users",
+    f"""WITH n AS (SELECT vec_id // {FRAMES_PER_EVENT} AS event_id, count(*) AS n FROM embeddings GROUP BY ALL),
+b AS (SELECT event_id % 3 AS user_id, CAST(sum((n - 8) // 4 + 1) AS BIGINT) AS basis_matrices FROM n WHERE n >= 8 GROUP BY ALL)
+SELECT user_id, basis_matrices, round(coalesce(c_acctbal / 20000, 0.7), 6) AS confidence_threshold, CAST(600 AS BIGINT) AS window_ms
+FROM b LEFT JOIN customer ON c_custkey = user_id AND c_custkey <> 1""",
+)
+def onboard_users(spark, sf):
+    from subvox.operators.onboarding import onboard
+
+    ev = frame_events(spark, sf).withColumn("user_id", F.col("event_id") % 3)
+    known = px.table(spark, sf, "customer").where("c_custkey <> 1").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 20000).alias("confidence_threshold")
+    )
+    _, rows = onboard(ev, known, 8, 4)
+    return rows.select("user_id", "basis_matrices", F.round("confidence_threshold", 6).alias("confidence_threshold"), F.col("window_ms").cast("long").alias("window_ms"))

@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subvox.functions.arrays import once
 from subvox.functions.fixed import MONTHS, WEEKDAYS, YEAR_PREFIXES
 from subvox.plans.draws import draw, uniform, uniform_int
-from subvox.plans.joins import spread_join
 from subvox.plans.ordered import exact_percentiles
 
 
@@ -67,34 +67,22 @@ def distance_rate(pairs: DataFrame, hyp: str, ref: str, keys: Sequence[str] = ()
     return out.withColumn("rate", F.col("distance") / F.greatest(F.col("ref_length"), F.lit(1)))
 
 
-def one_char_tokens(tokens: DataFrame, token: str, vocabulary: DataFrame) -> DataFrame:
-    """Adds ``code``, one character per distinct token of ``vocabulary(token)``.
-
-    The vocabulary is closed (words of a lexicon); codes start past the ASCII range.
-    """
-    ranked = vocabulary.select(token).distinct().withColumn("_r", F.row_number().over(Window.orderBy(token)))
-    point = F.lit(0x4E00) + F.col("_r")
-    coded = ranked.select(token, F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE").alias("code"))
-    return spread_join(tokens, coded, [token], salt_by=tokens.columns[:2])
-
-
 def word_error_rate(pred: DataFrame, trial: str = "trial_id", slot: str = "word_idx", segment: int = 512) -> DataFrame:
     """Corpus WER: edit distance per trial, summed, over the number of words.
 
-    Trials longer than ``segment`` words are aligned segment by segment, so a trial of
-    any length stays in bounded tasks.
+    Trials longer than ``segment`` words are aligned segment by segment, so a trial of any
+    length stays in bounded tasks. Inside a segment every distinct word stands for one
+    character, which makes the built-in string distance a word distance.
     """
-    words = pred.select(F.explode(F.array("ref", "hyp")).alias("word")).distinct()
-    numbered = words.withColumn("_r", F.row_number().over(Window.orderBy("word")))
-    point = F.lit(0x4E00) + F.col("_r")
-    codes = numbered.select("word", F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE").alias("c"))
-    coded = spread_join(pred, codes.select(F.col("word").alias("ref"), F.col("c").alias("_rc")), ["ref"], salt_by=[trial, slot])
-    coded = spread_join(coded, codes.select(F.col("word").alias("hyp"), F.col("c").alias("_hc")), ["hyp"], salt_by=[trial, slot])
     part = F.floor(F.col(slot) / segment)
-    lines = coded.groupBy(trial, part.alias("_part")).agg(
-        F.sort_array(F.collect_list(F.struct(slot, "_rc", "_hc"))).alias("w")
-    )
-    strings = lines.select(F.array_join("w._rc", "").alias("ref"), F.array_join("w._hc", "").alias("hyp"))
+    lines = pred.groupBy(trial, part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct(slot, "ref", "hyp"))).alias("w"))
+    lines = once(lines, known=F.array_distinct(F.concat("w.ref", "w.hyp")))
+
+    def letters(words: Column) -> Column:
+        code = lambda w: F.lit(0x4E00) + F.array_position("known", w)
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(code(w))), "UTF-16BE")), "")
+
+    strings = lines.select(letters(F.col("w.ref")).alias("ref"), letters(F.col("w.hyp")).alias("hyp"))
     return distance_rate(strings, "hyp", "ref").select(
         "distance", F.col("ref_length").alias("n_words"), F.col("rate").alias("wer")
     )

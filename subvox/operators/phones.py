@@ -115,7 +115,7 @@ def separability(vectors: DataFrame, phone: str = "phone", value: str = "v") ->
     low = F.get("_d", F.floor(half).cast("int"))
     high = F.get("_d", F.ceil(half).cast("int"))
     sides = sides.withColumn("median_between", (low + high) / 2).drop("_d")
-    out = sides.join(inside, "_g").drop("_g")
+    out = sides.withColumn("median_within", inside.select("median_within").scalar()).drop("_g")
     ratio = F.when(F.col("median_within") > 0, F.col("median_between") / (F.col("median_within") + F.lit(1e-9)))
     return out.withColumn("between_over_within", ratio)
 

@@ -52,16 +52,13 @@ def ship_package(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a fresh local folder only when it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        folder = tempfile.mkdtemp(prefix="subvox-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if current and (shared is None or current.split(":", 1)[-1].startswith(shared.split(":", 1)[-1])):
+        return current
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="subvox-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

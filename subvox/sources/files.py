@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ast
 import io
-import json
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -254,6 +253,3 @@ def write_tables(df: DataFrame, path: str, *, mode: str = "append") -> None:
     spread = df.repartition(F.col("session_id"), F.col("block")) if "block" in df.columns else df
     spread.write.mode(mode).partitionBy("session_id").parquet(path)
 
-
-def meta_json(**facts) -> str:
-    return json.dumps(facts)
