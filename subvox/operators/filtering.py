@@ -85,19 +85,20 @@ def bandpass_causal(blocks: DataFrame, harmonics: bool = False) -> DataFrame:
 
 
 def motion_sessions(blocks: DataFrame, cut_hz: float = 5.0) -> DataFrame:
-    """Motion index and baseline wander of whole sessions (mean over channels).
+    """Motion index, baseline wander and RMS power of whole sessions (means over channels).
 
     The low-pass runs through the block scan, but only sums of squares leave the tasks.
+    Sessions whose rate cannot carry the cut have no motion.
     """
-    slow = blocks.where(F.col("fs_hz") / 2 > cut_hz)
-    joined = slow.join(_carries(slow, lambda mode, fs: low_filter(4, cut_hz, fs), False), ["session_id", "block"])
+    carries = _carries(blocks.where(F.col("fs_hz") / 2 > cut_hz), lambda mode, fs: low_filter(4, cut_hz, fs), False)
+    joined = blocks.join(carries, ["session_id", "block"], "left")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for s, fs, c, x, z in zip(pdf["session_id"], pdf["fs_hz"], pdf["channels"], pdf["samples"], pdf["carry"]):
                 data = frames(x, c)
-                y, _ = low_filter(4, cut_hz, fs).run(data, frames(z, c))
+                y = np.zeros_like(data) if z is None else low_filter(4, cut_hz, fs).run(data, frames(z, c))[0]
                 rows += zip([s] * c, range(c), [len(data)] * c, (data**2).sum(axis=0), (y**2).sum(axis=0))
             yield pd.DataFrame(rows, columns=["session_id", "channel", "n", "xx", "yy"])
 
@@ -108,9 +109,9 @@ def motion_sessions(blocks: DataFrame, cut_hz: float = 5.0) -> DataFrame:
         F.sqrt(F.sum("xx") / F.sum("n")).alias("rms"), F.sqrt(F.sum("yy") / F.sum("n")).alias("wander")
     )
     index = F.least(F.lit(1.0), F.col("wander") / (F.col("rms") + 1e-6))
-    known = per.groupBy("session_id").agg(F.avg(index).alias("motion_index"), F.avg("wander").alias("baseline_wander"))
-    everyone = blocks.select("session_id").distinct()
-    return everyone.join(known, "session_id", "left").fillna(0.0, ["motion_index", "baseline_wander"])
+    return per.groupBy("session_id").agg(
+        F.avg(index).alias("motion_index"), F.avg("wander").alias("baseline_wander"), F.avg("rms").alias("signal_power")
+    )
 
 
 def ema_normalize(blocks: DataFrame, alpha: float = 0.01, gate: DataFrame | None = None) -> DataFrame:

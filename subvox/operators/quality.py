@@ -125,26 +125,10 @@ def quality_notes(snr: Column, motion: Column) -> Column:
     return F.array_compact(F.array(F.when(snr < 10, low), F.when(motion > 0.3, high)))
 
 
-def signal_power(blocks: DataFrame) -> DataFrame:
-    """Mean over channels of the RMS of each session."""
-    n_channels = F.max("channels")
-    energy = F.transform(
-        F.sequence(F.lit(0), F.col("channels") - 1),
-        lambda c: F.aggregate(
-            F.sequence(F.lit(0), F.col("n_frames") - 1),
-            F.lit(0.0),
-            lambda acc, i: acc + F.pow(F.get("samples", i * F.col("channels") + c).cast("double"), F.lit(2)),
-        ),
-    )
-    parts = blocks.select("session_id", "n_frames", F.posexplode(energy).alias("channel", "e"))
-    per = parts.groupBy("session_id", "channel").agg(F.sqrt(F.sum("e") / F.sum("n_frames")).alias("rms"))
-    return per.groupBy("session_id").agg(F.avg("rms").alias("signal_power"))
-
-
 def quality_sessions(blocks: DataFrame, lengths: DataFrame, noise: tuple[float, float] = NOISE_BAND, cut_hz: float = 5.0) -> DataFrame:
     """SNR, motion and power of every session with notes on what is wrong."""
     snr = session_snr(welch_snr(blocks, lengths, noise))
-    out = motion_sessions(blocks, cut_hz).join(snr, "session_id", "left").join(signal_power(blocks), "session_id", "left")
+    out = motion_sessions(blocks, cut_hz).join(snr, "session_id", "left")
     out = out.withColumn(
         "noise_power", F.when(F.col("snr_db").isNotNull(), F.col("signal_power") * F.pow(F.lit(10.0), -F.col("snr_db") / 10)).otherwise(0.0)
     )

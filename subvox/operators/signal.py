@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from subvox.functions.kernels import frames
 from subvox.plans.joins import spread_join
@@ -78,33 +79,50 @@ def mean_abs_offdiag_corr(moment_rows: DataFrame, scope: Sequence[str], min_fram
 
 
 def normalize_blocks(blocks: DataFrame, mode: str = "zscore", scope: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Per-channel normalisation of block rows over a scope (session or trial)."""
+    """Per-channel normalisation of block rows over a scope (session or trial).
+
+    A block gives one row of sums per channel; scopes are merged from those, and the few
+    numbers per channel are joined back to the blocks.
+    """
     scope = list(scope)
-    per = F.transform(
-        F.sequence(F.lit(0), F.col("channels") - 1),
-        lambda c: F.transform(
-            F.sequence(F.lit(0), F.col("n_frames") - 1), lambda i: F.get("samples", i * F.col("channels") + c).cast("double")
-        ),
+    fields = ", ".join(f"{s} {blocks.schema[s].dataType.simpleString()}" for s in scope)
+    names = [*scope, "channel", "n", "s", "q", "lo", "hi"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for *key, c, x in pdf[[*scope, "channels", "samples"]].itertuples(index=False):
+                data = frames(x, c)
+                stats = zip(data.sum(axis=0), (data**2).sum(axis=0), data.min(axis=0), data.max(axis=0))
+                rows += [(*key, i, len(data), *row) for i, row in enumerate(stats)]
+            yield pd.DataFrame(rows, columns=names)
+
+    parts = blocks.select(*scope, "channels", "samples").mapInPandas(
+        sums, f"{fields}, channel int, n bigint, s double, q double, lo double, hi double"
     )
-    rows = blocks.select(*scope, "n_frames", F.posexplode(per).alias("channel", "v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    stats = rows.select(*scope, "channel", "n_frames", total.alias("s"), square.alias("q"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
-    stats = stats.groupBy(*scope, "channel").agg(
-        F.sum("n_frames").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    stats = parts.groupBy(*scope, "channel").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     mean = F.col("s") / F.col("n")
     if mode == "zscore":
         shift, width = mean, F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     else:
         shift, width = F.col("lo"), F.col("hi") - F.col("lo")
-    table = stats.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("channel", shift.alias("a"), width.alias("b")))).alias("_t"))
+    # Channels are few, so their numbers fit one row per scope.
+    table = stats.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("channel", shift.alias("a"), width.alias("b")))).alias("t"))
+    table = table.select(*scope, F.col("t.a").alias("shift"), F.col("t.b").alias("width"))
     joined = spread_join(blocks, table, scope, salt_by=["block"])
-    scaled = F.transform(
-        "samples",
-        lambda x, i: (x.cast("double") - F.get("_t.a", i % F.col("channels"))) / (F.get("_t.b", i % F.col("channels")) + F.lit(EPS)),
-    )
-    return joined.withColumn("samples", scaled).drop("_t")
+    kept = [f for f in blocks.schema if f.name != "samples"]
+
+    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [
+                ((frames(x, c) - np.asarray(a)) / (np.asarray(b) + EPS)).ravel()
+                for c, x, a, b in zip(pdf["channels"], pdf["samples"], pdf["shift"], pdf["width"])
+            ]
+            yield pdf[[f.name for f in kept]].assign(samples=out)
+
+    return joined.mapInPandas(scale, StructType([*kept, StructField("samples", ArrayType(DoubleType()))]))
 
 
 def detect_gaps(packets: DataFrame, chunk: int = 65_536) -> DataFrame:

@@ -17,11 +17,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Step = Callable[[Any, Any], tuple[Any, list[tuple]]]
 
 
-def keyed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], Any], step: Step) -> DataFrame:
-    """``step(state, row) -> (state, rows)`` per row of a key, in the given order."""
+def keyed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], Any], step: Step, idle_ms: int | None = None) -> DataFrame:
+    """``step(state, row) -> (state, rows)`` per row of a key, in the given order.
+
+    With ``idle_ms`` a key that is silent that long gives its state back; use it for
+    queries that run all the time, not for ``availableNow`` runs, which would wait for it.
+    """
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState) -> Iterator[pd.DataFrame]:
+        if saved.hasTimedOut:
+            saved.remove()
+            return
         state = pickle.loads(saved.get[0]) if saved.exists else start()
         out: list[tuple] = []
         rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
@@ -29,6 +36,9 @@ def keyed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema:
             state, more = step(state, row)
             out.extend(more)
         saved.update((pickle.dumps(state),))
+        if idle_ms:
+            saved.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", timeout)
