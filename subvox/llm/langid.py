@@ -29,7 +29,9 @@ GRAMS = 60_000
 #: One in so many sampled texts is held back to calibrate rejection.
 HOLD = 4
 #: Rejection leaves this much room beyond the most unusual held-back text.
-ROOM = 1.5
+ROOM = 2.0
+#: Letters from which on a text's entropy varies by its style rather than by chance.
+STYLE = 200
 #: Letters per unit of evidence in the score.
 EVIDENCE = 40
 DISCOUNT = 0.75
@@ -73,6 +75,11 @@ def gram_hashes(cp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def spread(n):
+    """How far entropies of texts of ``n`` letters scatter, up to a factor."""
+    return np.sqrt(1 / n + 1 / STYLE)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -81,7 +88,7 @@ class Model:
     heads: list[np.ndarray]  # per order above 1: sorted context hashes
     backs: list[np.ndarray]  # per order above 1: log weight of the shorter model, a column per language
     floor: float
-    limits: np.ndarray  # per language: mean entropy, allowed excess times the square root of the length
+    limits: np.ndarray  # per language: mean entropy, allowed excess in units of `spread`
 
     def look_up(self, hashes: list[np.ndarray], order: int, at: np.ndarray) -> np.ndarray:
         """Log probabilities at positions ``at`` by the model of ``order``, backing off where the n-gram is unknown."""
@@ -130,7 +137,7 @@ class Model:
         best = int(np.argmin(entropy))  # ties: the first language by name
         odds = np.exp(-(entropy - entropy[best]) * min(n, EVIDENCE))
         mean, room = self.limits[best]
-        return self.languages[best], float(1 / odds.sum()), float(entropy[best]), bool((entropy[best] - mean) * math.sqrt(n) > room)
+        return self.languages[best], float(1 / odds.sum()), float(entropy[best]), bool(entropy[best] - mean > room * spread(n))
 
 
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, rows: int, languages: int) -> DataFrame:
@@ -243,7 +250,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         own = seen[seen["_lang"] == name]
         if len(own):
             mean = float(np.average(own["entropy"], weights=np.sqrt(own["n"])))
-            excess = float(((own["entropy"] - mean) * np.sqrt(own["n"])).max())
+            excess = float(((own["entropy"] - mean) / spread(own["n"])).max())
             model.limits[i] = mean, max(excess, 1.0) * ROOM
         else:
             model.limits[i] = 0.0, math.inf
