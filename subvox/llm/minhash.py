@@ -6,18 +6,21 @@ empty bin, the same for all documents). ``ROWS`` bins make a band; documents tha
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. A bucket does not emit its pairs:
 its smallest member is the centre of a star, and each edge centre-member is checked on the full sets. Then
-components are found; a bucket that still holds several of them drops its centre (all of whose
-pairs are settled) and makes the next star, to members of other components only. This ends when each bucket is
-one component or is used up, so no pair of different components that shares a bucket stays unchecked.
+components are found. In a bucket that still holds several of them, the members outside its main component are
+compared with the members of other components, in rounds of growing size; sizes and the distances to the star's
+centre (Jaccard distance is a metric) settle most of these pairs without their sets. This ends when each bucket is one
+component or is used up, so no pair of different components that shares a bucket stays undecided.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subvox.llm.common import saved
@@ -28,9 +31,14 @@ BINS = BANDS * ROWS
 SHINGLE = 5
 PERCENT = 80
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: ASCII white space other than the blank, as words are separated by.
-_SPACE = str.maketrans("\t\n\v\f\r", "     ")
+#: Bytes whose words are hashed at once; longer texts go through in slices that end at white space.
+SLICE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Probes per empty bin that are looked up at once.
+PROBES = 64
+#: Outsiders per bucket that are compared in the first round after the stars; each further round takes so many times more.
+CENTRES = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -39,34 +47,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words; remembers a bounded number of them."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return np.array(out, np.uint64)
-
-
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    one = np.full(SLICE, 1, np.uint64)
+    up, down = one.copy(), one.copy()
+    up[1:], down[1:] = np.uint64(_BASE), np.uint64(inverse)
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hash of each word, A-Z in lower case; a word is a run without ASCII white space."""
+    data, out = (text or "").encode("utf-8", "surrogatepass").lower(), []
+    while data:
+        part, data = data[:SLICE], data[SLICE:]
+        if data and not _BLANK[data[0]]:  # the word that is cut goes to the next slice, if another one stands before it
+            whole = max(part.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            if whole >= 0:
+                part, data = part[: whole + 1], part[whole + 1 :] + data
+            else:  # a word longer than a slice
+                end = next((i for i, c in enumerate(data) if _BLANK[c]), len(data))
+                out.append(np.array([int.from_bytes(hashlib.sha256(part + data[:end]).digest()[:8])], np.uint64))
+                data = data[end:]
+                continue
+        x = np.frombuffer(part, np.uint8)
+        blank = np.concatenate([[True], _BLANK[x], [True]])
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers()
+        total = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])])
+        out.append(_mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``n``-word shingles; fewer words: one hash of the whole sequence; none: empty."""
-    words = (text or "").translate(_UPPER).translate(_SPACE).split(" ")
-    words = [w for w in words if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, np.uint64(n))
     for i in range(n):
@@ -74,6 +93,13 @@ def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+@functools.cache
+def _probes(first: int) -> np.ndarray:
+    """Bins that each empty bin tries in turn, the same for all documents."""
+    seed = np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(_BASE) + np.arange(first, first + PROBES, dtype=np.uint64)
+    return (_mix(seed) % np.uint64(BINS)).astype(np.int64)
+
+
 def signature(sets: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of a non-empty set, optimally densified."""
     h = _mix(sets ^ np.uint64(0x5851F42D4C957F2D))
@@ -82,14 +108,13 @@ def signature(sets: np.ndarray) -> np.ndarray:
     np.minimum.at(out, bins, _mix(h))
     full = np.zeros(BINS, bool)
     full[bins] = True
-    empty, attempt = np.flatnonzero(~full), 0
-    source = np.arange(BINS)
+    source, empty, first = np.arange(BINS), np.flatnonzero(~full), 1
     while len(empty):
-        attempt += 1
-        probe = (_mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
-        hit = full[probe]
-        source[empty[hit]] = probe[hit]
-        empty = empty[~hit]
+        tried = _probes(first)[empty]
+        hit = full[tried]
+        done = hit.any(1)
+        source[empty[done]] = tried[done, hit[done].argmax(1)]
+        empty, first = empty[~done], first + PROBES
     return out[source]
 
 
@@ -104,11 +129,10 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
     """Per row of ``_id, _text``: size and 128-bit hash of the set, and the band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for i, t in zip(batch["_id"], batch["_text"]):
-                s = shingles(t, n, hashes)
+                s = shingles(t, n)
                 two = [int(np.bitwise_xor.reduce(_mix(s + np.uint64(k)))) for k in (1, 2)] if len(s) else [0, 0]
                 name = f"{two[0]:016x}{two[1]:016x}" if len(s) else None
                 out.append((None if pd.isna(i) else int(i), len(s), name, band_keys(signature(s)) if len(s) else None))
@@ -119,9 +143,8 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_items": [shingles(t, n, hashes).view(np.int64) for t in batch["_text"]]})
+            yield pd.DataFrame({"_id": batch["_id"], "_items": [shingles(t, n).view(np.int64) for t in batch["_text"]]})
 
     return docs.mapInPandas(run, "_id long, _items array<long>")
 
@@ -149,13 +172,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose full sets agree to ``percent`` of their union."""
+def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, common, union`` of pairs, from the full sets."""
     left = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_items").alias("_x")), "a")
     both = left.join(sets.select(F.col("_id").alias("b"), F.col("_items").alias("_y")), "b")
-    common = F.size(F.array_intersect("_x", "_y")).cast("long")
-    union = F.size("_x") + F.size("_y") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("common"), (F.size("_x") + F.size("_y")).cast("long").alias("sum"))
+    return both.select("a", "b", "common", (F.col("sum") - F.col("common")).alias("union"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -172,36 +194,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     same = saved(known.select("_id", "_set").join(classes.where("_copies > 1"), "_set").where("_id <> _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct(), "copies")
 
     reps = known.select("_set", "_id", "_n", "_bands").join(classes.select("_set", F.col("_rep").alias("_id")), ["_set", "_id"])
-    banded = reps.select("_id", F.explode("_bands").alias("_key"))
+    banded = reps.select("_id", "_n", F.explode("_bands").alias("_key"))
     shared = banded.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key")
-    open_ = saved(banded.join(shared, "_key").distinct(), "buckets")
+    open_ = saved(banded.join(shared, "_key").dropDuplicates(["_key", "_id"]), "buckets")
 
     # Full sets of the documents that meet another one, made from the texts a second time.
     involved = open_.select("_id").distinct()
     sets = saved(_sets(rows.where(F.col("_id").isNotNull()).join(involved, "_id", "left_semi"), words), "sets")
 
-    links, done, roots = same, None, None
+    # Stars: the smallest member of each bucket against the others that are not too small or large for it.
+    def sized(x: str, y: str):
+        return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
+
+    def linked(frame: DataFrame) -> DataFrame:
+        return frame.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b")
+
+    centre = open_.groupBy("_key").agg(F.min(F.struct("_id", "_n")).alias("_c")).select("_key", F.col("_c._id").alias("_centre"), F.col("_c._n").alias("_cn"))
+    stars = open_.join(centre, "_key").where("_id <> _centre").where(sized("_n", "_cn"))
+    scored = saved(_scored(stars.select(F.col("_centre").alias("a"), F.col("_id").alias("b")).distinct(), sets), "scored")
+    links = linked(scored).unionByName(same)
+    roots = saved(components(links), "roots")
+
+    # Buckets that still hold several components. Jaccard distance is a metric, so that a pair whose distances to the
+    # centre differ by more than a link's is settled without its sets.
+    distance = scored.select(F.col("a").alias("_centre"), F.col("b").alias("_id"), (1 - F.col("common") / F.col("union")).alias("_d"))
+    known_d = open_.join(centre, "_key").join(distance, ["_centre", "_id"], "left")
+    open_ = saved(known_d.select("_key", "_id", "_n", F.when(F.col("_id") == F.col("_centre"), 0.0).otherwise(F.col("_d")).alias("_d")), "open")
+    tried, most = scored.select("a", "b"), CENTRES
     while True:
-        if roots is not None:
-            open_ = open_.drop("_root").join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left")
-        else:
-            open_ = open_.withColumn("_root", F.lit(None).cast("long"))
-        open_ = open_.withColumn("_root", F.coalesce("_root", "_id"))
-        mixed = open_.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.min(F.struct("_id", "_root")).alias("_c")).where("_lo <> _hi")
-        stars = saved(open_.join(mixed.select("_key", F.col("_c._id").alias("_centre"), F.col("_c._root").alias("_croot")), "_key"), "stars")
-        pairs = stars.where("_root <> _croot").select(F.col("_centre").alias("a"), F.col("_id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if stars.limit(1).count() == 0:
+        now = open_.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+        held = now.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_size"))
+        mixed = held.groupBy("_key").agg(F.max(F.struct("_size", (-F.col("_root")).alias("_minus"))).alias("_m"), F.count(F.lit(1)).alias("_kinds"))
+        mixed = mixed.where("_kinds > 1").select("_key", (-F.col("_m._minus")).alias("_main"))
+        now = saved(now.join(mixed, "_key"), "mixed")
+        if not now.limit(1).count():
             break
-        done = pairs if done is None else done.unionByName(pairs)
-        fresh = saved(_links(pairs, sets, percent), "links")
-        links = links.unionByName(fresh)
-        roots = components(links)
-        open_ = stars.where("_id <> _centre").select("_key", "_id")
-    if roots is None:
-        roots = components(links)
+        # Members outside the bucket's main component, some at a time, against all members of other components.
+        turn = Window.partitionBy("_key").orderBy("_id")
+        outside = now.where("_root <> _main").withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= most)
+        outside = outside.select("_key", F.col("_id").alias("_x"), F.col("_n").alias("_xn"), F.col("_d").alias("_xd"), F.col("_root").alias("_xroot"))
+        close = F.col("_d").isNull() | F.col("_xd").isNull() | (F.abs(F.col("_d") - F.col("_xd")) <= 1 - percent / 100 + 1e-9)
+        pairs = outside.join(now, "_key").where(F.col("_root") != F.col("_xroot")).where(sized("_n", "_xn")).where(close)
+        pairs = pairs.select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        scored = saved(_scored(pairs, sets), "scored")
+        fresh = linked(scored)
+        if fresh.limit(1).count():
+            links = links.unionByName(fresh)
+            roots = saved(components(links), "roots")
+        tried = tried.unionByName(scored.select("a", "b"))
+        # What has been compared with its whole bucket leaves it.
+        open_ = now.join(outside.select("_key", F.col("_x").alias("_id")), ["_key", "_id"], "left_anti").select("_key", "_id", "_n", "_d")
+        most *= CENTRES
     of = measured.drop("_bands", "_set").join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left")
     root = F.coalesce("_root", "_id")
     return of.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("_id") == root, F.lit(True)).alias("kept"))
