@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     while True:
         now = open_.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
         held = now.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_size"))
-        mixed = held.groupBy("_key").agg(F.max(F.struct("_size", (-F.col("_root")).alias("_minus"))).alias("_m"), F.count(F.lit(1)).alias("_kinds"))
-        mixed = mixed.where("_kinds > 1").select("_key", (-F.col("_m._minus")).alias("_main"))
+        mixed = held.groupBy("_key").agg(F.max(F.struct("_size", (-F.col("_root")).alias("_minus"))).alias("_m"), F.sum("_size").alias("_all"))
+        mixed = mixed.where("_m._size < _all").select("_key", (-F.col("_m._minus")).alias("_main"), (F.col("_all") - F.col("_m._size")).alias("_others"))
         now = saved(now.join(mixed, "_key"), "mixed")
         if not now.limit(1).count():
             break
@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
             links = links.unionByName(fresh)
             roots = saved(components(links), "roots")
         tried = tried.unionByName(scored.select("a", "b"))
-        # What has been compared with its whole bucket leaves it.
-        open_ = now.join(outside.select("_key", F.col("_x").alias("_id")), ["_key", "_id"], "left_anti").select("_key", "_id", "_n", "_d")
+        # A bucket all of whose outsiders had their turn is settled; in the others, those that had it leave.
+        open_ = now.where(F.col("_others") > most).join(outside.select("_key", F.col("_x").alias("_id")), ["_key", "_id"], "left_anti").select("_key", "_id", "_n", "_d")
         most *= CENTRES
     of = measured.drop("_bands", "_set").join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left")
     root = F.coalesce("_root", "_id")
