@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from subvox.llm.common import saved
 
 #: Scales of the pyramid, as steps between sampled pixels.
-SCALES = (1.0, 1.5)
+SCALES = (0.7, 1.0, 1.4)
 RADIUS = 11
 TESTS = 120
 TABLES = 5
@@ -71,7 +71,7 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, np.nda
         h, w = int(image.shape[0] / scale), int(image.shape[1] / scale)
         if min(h, w) < 2 * RADIUS + 3:
             continue
-        x = _blur(resize(image, h, w) if scale > 1 else image)
+        x = _blur(resize(image, h, w) if scale != 1 else image)
         dy, dx = np.gradient(x)
         xx, yy, xy = (_blur(_blur(p)) for p in (dx * dx, dy * dy, dx * dy))
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2

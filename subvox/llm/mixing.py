@@ -48,14 +48,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     stop = F.lit(float(most)) * F.col("source_size")
     rows = listed.withColumn("_w", weight).withColumn("_stop", stop).withColumn("_ratio", F.col("_stop") / F.col("_w"))
     whole = Window.partitionBy()
-    upto = Window.orderBy("_ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    climb = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
+    upto = climb.rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         rows.withColumn("_goal", F.lit(float(share)) * F.sum("source_size").over(whole))
         .withColumn("_full", F.coalesce(F.sum("_stop").over(upto), F.lit(0.0)))
         .withColumn("_left", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0)))
+        .withColumn("_at", F.row_number().over(climb))
         .withColumn("_level", (F.col("_goal") - F.col("_full")) / F.col("_left"))
     )
-    level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", "_level"))).over(whole)["_level"]
+    level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_at", "_level"))).over(whole)["_level"]
     target = F.least(F.col("_stop"), F.coalesce(level * F.col("_w"), F.col("_stop")))
     return rows.select("source", "source_size", target.alias("target"))
 

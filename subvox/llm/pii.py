@@ -172,9 +172,11 @@ def _rewrites(text: str, kind: str, start: int, end: int, rng: np.random.Generat
     digits = _digits(span)
     if kind == "email":
         name, host = span.rsplit("@", 1)
-        dot = pick("(dot)", "[dot]", " [dot] ", ".")
-        yield f"{name}{pick('(at)', '[at]', ' [at] ', ' (at) ')}{host.replace('.', dot)}", 1
-        yield f"{name.strip('0123456789.') or 'x'} at {host.split('.')[0]}.{pick('The', 'And', 'In', 'Of', '12', 'Es')}", 0
+        bare = "".join(c for c in name if c.isalpha()) or "x"
+        for who in (name, pick(bare, f"{bare[:2]}.{bare[2:]}x")):
+            dot = pick("(dot)", "[dot]", " [dot] ", " (dot) ", ".")
+            yield f"{who}{pick('(at)', '[at]', ' [at] ', ' (at) ')}{host.replace('.', dot)}", 1
+            yield f"{who} at {pick(host.split('.')[0], bare[::-1])}.{pick('The', 'And', 'In', 'of', '12', 'es')}", 0
     elif kind == "ip":
         yield span.replace(".", pick("[.]", "(.)", "[dot]")), 1
         yield pick("[.]", "(.)").join(str(int(p) + 256) for p in span.split(".")), 0
