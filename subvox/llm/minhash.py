@@ -7,8 +7,8 @@ empty bin, the same for all documents). ``ROWS`` bins make a band; documents tha
 Documents with equal shingle sets are one class, and only its smallest id goes on. A bucket does not emit its pairs:
 its smallest member is the centre of a star, and each edge centre-member is checked on the full sets. Then
 components are found. In a bucket that still holds several of them, the members outside its main component are
-compared with the members of other components, in rounds of growing size; sizes and the distances to the star's
-centre (Jaccard distance is a metric) settle most of these pairs without their sets. This ends when each bucket is one
+compared with the members of other components, in rounds of growing size; sizes, the distances to the star's
+centre (Jaccard distance is a metric) and the shingles that a document alone has settle most pairs without their sets. This ends when each bucket is one
 component or is used up, so no pair of different components that shares a bucket stays undecided.
 """
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     reps = known.select("_set", "_id", "_n", "_bands").join(classes.select("_set", F.col("_rep").alias("_id")), ["_set", "_id"])
     banded = reps.select("_id", "_n", F.explode("_bands").alias("_key"))
     shared = banded.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key")
-    open_ = saved(banded.join(shared, "_key").dropDuplicates(["_key", "_id"]), "buckets")
+    open_ = saved(banded.join(shared, "_key").distinct(), "buckets")
 
     # Full sets of the documents that meet another one, made from the texts a second time.
     involved = open_.select("_id").distinct()
@@ -221,21 +221,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     known_d = open_.join(centre, "_key").join(distance, ["_centre", "_id"], "left")
     open_ = saved(known_d.select("_key", "_id", "_n", F.when(F.col("_id") == F.col("_centre"), 0.0).otherwise(F.col("_d")).alias("_d")), "open")
     tried, most = scored.select("a", "b"), CENTRES
-    while True:
-        now = open_.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+
+    def still_mixed(rows: DataFrame) -> DataFrame:
+        now = rows.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
         held = now.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_size"))
         mixed = held.groupBy("_key").agg(F.max(F.struct("_size", (-F.col("_root")).alias("_minus"))).alias("_m"), F.sum("_size").alias("_all"))
         mixed = mixed.where("_m._size < _all").select("_key", (-F.col("_m._minus")).alias("_main"), (F.col("_all") - F.col("_m._size")).alias("_others"))
-        now = saved(now.join(mixed, "_key"), "mixed")
-        if not now.limit(1).count():
-            break
+        return saved(now.join(mixed, "_key"), "mixed")
+
+    now = still_mixed(open_)
+    if now.limit(1).count():
+        # Shingles that no other of these documents has can't be common ones: they bound what two of them may share.
+        items = sets.join(now.select("_id").distinct(), "_id", "left_semi").select("_id", F.explode("_items").alias("_item"))
+        lone = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_in"), F.min("_id").alias("_id")).where("_in = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("_lone"))
+        now = saved(now.join(lone, "_id", "left").withColumn("_most", F.col("_n") - F.coalesce("_lone", F.lit(0))).drop("_lone"), "bounded")
+    while now.limit(1).count():
         # Members outside the bucket's main component, some at a time, against all members of other components.
         turn = Window.partitionBy("_key").orderBy("_id")
         outside = now.where("_root <> _main").withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= most)
-        outside = outside.select("_key", F.col("_id").alias("_x"), F.col("_n").alias("_xn"), F.col("_d").alias("_xd"), F.col("_root").alias("_xroot"))
-        close = F.col("_d").isNull() | F.col("_xd").isNull() | (F.abs(F.col("_d") - F.col("_xd")) <= 1 - percent / 100 + 1e-9)
-        pairs = outside.join(now, "_key").where(F.col("_root") != F.col("_xroot")).where(sized("_n", "_xn")).where(close)
-        pairs = pairs.select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        outside = outside.select("_key", *[F.col(c).alias("x" + c) for c in ("_id", "_n", "_d", "_most", "_root")])
+        close = F.col("_d").isNull() | F.col("x_d").isNull() | (F.abs(F.col("_d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9)
+        enough = percent * (F.col("_n") + F.col("x_n")) <= (100 + percent) * F.least("_most", "x_most")
+        pairs = outside.join(now, "_key").where(F.col("_root") != F.col("x_root")).where(sized("_n", "x_n")).where(close).where(enough)
+        pairs = pairs.select(F.least("x_id", "_id").alias("a"), F.greatest("x_id", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         scored = saved(_scored(pairs, sets), "scored")
         fresh = linked(scored)
         if fresh.limit(1).count():
@@ -243,7 +251,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
             roots = saved(components(links), "roots")
         tried = tried.unionByName(scored.select("a", "b"))
         # A bucket all of whose outsiders had their turn is settled; in the others, those that had it leave.
-        open_ = now.where(F.col("_others") > most).join(outside.select("_key", F.col("_x").alias("_id")), ["_key", "_id"], "left_anti").select("_key", "_id", "_n", "_d")
+        left = now.where(F.col("_others") > most).join(outside.select("_key", F.col("x_id").alias("_id")), ["_key", "_id"], "left_anti")
+        now = still_mixed(left.select("_key", "_id", "_n", "_d", "_most"))
         most *= CENTRES
     of = measured.drop("_bands", "_set").join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left")
     root = F.coalesce("_root", "_id")
