@@ -6,10 +6,11 @@ empty bin, the same for all documents). ``ROWS`` bins make a band; documents tha
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. A bucket does not emit its pairs:
 its smallest member is the centre of a star, and each edge centre-member is checked on the full sets. Then
-components are found. In a bucket that still holds several of them, the members outside its main component are first
-compared with the member nearest to that component's middle; those still outside meet the other documents of mixed
-buckets by their rarest shingles (a prefix filter: two sets as alike as a link asks for share one of them). So
-no pair of different components that shares a bucket stays undecided.
+components are found. In a bucket that still holds several of them, the members outside its main component are
+compared with the member nearest to that component's middle, then with the members of other components, in rounds
+of growing size; sizes, the distances to the star's centre (Jaccard distance is a metric) and the shingles that a
+document alone has settle most pairs without their sets. This ends when each bucket is one component or is
+used up, so no pair of different components that shares a bucket stays undecided.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Probes per empty bin that are looked up at once.
 PROBES = 64
+#: Outsiders per bucket that are compared in the first round after the stars; each further round takes so many times more.
+CENTRES = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -213,44 +216,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     links = linked(scored).unionByName(same)
     roots = saved(components(links), "roots")
 
-    tried = scored.select("a", "b")
+    # Buckets that still hold several components. Jaccard distance is a metric, so that a pair whose distances to the
+    # centre differ by more than a link's is settled without its sets.
+    distance = scored.select(F.col("a").alias("_centre"), F.col("b").alias("_id"), (1 - F.col("common") / F.col("union")).alias("_d"))
+    known_d = open_.join(centre, "_key").join(distance, ["_centre", "_id"], "left")
+    open_ = saved(known_d.select("_key", "_id", "_n", F.when(F.col("_id") == F.col("_centre"), 0.0).otherwise(F.col("_d")).alias("_d")), "open")
+    tried, most = scored.select("a", "b"), CENTRES
 
     def still_mixed(rows: DataFrame) -> DataFrame:
         now = rows.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
         held = now.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_size"))
         mixed = held.groupBy("_key").agg(F.max(F.struct("_size", (-F.col("_root")).alias("_minus"))).alias("_m"), F.sum("_size").alias("_all"))
-        mixed = mixed.where("_m._size < _all").select("_key", (-F.col("_m._minus")).alias("_main"))
+        mixed = mixed.where("_m._size < _all").select("_key", (-F.col("_m._minus")).alias("_main"), (F.col("_all") - F.col("_m._size")).alias("_others"))
         return saved(now.join(mixed, "_key"), "mixed")
 
-    def settle(pairs: DataFrame) -> None:
-        nonlocal links, roots, tried
-        pairs = pairs.select(F.least("x_id", "_id").alias("a"), F.greatest("x_id", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    now = still_mixed(open_)
+    if now.limit(1).count():
+        # Shingles that no other of these documents has can't be common ones: they bound what two of them may share.
+        items = sets.join(now.select("_id").distinct(), "_id", "left_semi").select("_id", F.explode("_items").alias("_item"))
+        lone = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_in"), F.min("_id").alias("_id")).where("_in = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("_lone"))
+        now = saved(now.join(lone, "_id", "left").withColumn("_most", F.col("_n") - F.coalesce("_lone", F.lit(0))).drop("_lone"), "bounded")
+        # A second star: the member of the main component with the fewest shingles of its own is nearest to its middle.
+        middle = now.where("_root = _main").groupBy("_key").agg(F.max(F.struct((F.col("_most") / F.col("_n")).alias("_part"), "_id", "_n")).alias("_c"))
+        middle = middle.select("_key", F.col("_c._id").alias("_x"), F.col("_c._n").alias("x_n"))
+        pairs = now.where("_root <> _main").join(middle, "_key").where(sized("_n", "x_n"))
+        pairs = pairs.select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         scored = saved(_scored(pairs, sets), "scored")
+        links = links.unionByName(linked(scored))
+        roots = saved(components(links), "roots")
         tried = tried.unionByName(scored.select("a", "b"))
-        if (fresh := linked(scored)).limit(1).count():
+        now = still_mixed(now.select("_key", "_id", "_n", "_d", "_most"))
+    while now.limit(1).count():
+        # members outside the bucket's main component, some at a time, against all members of other components.
+        turn = Window.partitionBy("_key").orderBy("_id")
+        outside = now.where("_root <> _main").withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= most)
+        outside = outside.select("_key", *[F.col(c).alias("x" + c) for c in ("_id", "_n", "_d", "_most", "_root")])
+        close = F.col("_d").isNull() | F.col("x_d").isNull() | (F.abs(F.col("_d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9)
+        enough = percent * (F.col("_n") + F.col("x_n")) <= (100 + percent) * F.least("_most", "x_most")
+        pairs = outside.join(now, "_key").where(F.col("_root") != F.col("x_root")).where(sized("_n", "x_n")).where(close).where(enough)
+        pairs = pairs.select(F.least("x_id", "_id").alias("a"), F.greatest("x_id", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        scored = saved(_scored(pairs, sets), "scored")
+        fresh = linked(scored)
+        if fresh.limit(1).count():
             links = links.unionByName(fresh)
             roots = saved(components(links), "roots")
-
-    now = still_mixed(open_)
-    if now.limit(1).count():
-        # Shingles of the documents in mixed buckets, the rarest first.
-        items = sets.join(now.select("_id").distinct(), "_id", "left_semi").select("_id", F.explode("_items").alias("_item")).distinct()
-        often = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_df"))
-        mine = Window.partitionBy("_id")
-        ranked = items.join(often, "_item").withColumn("_rank", F.row_number().over(mine.orderBy("_df", "_item"))).withColumn("_all", F.count(F.lit(1)).over(mine)).withColumn("_common", F.avg("_df").over(mine))
-        # Two sets that agree to `percent` share one of so many of their rarest shingles.
-        front = saved(ranked.where(F.col("_rank") <= F.col("_all") - F.ceil(percent * F.col("_all") / 100) + 1).select("_id", "_item", "_common"), "front")
-        # A second star: the member of the main component whose shingles are the most common is nearest to its middle.
-        now = now.join(front.select("_id", "_common").distinct(), "_id")
-        middle = now.where("_root = _main").groupBy("_key").agg(F.max(F.struct("_common", "_id", "_n")).alias("_c")).select("_key", F.col("_c._id").alias("x_id"), F.col("_c._n").alias("x_n"))
-        settle(now.where("_root <> _main").join(middle, "_key").where(sized("_n", "x_n")))
-        now = still_mixed(now.select("_key", "_id", "_n"))
-        # Those still outside, against documents of other components that share one of the rarest shingles.
-        every = now.select("_id", "_n", "_root").distinct()
-        outside = now.where("_root <> _main").select(F.col("_id").alias("x_id"), F.col("_n").alias("x_n"), F.col("_root").alias("x_root")).distinct()
-        outside = outside.join(front.select(F.col("_id").alias("x_id"), "_item"), "x_id")
-        met = outside.join(front.join(every, "_id"), "_item").where(F.col("_root") != F.col("x_root")).where(sized("_n", "x_n"))
-        settle(met)
+        tried = tried.unionByName(scored.select("a", "b"))
+        # A bucket all of whose outsiders had their turn is settled; in the others, those that had it leave.
+        left = now.where(F.col("_others") > most).join(outside.select("_key", F.col("x_id").alias("_id")), ["_key", "_id"], "left_anti")
+        now = still_mixed(left.select("_key", "_id", "_n", "_d", "_most"))
+        most *= CENTRES
     of = measured.drop("_bands", "_set").join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left")
     root = F.coalesce("_root", "_id")
     return of.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("_id") == root, F.lit(True)).alias("kept"))
