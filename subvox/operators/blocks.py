@@ -97,15 +97,14 @@ def cut_pieces(blocks: DataFrame, spans: DataFrame, frames: int) -> DataFrame:
     ).drop("_b0", "block")
 
 
-def cut_events(blocks: DataFrame, spans: DataFrame, frames: int, *, max_frames: int = 1_000_000) -> DataFrame:
+def cut_events(blocks: DataFrame, spans: DataFrame, frames: int) -> DataFrame:
     """One row per span with its samples, in order.
 
     ``spans`` needs ``session_id, event_id, start_sample, end_sample`` and may carry more
-    columns. Spans longer than ``max_frames`` do not become one row; take them from
-    :func:`cut_pieces` or use the session-scope operators, which work block by block.
+    columns. No span is left out; very long ones are better taken from :func:`cut_pieces`, a row per block.
     """
     carried = [c for c in spans.columns if c not in ("session_id", "event_id")]
-    pieces = cut_pieces(blocks, spans.where(F.col("end_sample") - F.col("start_sample") <= max_frames), frames)
+    pieces = cut_pieces(blocks, spans, frames)
     rows = F.sort_array(F.collect_list(F.struct("piece_start", "samples")))
     whole = pieces.groupBy("session_id", "event_id").agg(
         *[F.first(c).alias(c) for c in carried], F.max("channels").alias("channels"),

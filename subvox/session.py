@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -51,12 +52,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only when it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; in local mode a fresh folder where it is unset."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current and (shared is None or current.split(":", 1)[-1].startswith(shared.split(":", 1)[-1])):
         return current
+    if shared is None and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="subvox-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -76,24 +77,33 @@ def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _session_of(path: str):
-    return F.regexp_extract(path, "([^/]*)/[^/]*$", 1)
+def _below(path: str, root: str):
+    """``path`` relative to the folder that is read, so that equal names in two folders stay apart; whole if the root is a pattern."""
+    plain = F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+    base = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/")) + "/"
+    return F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
+
+
+def _session_of(path: str, root: str):
+    """Folder of a file below ``root``; the root's own name for files that lie in it directly."""
+    folder = F.regexp_replace(_below(path, root), "/?[^/]*$", "")
+    return F.when(folder == "", F.lit(root.rstrip("/").rsplit("/", 1)[-1])).otherwise(folder)
 
 
 def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Session folders below ``path`` as ``sessions``, ``signal_blocks`` and ``events``.
 
     A folder has ``signals.npy`` (time, channels), ``events.csv`` and ``meta.json`` or
-    ``session.json``; its name is the session.
+    ``session.json``; its place below ``path`` is the session.
     """
     facts = "fs_hz double, channels int, user_id string, source string, preprocessing_mode string, split_mode string"
-    meta = _texts(spark, path, "{meta,session}.json").select(_session_of("path").alias("session_id"), F.from_json("text", facts).alias("m"), "text")
+    meta = _texts(spark, path, "{meta,session}.json").select(_session_of("path", path).alias("session_id"), F.from_json("text", facts).alias("m"), "text")
     sessions = meta.groupBy("session_id").agg(
         F.max("m.fs_hz").alias("fs_hz"), F.max("m.channels").alias("channels"), F.max("m.user_id").alias("user_id"),
         F.max("m.source").alias("source"), F.max("m.preprocessing_mode").alias("mode"),
         F.coalesce(F.max("m.split_mode"), F.lit("")).alias("split_mode"), F.max("text").alias("meta"),
     )
-    signals = list_files(spark, path, "signals.npy").select("path", _session_of("path").alias("session_id")).join(
+    signals = list_files(spark, path, "signals.npy").select("path", _session_of("path", path).alias("session_id")).join(
         sessions.select("session_id", "fs_hz"), "session_id"
     )
     return sessions, read_arrays(signals), read_events(spark, path)
@@ -140,7 +150,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
                 rows = rows.astype({"label": str, "trial_id": "Int64", "word_idx": "Int64"})
                 yield rows.assign(session_id=s, event_id=range(len(rows)))[[f.split(" ")[0] for f in EVENT_FIELDS.split(", ")]]
 
-    texts = _texts(spark, path, "events.csv").select(_session_of("path").alias("session_id"), "text")
+    texts = _texts(spark, path, "events.csv").select(_session_of("path", path).alias("session_id"), "text")
     return texts.mapInPandas(parse, EVENT_FIELDS)
 
 
@@ -161,7 +171,7 @@ def read_trial_cube(spark: SparkSession, data: str, labels: str, *, words: int =
     the events.
     """
     shape = npy_header(data)[0]
-    trials = spark.range(shape[0]).withColumnRenamed("id", "trial_id")
+    trials = spark.range(min(shape[0], npy_header(labels)[0][0])).withColumnRenamed("id", "trial_id")
     size = block_frames(fs_hz)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +237,7 @@ def read_paired_recordings(
     if label_mode not in ("sentence", "first_word"):
         raise ValueError(f"unknown label mode {label_mode}")
     label = slug(text if label_mode == "sentence" else first_word(text))
-    named = pairs.select("path", F.regexp_extract("stem", "([^/]*)$", 1).alias("session_id"), label.alias("label"))
+    named = pairs.select("path", _below("stem", path).alias("session_id"), label.alias("label"))
     kept = _whole_array(named, 32, channels)
     events = kept.select(
         "session_id", F.lit(0).cast("bigint").alias("event_id"), F.lit(0).cast("bigint").alias("start_sample"),
@@ -237,10 +247,10 @@ def read_paired_recordings(
 
 
 def read_segment_set(spark: SparkSession, path: str, *, fs_hz: float = 5000.0) -> tuple[DataFrame, DataFrame]:
-    """One array file per trial; the slug of its name (without a trailing number) is the label; under 16 frames left out."""
+    """One array file per trial; the slug of its name is the label; under 16 frames left out."""
     files = list_files(spark, path, "*.npy")
     stem = F.regexp_replace("name", "[.]npy$", "")
-    kept = _whole_array(files.select("path", stem.alias("session_id"), slug(stem).alias("label")), 16, None)
+    kept = _whole_array(files.select("path", F.regexp_replace(_below("path", path), "[.]npy$", "").alias("session_id"), slug(stem).alias("label")), 16, None)
     events = kept.select(
         "session_id", F.lit(0).cast("bigint").alias("event_id"), F.lit(0).cast("bigint").alias("start_sample"),
         F.col("n_frames").alias("end_sample"), "label", F.lit(None).cast("bigint").alias("trial_id"), F.lit(None).cast("int").alias("word_idx"),

@@ -76,19 +76,25 @@ def materialize(
     """Runs ``stage`` for the sources that changed and replaces only their partitions.
 
     ``source(key, fingerprint)``. The manifest row is written after the data, so a job that
-    dies in between does the work again. Returns how many sources were done.
+    dies in between does the work again. A source counts as done if its latest manifest row has this
+    configuration and fingerprint: going back to an earlier one runs it again. Returns how many sources were done.
     """
     manifest = f"{path}/manifest"
     wanted = source.select(key, "fingerprint").withColumn("cfg_hash", F.lit(cfg_hash))
     try:
-        done = spark.read.parquet(manifest)
-    except AnalysisException:
-        done = spark.createDataFrame([], wanted.schema)
+        rows = spark.read.parquet(manifest)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done, run = spark.createDataFrame([], wanted.schema), 0
+    else:
+        done = rows.groupBy(key).agg(F.max(F.struct("run", "fingerprint", "cfg_hash")).alias("_m")).select(key, "_m.fingerprint", "_m.cfg_hash")
+        run = rows.agg(F.max("run")).first()[0] + 1
     todo = pending(wanted, done, (key, "cfg_hash", "fingerprint")).persist()
     n = todo.count()
     if n:
         result = stage(source.join(todo.select(key), key, "left_semi"))
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{path}/data")
-        todo.select(*wanted.columns).write.mode("append").parquet(manifest)
+        todo.select(*wanted.columns, F.lit(run).cast("long").alias("run")).write.mode("append").parquet(manifest)
     todo.unpersist()
     return n

@@ -189,3 +189,24 @@ def test_live_decode(spark, blocks):
 
 def test_filter_is_shared():
     assert mode_filter("standard", 250.0) is mode_filter("standard", 250.0)
+
+
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    for i, folder in enumerate("ab"):
+        (tmp_path / folder).mkdir()
+        np.save(tmp_path / folder / "0_emg.npy", np.full((40, 8), i, np.float32))
+        (tmp_path / folder / "0_info.json").write_text('{"text": "hi", "sentence_index": 0}')
+    blocks, events = files.read_paired_recordings(spark, str(tmp_path))
+    assert sorted(r.session_id for r in events.collect()) == ["a/0", "b/0"]
+    assert blocks.groupBy("session_id", "block").count().where("count > 1").count() == 0
+    _, events = files.read_segment_set(spark, str(tmp_path))
+    assert sorted((r.session_id, r.label) for r in events.collect()) == [("a/0_emg", "0_emg"), ("b/0_emg", "0_emg")]
+
+
+def test_going_back_to_an_earlier_fingerprint_runs_again(spark, tmp_path):
+    def run(mark):
+        source = spark.createDataFrame([("a", mark)], "session_id string, fingerprint string")
+        return state.materialize(spark, source, lambda s: s.withColumn("made", F.lit(mark)), str(tmp_path / "out"), "c")
+
+    assert [run("1"), run("2"), run("2"), run("1")] == [1, 1, 0, 1]
+    assert [str(r.made) for r in spark.read.parquet(str(tmp_path / "out/data")).collect()] == ["1"]
