@@ -6,11 +6,12 @@ empty bin, the same for all documents). ``ROWS`` bins make a band; documents tha
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. A bucket does not emit its pairs:
 its smallest member is the centre of a star, and each edge centre-member is checked on the full sets. Then
-components are found. In a bucket that still holds several of them, the members outside its main component are
-compared with the member nearest to that component's middle, then with the members of other components, in rounds
-of growing size; sizes, the distances to the star's centre (Jaccard distance is a metric) and the shingles that a
-document alone has settle most pairs without their sets. This ends when each bucket is one component or is
-used up, so no pair of different components that shares a bucket stays undecided.
+components are found. In buckets that still hold several of them, each member is held against a hub, a document
+in the middle of the bucket's main component. Two members that are not in one component can only be linked if they
+differ from the hub in the same shingles; a filter on the rarest of these names the pairs to check. Members
+far from the hub are compared in rounds of growing size, where sizes, the distances to the hub (Jaccard distance
+is a metric) and the shingles that a document alone has settle most pairs without their sets. This ends when each
+bucket is one component or is used up, so no pair of different components that shares a bucket stays undecided.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Probes per empty bin that are looked up at once.
 PROBES = 64
+#: Jaccard distance from a hub up to which documents are compared by what they differ in.
+NEAR = 0.5
 #: Outsiders per bucket that are compared in the first round after the stars; each further round takes so many times more.
 CENTRES = 16
 
@@ -181,6 +184,53 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "common", (F.col("sum") - F.col("common")).alias("union"))
 
 
+def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``_hub, _id, common, union, _added, _gone, _hub_n, _delta`` of pairs of a hub and a document.
+
+    ``_delta``: the shingles that only one of the two has; null if their distance is over ``NEAR``.
+    """
+    both = pairs.join(sets.select(F.col("_id").alias("_hub"), F.col("_items").alias("_c")), "_hub").join(sets, "_id")
+    both = both.select("_hub", "_id", F.size("_c").cast("long").alias("_hub_n"), F.array_except("_items", "_c").alias("_plus"), F.array_except("_c", "_items").alias("_minus"))
+    both = both.select("*", F.size("_plus").cast("long").alias("_added"), F.size("_minus").cast("long").alias("_gone"))
+    both = both.select("*", (F.col("_hub_n") - F.col("_gone")).alias("common"), (F.col("_hub_n") + F.col("_added")).alias("union"))
+    near = 1 - F.col("common") / F.col("union") <= NEAR
+    return both.select("_hub", "_id", "common", "union", "_added", "_gone", "_hub_n", F.when(near, F.concat("_plus", "_minus")).alias("_delta"))
+
+
+def _differing_alike(now: DataFrame, against: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of different components near one hub that may be linked.
+
+    With ``added`` and ``gone`` shingles against a hub of ``h``, two documents that share ``s`` of them share
+    ``h - gone - gone' + s`` shingles. A link thus needs ``(100 + percent) s >= w + w' - (100 - percent) h``, where
+    ``w = percent * added + 100 * gone``, and ``w > (100 - percent) h`` for each document that is not linked with the hub. One of the
+    two is such a document, so that ``s`` is at least 1, and one shingle of the rarest ones of both is shared. The
+    first one shared must leave enough after its places in both.
+    """
+    total, slack = 100 + percent, (100 - percent) * F.col("_hub_n")
+    there = now.select("_hub", "_id", "_n", "_d", "_root").distinct().join(against.drop("common", "union"), ["_hub", "_id"]).where("_delta is not null")
+    home = roots.select(F.col("id").alias("_hub"), F.col("root").alias("_home"))
+    there = there.join(home, "_hub", "left").withColumn("_out", F.col("_root") != F.coalesce("_home", "_hub"))
+    there = there.withColumn("_w", percent * F.col("_added") + 100 * F.col("_gone")).withColumn("_size", F.col("_added") + F.col("_gone"))
+    single = there.select("_hub", "_id", F.explode("_delta").alias("_item"))
+    often = single.groupBy("_hub", "_item").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1")
+    # Shingles of one document alone come first; they are counted, not listed.
+    listed = single.join(often, ["_hub", "_item"]).groupBy("_hub", "_id").agg(F.sort_array(F.collect_list(F.struct("_in", "_item"))).alias("_list"))
+    there = saved(there.drop("_delta").join(listed, ["_hub", "_id"]).withColumn("_first", F.col("_size") - F.size("_list")), "differing")
+
+    def rarest(need) -> DataFrame:
+        upto = F.greatest(F.col("_size") - need + 1 - F.col("_first"), F.lit(0)).cast("int")
+        part = there.select("*", F.posexplode(F.slice("_list", F.lit(1), upto)).alias("_place", "_one")).drop("_list")
+        return part.select("_hub", "_hub_n", "_id", "_n", "_d", "_root", "_out", "_w", F.col("_one._item").alias("_item"), (F.col("_size") - F.col("_first") - F.col("_place")).alias("_rest"))
+
+    alone = rarest(F.ceil((F.col("_w") - slack) / total)).where("_out").drop("_hub_n", "_out")
+    alone = alone.select("_hub", "_item", *[F.col(c).alias("x" + c) for c in ("_id", "_n", "_d", "_root", "_w", "_rest")])
+    every = rarest(F.floor(F.col("_w") / total) + 1)
+    met = alone.join(every, ["_hub", "_item"]).where(F.col("_root") != F.col("x_root")).where(~F.col("_out") | (F.col("x_id") < F.col("_id")))
+    met = met.where(total * F.least("_rest", "x_rest") >= F.col("_w") + F.col("x_w") - slack).where(F.abs(F.col("_d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9)
+    met = met.where((100 * F.col("_n") >= percent * F.col("x_n")) & (100 * F.col("x_n") >= percent * F.col("_n")))
+    return met.select(F.least("x_id", "_id").alias("a"), F.greatest("x_id", "_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id, kept``: one row per row of ``docs``.
 
@@ -216,12 +266,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     links = linked(scored).unionByName(same)
     roots = saved(components(links), "roots")
 
-    # Buckets that still hold several components. Jaccard distance is a metric, so that a pair whose distances to the
-    # centre differ by more than a link's is settled without its sets.
-    distance = scored.select(F.col("a").alias("_centre"), F.col("b").alias("_id"), (1 - F.col("common") / F.col("union")).alias("_d"))
-    known_d = open_.join(centre, "_key").join(distance, ["_centre", "_id"], "left")
-    open_ = saved(known_d.select("_key", "_id", "_n", F.when(F.col("_id") == F.col("_centre"), 0.0).otherwise(F.col("_d")).alias("_d")), "open")
+    # Buckets that still hold several components; their centres have met all others and leave.
     tried, most = scored.select("a", "b"), CENTRES
+    open_ = open_.join(centre, "_key").where("_id <> _centre").select("_key", "_id", "_n")
 
     def still_mixed(rows: DataFrame) -> DataFrame:
         now = rows.join(roots.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
@@ -235,23 +282,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         # Shingles that no other of these documents has can't be common ones: they bound what two of them may share.
         items = sets.join(now.select("_id").distinct(), "_id", "left_semi").select("_id", F.explode("_items").alias("_item"))
         lone = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_in"), F.min("_id").alias("_id")).where("_in = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("_lone"))
-        now = saved(now.join(lone, "_id", "left").withColumn("_most", F.col("_n") - F.coalesce("_lone", F.lit(0))).drop("_lone"), "bounded")
-        # A second star: the member of the main component with the fewest shingles of its own is nearest to its middle.
-        middle = now.where("_root = _main").groupBy("_key").agg(F.max(F.struct((F.col("_most") / F.col("_n")).alias("_part"), "_id", "_n")).alias("_c"))
-        middle = middle.select("_key", F.col("_c._id").alias("_x"), F.col("_c._n").alias("x_n"))
-        pairs = now.where("_root <> _main").join(middle, "_key").where(sized("_n", "x_n"))
-        pairs = pairs.select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        scored = saved(_scored(pairs, sets), "scored")
+        now = now.join(lone, "_id", "left").withColumn("_most", F.col("_n") - F.coalesce("_lone", F.lit(0)))
+        # A hub per main component: its member with the fewest shingles of its own, which is near its middle.
+        now = saved(now, "bounded")
+        hubs = now.where("_root = _main").groupBy("_main").agg(F.max(F.struct((F.col("_most") / F.col("_n")).alias("_part"), "_id")).alias("_c")).select("_main", F.col("_c._id").alias("_hub"))
+        now = now.join(hubs, "_main").select("_key", "_id", "_n", "_most", "_hub")
+        against = saved(_against(now.select("_hub", "_id").distinct(), sets), "against")
+        scored = against.where("_id <> _hub").select(F.least("_hub", "_id").alias("a"), F.greatest("_hub", "_id").alias("b"), "common", "union")
         links = links.unionByName(linked(scored))
         roots = saved(components(links), "roots")
         tried = tried.unionByName(scored.select("a", "b"))
-        now = still_mixed(now.select("_key", "_id", "_n", "_d", "_most"))
+        distance = against.select("_hub", "_id", (1 - F.col("common") / F.col("union")).alias("_d"))
+        now = still_mixed(now.join(distance, ["_hub", "_id"]))
+        scored = saved(_scored(_differing_alike(now, against, roots, percent).join(tried, ["a", "b"], "left_anti"), sets), "scored")
+        links = links.unionByName(linked(scored))
+        roots = saved(components(links), "roots")
+        tried = tried.unionByName(scored.select("a", "b"))
+        # Pairs of which both are NEAR the hub are settled; who is nearer by a link's distance meets nobody else.
+        left = now.where(F.col("_d") > NEAR - (1 - percent / 100) - 1e-9)
+        now = still_mixed(left.select("_key", "_id", "_n", "_d", "_most"))
     while now.limit(1).count():
         # members outside the bucket's main component, some at a time, against all members of other components.
         turn = Window.partitionBy("_key").orderBy("_id")
         outside = now.where("_root <> _main").withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= most)
         outside = outside.select("_key", *[F.col(c).alias("x" + c) for c in ("_id", "_n", "_d", "_most", "_root")])
-        close = F.col("_d").isNull() | F.col("x_d").isNull() | (F.abs(F.col("_d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9)
+        close = (F.abs(F.col("_d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9) & (F.greatest("_d", "x_d") > NEAR - 1e-9)
         enough = percent * (F.col("_n") + F.col("x_n")) <= (100 + percent) * F.least("_most", "x_most")
         pairs = outside.join(now, "_key").where(F.col("_root") != F.col("x_root")).where(sized("_n", "x_n")).where(close).where(enough)
         pairs = pairs.select(F.least("x_id", "_id").alias("a"), F.greatest("x_id", "_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
