@@ -123,22 +123,30 @@ def tabled(rows: DataFrame) -> DataFrame:
 
 
 def matched_images(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """``query, image, inliers`` of two tables of descriptors: pairs whose corners agree on one movement."""
+    """``query, image, inliers`` of two tables of descriptors: pairs whose corners agree on one movement.
+
+    Two descriptors that meet in several tables count in the first one only, and a match is shuffled once, as one narrow
+    row; the bins it votes for are made behind that shuffle, where all votes of a pair of images already are.
+    """
     q = tabled(queries).select(*[F.col(c).alias("q" + c) for c in ("_id", "_row", "_col", "_turn", "_scale", "_keys")], "_table", "_key")
     near = q.join(tabled(images), ["_table", "_key"])
     differ = F.aggregate(F.zip_with("q_keys", "_keys", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    first = F.array_position(F.zip_with("q_keys", "_keys", lambda a, b: a == b), F.lit(True)) == F.col("_table") + 1
     turn = F.pmod(F.col("q_turn") - F.col("_turn"), F.lit(360.0))
     zoom = F.col("q_scale") / F.col("_scale")
     angle = F.radians(turn)
     row, col = F.col("_row") * zoom, F.col("_col") * zoom
     shift_row = F.col("q_row") - (F.cos(angle) * row + F.sin(angle) * col)
     shift_col = F.col("q_col") - (F.cos(angle) * col - F.sin(angle) * row)
-    votes = near.where(differ <= BITS).select(
-        F.col("q_id").alias("query"), F.col("_id").alias("image"), F.struct("q_row", "q_col").alias("corner"),
-        F.round(turn / TURN).cast("int") % (360 // TURN), F.round(F.log2(zoom) * 2).cast("int").alias("zoom"), shift_row.alias("r"), shift_col.alias("c"),
-    ).toDF("query", "image", "corner", "turn", "zoom", "r", "c")
+    half = lambda x: F.floor(2 * x / SHIFT).cast("int")
+    votes = near.where(first & (differ <= BITS)).select(
+        F.col("q_id").alias("query"), F.col("_id").alias("image"), F.xxhash64("q_row", "q_col").alias("corner"),
+        (F.round(turn / TURN).cast("int") % (360 // TURN)).alias("turn"), F.round(F.log2(zoom) * 2).cast("int").alias("zoom"),
+        half(shift_row).alias("r"), half(shift_col).alias("c"),
+    )
+    votes = votes.repartition("query", "image")
     # Each shift votes for its own bin and the next one, so that a movement near a border is not split.
-    both = lambda x: F.explode(F.array(F.floor(x / SHIFT), F.floor(x / SHIFT + 0.5) + F.lit(1 << 20)))
+    both = lambda x: F.explode(F.array(F.floor(x / 2), F.floor((x + 1) / 2) + F.lit(1 << 20)))
     votes = votes.select("query", "image", "corner", "turn", "zoom", both(F.col("r")).alias("r"), "c").select("query", "image", "corner", "turn", "zoom", "r", both(F.col("c")).alias("c")).distinct()
     seen = votes.groupBy("query", "image", "turn", "zoom", "r", "c").agg(F.count(F.lit(1)).alias("n"))
     return seen.groupBy("query", "image").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
