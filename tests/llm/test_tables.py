@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from subvox.llm import images, minhash, mixing, pages
 from test_texts import docs_of, odd, prose  # noqa: F401  (fixture)
@@ -211,3 +212,30 @@ def test_pipeline(spark, tmp_path, odd):  # noqa: F811
     packed = cp.run(spark, str(tmp_path))
     assert set(r.doc_id for r in packed.select("doc_id").distinct().collect()) == set(seen["mixing"])
     assert cp.ORACLE_SQL is None
+
+
+def test_pairs_near_a_hub_lose_no_link(spark):
+    """Sets that differ from the hub in 0 to 60 % of their items, and copies of the far ones: all links between components are named."""
+    rng, hub = np.random.default_rng(5), set(range(100))
+    sets = {0: hub}
+    for i in range(1, 90):
+        if i % 3 == 0 and len(sets[i - 1] & hub) < 89:  # near the one before, far from the hub
+            base, changed = sets[i - 1], int(rng.integers(0, 8))
+        else:
+            base, changed = hub, int(rng.integers(0, 45))
+        gone = set(rng.choice(sorted(base), changed, replace=False).tolist())
+        sets[i] = (base - gone) | {int(x) for x in rng.integers(100, 260, changed)}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    home = {0, *(b for (a, b), j in like.items() if a == 0 and j >= 0.8)}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "_id long, _items array<long>")
+    against = minhash._against(rows.select(F.lit(0).cast("long").alias("_hub"), "_id"), rows)
+    seen = {r["_id"]: r for r in against.collect()}
+    assert all(seen[b]["common"] / seen[b]["union"] == like[0, b] for b in sets if b)
+    now = spark.createDataFrame([(0, i, len(s), 1 - (like[0, i] if i else 1.0), 0 if i in home else i) for i, s in sets.items()], "_hub long, _id long, _n long, _d double, _root long")
+    roots = spark.createDataFrame([(i, 0) for i in sorted(home)], "id long, root long")
+    found = {(r["a"], r["b"]) for r in minhash._differing_alike(now, against, roots, 80).collect()}
+    near = {0, *(b for b in sets if b and like[0, b] >= 0.5)}
+    need = {p for p, j in like.items() if j >= 0.8 and set(p) <= near and not set(p) <= home}
+    assert len(need) > 10 and need <= found
+    assert not any(set(p) <= home for p in found)
+    assert len(found) < len(near) * (len(near) - 1) / 4
