@@ -73,3 +73,10 @@ LM_WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 
 # --- fixed values: shrinkage and window of the covariance features ---
 SPD_ETA, SPD_WINDOW_MS, SPD_STEP_MS = 0.1, 100, 50
+
+# --- fixed values: adaption of the token gate (smoothed confidence that lowers or raises the threshold, step, pull) ---
+GATE_EASY, GATE_HARD, GATE_STEP, GATE_PULL = 0.85, 0.60, 0.02, 0.05
+
+# --- fixed values: reasons in recalibration messages ---
+REASON_DEFICIT, REASON_MOTION = "snr_deficit_%.1fdb", "motion_index_%.2f"
+REASON_STREAK, REASON_UNKNOWN = "sustained_low_snr", "missing_baseline_or_session_snr"

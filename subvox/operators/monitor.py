@@ -3,132 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subvox.plans.inorder import in_order
+from subvox.functions.fixed import REASON_DEFICIT, REASON_MOTION, REASON_UNKNOWN
+from subvox.functions.recurrence import STATUS_FIELDS, TOKEN_FIELDS, GateConfig, RecalConfig, Recalibration, TokenGate, spaced
+from subvox.plans.inorder import in_order_frames
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import drop_halo, halo_window, last_known, running_sum, with_halo
 
 
-@dataclass(frozen=True)
-class GateConfig:
-    """Settings of the token gate."""
-
-    stable_n: int = 3
-    cooldown_ms: float = 250.0
-    min_confidence: float = 0.70
-    blank: str | None = None
-    adaptive: bool = False
-    alpha: float = 0.1
-    low: float = 0.5
-    high: float = 0.95
-    baseline_snr_db: float | None = None
-    deficit_scale: float = 0.015
-    deficit_cap: float = 0.22
-
-
-@dataclass(frozen=True)
-class RecalConfig:
-    """Settings of the recalibration monitor."""
-
-    warn_db: float = 3.0
-    motion_warn: float = 0.40
-    streak: int = 3
-    cooldown_s: float = 30.0
-    alpha: float = 0.15
-
-
-# --- one step of each monitor, shared by batch and stream -------------------------------
-
-
-def gate_step(cfg: GateConfig, state: dict, token: str, conf: float, t: float, snr: float | None, abstain: bool):
-    """Next token event or None; ``state`` is changed in place.
-
-    Keys: ``tokens``, ``confs`` (last ``stable_n``), ``threshold``, ``ema``, ``last_token``, ``last_t``.
-    """
-    if abstain:
-        state["tokens"], state["confs"] = [], []
-        return None
-    base = cfg.min_confidence
-    if cfg.adaptive:
-        a = min(1.0, max(1e-6, cfg.alpha))
-        state["ema"] = conf if state["ema"] is None else (1 - a) * state["ema"] + a * conf
-        move = 0.02 * max(a, 0.05)
-        if state["ema"] > 0.85:
-            moved = state["threshold"] - move
-        elif state["ema"] < 0.60:
-            moved = state["threshold"] + move
-        else:
-            moved = (1 - 0.05 * a) * state["threshold"] + 0.05 * a * base
-        state["threshold"] = float(np.clip(moved, cfg.low, cfg.high))
-    else:
-        state["threshold"] = base
-    state["tokens"] = [*state["tokens"], token][-cfg.stable_n :]
-    state["confs"] = [*state["confs"], conf][-cfg.stable_n :]
-    if len(state["tokens"]) < cfg.stable_n or len(set(state["tokens"])) > 1 or token == cfg.blank:
-        return None
-    lift = 0.0
-    if cfg.baseline_snr_db is not None and snr is not None:
-        lift = min(cfg.deficit_cap, max(0.0, cfg.baseline_snr_db - snr) * cfg.deficit_scale)
-    gate = float(np.clip(state["threshold"] + lift, cfg.low, cfg.high + cfg.deficit_cap))
-    mean = float(np.mean(state["confs"]))
-    if mean < gate or (token == state["last_token"] and t - state["last_t"] < cfg.cooldown_ms / 1000):
-        return None
-    state["last_token"], state["last_t"] = token, t
-    return token, mean, gate
-
-
-def gate_start(cfg: GateConfig) -> dict:
-    return {"tokens": [], "confs": [], "threshold": cfg.min_confidence, "ema": None, "last_token": None, "last_t": 0.0}
-
-
-def recal_step(cfg: RecalConfig, state: dict, snr: float | None, motion: float, baseline: float, t: float) -> tuple:
-    """``(snr_ema, deficit, streak, suggested, broadcast, reasons)``; ``state`` is changed in place."""
-    reasons, deficit = [], 0.0
-    if snr is not None:
-        state["ema"] = snr if state["ema"] is None else (1 - cfg.alpha) * state["ema"] + cfg.alpha * snr
-        deficit = max(0.0, baseline - state["ema"])
-        low = deficit >= cfg.warn_db
-        state["streak"] = state["streak"] + 1 if low else 0
-        if low:
-            reasons.append(f"snr_deficit_{deficit:.1f}db")
-    if motion >= cfg.motion_warn:
-        reasons.append(f"motion_index_{motion:.2f}")
-    suggested = state["streak"] >= cfg.streak
-    if suggested and not reasons:
-        reasons.append("sustained_low_snr")
-    send = suggested and t - state["last_t"] >= cfg.cooldown_s
-    if send:
-        state["last_t"] = t
-    return state["ema"], deficit, state["streak"], suggested, send, reasons
-
-
-def recal_start() -> dict:
-    return {"ema": None, "streak": 0, "last_t": 0.0}
-
-
 def stabilize_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """Token events of each session from ``session_id, step, t, token, confidence, snr_db, abstain``."""
     sid = predictions.schema["session_id"].dataType.simpleString()
-    none = lambda v: None if v is None or v != v else float(v)
-
-    def machine():
-        state = gate_start(cfg)
-
-        def step(row):
-            hit = gate_step(cfg, state, row.token, float(row.confidence), float(row.t), none(row.snr_db), bool(row.abstain))
-            return [(row.session_id, row.step, row.t, *hit)] if hit else []
-
-        return step
-
     cols = predictions.select("session_id", "step", "t", "token", "confidence", "snr_db", "abstain")
-    return in_order(
-        cols, ["session_id"], ["step"], f"session_id {sid}, step bigint, t double, token string, confidence double, gate double", machine
-    )
+    return in_order_frames(cols, ["session_id"], ["step"], f"session_id {sid}, {TOKEN_FIELDS}", lambda: TokenGate(cfg).events)
 
 
 def stable_runs(predictions: DataFrame, n: int = 3, min_confidence: float = 0.70, chunk: int = 65_536) -> DataFrame:
@@ -159,22 +50,8 @@ def low_streaks(quality: DataFrame, deficit: Column, warn_db: float = 3.0, strea
 def recalibration_monitor(readings: DataFrame, cfg: RecalConfig = RecalConfig()) -> DataFrame:
     """Smoothed SNR, deficit, streak and broadcasts from ``session_id, seq, t, snr_db, motion_index, baseline``."""
     sid = readings.schema["session_id"].dataType.simpleString()
-
-    def machine():
-        state = recal_start()
-
-        def step(row):
-            snr = None if row.snr_db is None or row.snr_db != row.snr_db else float(row.snr_db)
-            out = recal_step(cfg, state, snr, float(row.motion_index), float(row.baseline), float(row.t))
-            return [(row.session_id, row.seq, *out[:5], "; ".join(out[5]))]
-
-        return step
-
-    schema = (
-        f"session_id {sid}, seq bigint, snr_ema double, snr_deficit_db double, low_streak bigint, suggested boolean, "
-        "broadcast boolean, reasons string"
-    )
-    return in_order(readings.select("session_id", "seq", "t", "snr_db", "motion_index", "baseline"), ["session_id"], ["seq"], schema, machine)
+    cols = readings.select("session_id", "seq", "t", "snr_db", "motion_index", "baseline")
+    return in_order_frames(cols, ["session_id"], ["seq"], f"session_id {sid}, {STATUS_FIELDS}", lambda: Recalibration(cfg).status)
 
 
 def session_recal_check(sessions: DataFrame, warn_db: float = 3.0, motion_warn: float = 0.40) -> DataFrame:
@@ -185,8 +62,8 @@ def session_recal_check(sessions: DataFrame, warn_db: float = 3.0, motion_warn:
     suggested = known & (snr < base - warn_db)
     notes = F.array_compact(
         F.array(
-            F.when(deficit >= warn_db, F.format_string("snr_deficit_%.1fdb", deficit)),
-            F.when(motion >= motion_warn, F.format_string("motion_index_%.2f", motion)),
+            F.when(deficit >= warn_db, F.format_string(REASON_DEFICIT, deficit)),
+            F.when(motion >= motion_warn, F.format_string(REASON_MOTION, motion)),
         )
     )
     return sessions.select(
@@ -194,7 +71,7 @@ def session_recal_check(sessions: DataFrame, warn_db: float = 3.0, motion_warn:
         F.when(known, deficit).otherwise(0.0).alias("snr_deficit_db"),
         suggested.alias("suggested"),
         suggested.cast("long").alias("low_streak"),
-        F.when(known, notes).otherwise(F.array(F.lit("missing_baseline_or_session_snr"))).alias("reasons"),
+        F.when(known, notes).otherwise(F.array(F.lit(REASON_UNKNOWN))).alias("reasons"),
     )
 
 
@@ -203,17 +80,15 @@ def throttle(events: DataFrame, keys: Sequence[str], interval_s: float, order: S
     fields = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
 
     def machine():
-        last = [None]
+        passed = [-np.inf]
 
-        def step(row):
-            if last[0] is not None and row.t - last[0] < interval_s:
-                return []
-            last[0] = row.t
-            return [(*[getattr(row, k) for k in keys], row.t)]
+        def step(pdf):
+            at, passed[0] = spaced(pdf["t"].to_numpy(), interval_s, passed[0])
+            return pdf.iloc[at]
 
         return step
 
-    return in_order(events.select(*keys, "t"), keys, order, f"{fields}, t double", machine)
+    return in_order_frames(events.select(*keys, "t"), keys, order, f"{fields}, t double", machine)
 
 
 def ptt_utterances(

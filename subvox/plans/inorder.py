@@ -44,3 +44,25 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: s
             yield pd.DataFrame(last, columns=names)
 
     return df.repartition(tasks(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def in_order_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, machine: Machine) -> DataFrame:
+    """Like ``in_order``, with ``machine()`` giving a function from a frame of a key's next rows to a frame of output rows.
+
+    A frame holds the rows that one Arrow batch has of the key, so a key of any size comes in bounded pieces.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, step = None, None
+        for pdf in batches:
+            number = pdf.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            edges = [0, *((number[1:] != number[:-1]).nonzero()[0] + 1), len(pdf)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                mine = tuple(None if pd.isna(v) else v for v in pdf[list(keys)].iloc[a])
+                if step is None or mine != key:
+                    key, step = mine, machine()
+                yield step(pdf.iloc[a:b])
+
+    return df.repartition(tasks(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

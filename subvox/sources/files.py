@@ -16,7 +16,7 @@ from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subvox.functions.fixed import TRIAL_SAMPLES, TRIAL_WORD_SAMPLES
@@ -154,13 +154,13 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return texts.mapInPandas(parse, EVENT_FIELDS)
 
 
-def word_bounds(n_samples: int, n_words: int) -> list[tuple[int, int]]:
-    """Sample range of each word of a trial: the official cut for whole trials, else equal parts."""
-    if n_samples == TRIAL_SAMPLES and n_words == len(TRIAL_WORD_SAMPLES):
-        edges = np.concatenate([[0], np.cumsum(TRIAL_WORD_SAMPLES)])
-        return [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
-    each = max(1, n_samples // n_words)
-    return [(w * each, n_samples if w == n_words - 1 else (w + 1) * each) for w in range(n_words)]
+def word_span(samples: int, word: Column, words: Column) -> tuple[Column, Column]:
+    """First sample and end of word number ``word`` out of ``words``: the fixed cut for whole trials, else equal parts, the rest to the last."""
+    fixed = (words == len(TRIAL_WORD_SAMPLES)) & F.lit(samples == TRIAL_SAMPLES)
+    edges = F.array(*[F.lit(int(e)) for e in np.cumsum([0, *TRIAL_WORD_SAMPLES])])
+    each = F.greatest(F.floor(F.lit(samples) / words), F.lit(1)).cast("long")
+    equal_end = F.when(word + 1 == words, F.lit(samples)).otherwise((word + 1) * each)
+    return F.when(fixed, F.get(edges, word)).otherwise(word * each), F.when(fixed, F.get(edges, word + 1)).otherwise(equal_end)
 
 
 def read_trial_cube(spark: SparkSession, data: str, labels: str, *, words: int = 4, zscore: bool = True, fs_hz: float = 5000.0) -> tuple[DataFrame, DataFrame]:
@@ -188,16 +188,16 @@ def read_trial_cube(spark: SparkSession, data: str, labels: str, *, words: int =
                     }
                 )
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["trial_id"]:
-                row = npy_rows(labels, int(t), 1)[0]
-                out = [
-                    (str(t), w, a, b, str(row[w]), int(t), w) for w, (a, b) in enumerate(word_bounds(shape[2], min(words, len(row)))) if b - a >= 16
-                ]
-                yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in EVENT_FIELDS.split(", ")])
-
-    events = trials.mapInPandas(spans, EVENT_FIELDS).withColumn("label", slug(F.col("label")))
+            lists = [[str(w) for w in npy_rows(labels, int(t), 1)[0][:words]] for t in pdf["trial_id"]]
+            yield pd.DataFrame({"trial_id": pdf["trial_id"], "labels": lists})
+
+    said = trials.mapInPandas(spoken, "trial_id long, labels array<string>").select("trial_id", F.size("labels").alias("n"), F.posexplode("labels").alias("word", "label"))
+    start, end = word_span(shape[2], F.col("word"), F.col("n"))
+    said = said.withColumns({"session_id": F.col("trial_id").cast("string"), "start_sample": start, "end_sample": end, "event_id": F.col("word"), "word_idx": F.col("word")}).where("end_sample - start_sample >= 16")
+    events = said.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in EVENT_FIELDS.split(", ")])
+    events = events.withColumn("label", slug(F.col("label")))
     return trials.mapInPandas(load, BLOCK_FIELDS), events
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[Any, Any], tuple[Any, list[tuple]]]
+Feed = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
 def keyed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], Any], step: Step, idle_ms: int | None = None) -> DataFrame:
@@ -25,20 +26,29 @@ def keyed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema:
     """
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
+    def feed(state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
+        out: list[tuple] = []
+        for row in rows.itertuples(index=False):
+            state, more = step(state, row)
+            out.extend(more)
+        return state, pd.DataFrame(out, columns=names)
+
+    return keyed_frames(stream, keys, order, schema, start, feed, idle_ms)
+
+
+def keyed_frames(stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], Any], feed: Feed, idle_ms: int | None = None) -> DataFrame:
+    """``feed(state, frame) -> (state, frame)`` once for the new rows of a key in a micro-batch, in the given order."""
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState) -> Iterator[pd.DataFrame]:
         if saved.hasTimedOut:
             saved.remove()
             return
         state = pickle.loads(saved.get[0]) if saved.exists else start()
-        out: list[tuple] = []
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        for row in rows.itertuples(index=False):
-            state, more = step(state, row)
-            out.extend(more)
+        state, out = feed(state, pd.concat(list(batches)).sort_values(list(order), kind="stable"))
         saved.update((pickle.dumps(state),))
         if idle_ms:
             saved.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=names)
+        yield out
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", timeout)

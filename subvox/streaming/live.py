@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from subvox.functions import kernels as k
 from subvox.functions.design import mode_filter
+from subvox.functions.recurrence import STATUS_FIELDS, TOKEN_FIELDS, GateConfig, RecalConfig, Recalibration, TokenGate, spaced
 from subvox.operators.filtering import EMA_CHUNK
-from subvox.operators.monitor import GateConfig, RecalConfig, gate_start, gate_step, recal_start, recal_step
-from subvox.streaming.keyed import keyed
+from subvox.streaming.keyed import keyed, keyed_frames
 
 Scorer = Callable[[np.ndarray], tuple[str, float, bool]]
 
@@ -146,40 +146,26 @@ def stream_windows(blocks: DataFrame, *, window_ms: float = 600, stride_ms: floa
 
 def stream_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """Debounced tokens from live predictions, with the adaptive gate if configured."""
-
-    def step(state, row):
-        hit = gate_step(cfg, state, row.token, float(row.confidence), float(row.t), _number(row.snr_db), bool(row.abstain))
-        return state, [(row.session_id, row.step, row.t, *hit)] if hit else []
-
-    schema = f"session_id {_type(predictions)}, step bigint, t double, token string, confidence double, gate double"
     cols = predictions.select("session_id", "step", "t", "token", "confidence", "snr_db", "abstain")
-    return keyed(cols, ["session_id"], ["step"], schema, lambda: gate_start(cfg), step)
+    feed = lambda gate, pdf: (gate, gate.events(pdf))
+    return keyed_frames(cols, ["session_id"], ["step"], f"session_id {_type(predictions)}, {TOKEN_FIELDS}", lambda: TokenGate(cfg), feed)
 
 
 def stream_recalibration(readings: DataFrame, cfg: RecalConfig = RecalConfig()) -> DataFrame:
     """Recalibration status after every quality reading."""
-
-    def step(state, row):
-        out = recal_step(cfg, state, _number(row.snr_db), float(row.motion_index), float(row.baseline), float(row.t))
-        return state, [(row.session_id, row.seq, *out[:5], "; ".join(out[5]))]
-
-    schema = (
-        f"session_id {_type(readings)}, seq bigint, snr_ema double, snr_deficit_db double, low_streak bigint, suggested boolean, "
-        "broadcast boolean, reasons string"
-    )
     cols = readings.select("session_id", "seq", "t", "snr_db", "motion_index", "baseline")
-    return keyed(cols, ["session_id"], ["seq"], schema, recal_start, step)
+    feed = lambda monitor, pdf: (monitor, monitor.status(pdf))
+    return keyed_frames(cols, ["session_id"], ["seq"], f"session_id {_type(readings)}, {STATUS_FIELDS}", lambda: Recalibration(cfg), feed)
 
 
 def stream_throttle(events: DataFrame, key: str, interval_s: float) -> DataFrame:
     """At most one event per key and interval."""
 
-    def step(last, row):
-        if last is not None and row.t - last < interval_s:
-            return last, []
-        return row.t, [(getattr(row, key), row.t)]
+    def feed(last, pdf):
+        at, last = spaced(pdf["t"].to_numpy(), interval_s, last)
+        return last, pdf.iloc[at]
 
-    return keyed(events.select(key, "t"), [key], ["t"], f"{key} {_type(events, key)}, t double", lambda: None, step)
+    return keyed_frames(events.select(key, "t"), [key], ["t"], f"{key} {_type(events, key)}, t double", lambda: -np.inf, feed)
 
 
 def stream_utterances(rows: DataFrame, fs_hz: float, *, pre_roll: int = 8, min_ms: float = 200, max_ms: float = 15_000) -> DataFrame:
@@ -219,7 +205,7 @@ def stream_decode(
     """
 
     def step(state, row):
-        pre, held, first, ends, number, gate = state or (Preprocessor(alpha, False), None, 0, None, 0, gate_start(cfg))
+        pre, held, first, ends, number, gate = state or (Preprocessor(alpha, False), None, 0, None, 0, TokenGate(cfg))
         fs = float(row.fs_hz)
         win, stride = max(1, int(fs * window_ms / 1000)), max(1, int(fs * stride_ms / 1000))
         x = k.frames(row.samples, row.channels)
@@ -229,12 +215,10 @@ def stream_decode(
             ends = first + win
         held = np.vstack([held, y])
         done, ends = _new_windows(held, first, ends, win, stride)
-        out = []
-        for i, (end, window) in enumerate(done):
-            token, conf, abstain = scorer(window)
-            hit = gate_step(cfg, gate, token, float(conf), end / fs, None, bool(abstain))
-            if hit:
-                out.append((row.session_id, number + i, end / fs, *hit))
+        scored = [(end / fs, *scorer(window)) for end, window in done]
+        t, token, conf, abstain = (np.array(v, kind) for v, kind in zip(zip(*scored) if scored else [()] * 4, (float, object, float, bool)))
+        at, mean, level = gate.feed(t, token, conf, np.full(len(t), np.nan), abstain)
+        out = [(row.session_id, number + i, t[i], token[i], m, g) for i, m, g in zip(at, mean, level)]
         drop = len(held) - min(len(held), max(0, first + len(held) - (ends - win)))
         return (pre, held[drop:], first + drop, ends, number + len(done), gate), out
 
