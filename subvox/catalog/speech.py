@@ -193,8 +193,7 @@ def centroid_cosine(spark, sf):
 
 @query(
     "phone_templates",
-    """WITH d AS (SELECT vec_id, CAST(label AS VARCHAR) AS phone, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('1337:' || vec_id)) AS r FROM embeddings),
-v AS (SELECT phone, vec_id, unnest(range(0, 64)) AS k, unnest(embedding)::DOUBLE AS x FROM d WHERE r <= 40),
+    """WITH v AS (SELECT CAST(label AS VARCHAR) AS phone, vec_id, unnest(range(0, 64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
 c AS (SELECT phone, k, avg(abs(x)) AS rms, avg(x) AS s, count(*) AS n FROM v GROUP BY ALL),
 t AS (SELECT phone, avg(rms) AS rate, max(n) AS n, sum(rms) AS rms_total, sum(s) AS sigma_total FROM c GROUP BY phone)
 SELECT phone, n AS n_segments, round(rms_total, 5) AS rms_total, round(sigma_total, 5) + 0.0 AS sigma_total, CAST(128 AS BIGINT) AS n_features,
@@ -203,7 +202,7 @@ SELECT phone, n AS n_segments, round(rms_total, 5) AS rms_total, round(sigma_tot
 def phone_templates(spark, sf):
     f = px.px_frames(spark, sf)
     segments = f.select("frame", F.col("phone").cast("string").alias("phone"), F.transform("x", lambda v: F.abs(v)).alias("rms"), F.col("x").alias("sigma"))
-    t = ph.phone_templates(segments, ["frame"], cap=40)
+    t = ph.phone_templates(segments, ["frame"])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     return t.select(
         "phone", "n_segments", F.round(total("channel_rms"), 5).alias("rms_total"), (F.round(total("spd_diag_delta"), 5) + 0.0).alias("sigma_total"),

@@ -203,7 +203,7 @@ def calibrate(
     notes = F.array_compact(
         F.array(
             F.when(F.col("n_low_tokens") > 0, F.format_string("%d tokens under %d samples", "n_low_tokens", F.lit(min_samples))),
-            F.when(F.col("motion_index") > motion_warn, F.format_string("High motion artifact index: %.3f", "motion_index")),
+            F.when(F.col("motion_index") > motion_warn, F.format_string("motion share %.3f is too high", "motion_index")),
         )
     )
     rejected = (F.col("motion_index") > motion_reject) if strict else F.lit(False)

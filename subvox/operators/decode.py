@@ -67,11 +67,11 @@ def _paths(logp: np.ndarray, words: list[list[int]]) -> np.ndarray:
     return np.maximum(alpha[rows, size - 1], alpha[rows, size - 2])
 
 
-def lexicon_scores(utterances: DataFrame, lm: TrialLM, lexicon: DataFrame, *, topk: int = 16, full_slot: int = 120, key: str = "utt_id") -> DataFrame:
+def lexicon_scores(utterances: DataFrame, lm: TrialLM, lexicon: DataFrame, *, topk: int | None = None, key: str = "utt_id") -> DataFrame:
     """``(utt, slot, word, score, rank)`` of the candidates of each utterance's slot.
 
-    ``utterances(key, slot, logp array<array>)``. Slots with up to ``full_slot`` words keep
-    all of them, larger ones the ``topk`` best. An utterance row meets one array of its
+    ``utterances(key, slot, logp array<array>)``. All words of a slot are kept, or the ``topk``
+    best. An utterance row meets one array of its
     slot's words (a closed vocabulary), so its posteriors are not repeated per word.
     """
     ids = {p: i for i, p in enumerate(PHONES)}
@@ -87,7 +87,7 @@ def lexicon_scores(utterances: DataFrame, lm: TrialLM, lexicon: DataFrame, *, to
                 words = [c["word"] for c in cands]
                 values = _paths(np.vstack(list(logp)), [[ids[p] for p in c["phones"] if p in ids] for c in cands])
                 order = np.lexsort((np.arange(len(words)), -values))
-                order = order if len(words) <= full_slot else order[: max(1, topk)]
+                order = order[:topk]
                 yield pd.DataFrame(
                     {key: utt, "slot": slot, "word": [words[i] for i in order], "score": values[order], "rank": np.arange(1, len(order) + 1)}
                 )

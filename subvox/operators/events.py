@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subvox.functions.fixed import NOTE_LABEL
 from subvox.plans.joins import spread_join
 
 
@@ -78,9 +79,7 @@ def split_mode_of(meta: Column) -> Column:
 
 def label_counts(events: DataFrame, min_count: int = 50, keys: Sequence[str] = ()) -> DataFrame:
     counts = events.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    note = F.concat(
-        F.lit("Token '"), "label", F.lit("' has only "), F.col("n").cast("string"), F.lit(f" samples (recommended: {min_count}+)")
-    )
+    note = F.when(F.col("label").isNotNull(), F.format_string(NOTE_LABEL, "label", "n", F.lit(int(min_count))))
     return counts.withColumn("warning", F.when(F.col("n") < min_count, note))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subvox.functions.fixed import BASE_LEXICON, PHONES
+from subvox.functions.fixed import BASE_LEXICON, PHONE_PATTERN, PHONES
 from subvox.functions.text import normalize_word
 from subvox.plans.joins import spread_join
 
@@ -71,7 +71,7 @@ def overlay(base: DataFrame, user: DataFrame) -> DataFrame:
 
 def validate_lexicon(lexicon: DataFrame) -> DataFrame:
     """``word, issue, phone``: empty phone lists and malformed phones."""
-    bad = F.filter("phones", lambda p: ~p.rlike(r"^[A-Za-z@][A-Za-z0-9@\-]*$"))
+    bad = F.filter("phones", lambda p: ~p.rlike(PHONE_PATTERN))
     empty = F.array(F.struct(F.lit("empty phone list").alias("issue"), F.lit(None).cast("string").alias("phone")))
     listed = F.transform(bad, lambda p: F.struct(F.lit("invalid phone").alias("issue"), p.alias("phone")))
     found = F.when(F.size("phones") == 0, empty).otherwise(listed)

@@ -67,20 +67,20 @@ def distance_rate(pairs: DataFrame, hyp: str, ref: str, keys: Sequence[str] = ()
     return out.withColumn("rate", F.col("distance") / F.greatest(F.col("ref_length"), F.lit(1)))
 
 
-def word_error_rate(pred: DataFrame, trial: str = "trial_id", slot: str = "word_idx", segment: int = 512) -> DataFrame:
+def word_error_rate(pred: DataFrame, trial: str = "trial_id", slot: str = "word_idx", segment: int | None = None) -> DataFrame:
     """Corpus WER: edit distance per trial, summed, over the number of words.
 
-    Trials longer than ``segment`` words are aligned segment by segment, so a trial of any
-    length stays in bounded tasks. Inside a segment every distinct word stands for one
-    character, which makes the built-in string distance a word distance.
+    Every distinct word of a trial stands for one character, which makes the built-in string
+    distance a word distance; its memory grows with the words of one trial. With ``segment``,
+    runs of that many slots are aligned on their own, which can only raise the distance.
     """
-    part = F.floor(F.col(slot) / segment)
+    part = F.floor(F.col(slot) / segment) if segment else F.lit(0)
     lines = pred.groupBy(trial, part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct(slot, "ref", "hyp"))).alias("w"))
     lines = once(lines, known=F.array_distinct(F.concat("w.ref", "w.hyp")))
 
     def letters(words: Column) -> Column:
-        code = lambda w: F.lit(0x4E00) + F.array_position("known", w)
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(code(w))), "UTF-16BE")), "")
+        code = lambda w: F.lpad(F.hex(F.lit(0x10000) + F.array_position("known", w)), 8, "0")
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
 
     strings = lines.select(letters(F.col("w.ref")).alias("ref"), letters(F.col("w.hyp")).alias("hyp"))
     return distance_rate(strings, "hyp", "ref").select(

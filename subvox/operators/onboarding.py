@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subvox.operators import spd
 
 
-def onboard(events: DataFrame, profiles: DataFrame, win: int, step: int, *, user: str = "user_id", cap: int = 8000, seed: int = 1337) -> tuple[DataFrame, DataFrame]:
+def onboard(events: DataFrame, profiles: DataFrame, win: int, step: int, *, user: str = "user_id", cap: int | None = None, seed: int = 1337) -> tuple[DataFrame, DataFrame]:
     """``(bases, profile rows)`` from the filtered training events of all users.
 
     A user without a profile gets the default one. ``events`` carry the user column, the

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from subvox.functions.arrays import distance, dot, norm, once
 from subvox.functions.fixed import PHONE_MS, PHONE_MS_OTHER, PHONE_WEIGHT, PHONE_WEIGHT_OTHER
-from subvox.plans.draws import draw, quota_cut
+from subvox.plans.draws import drawn_rows
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import exact_percentiles
 
@@ -70,16 +70,15 @@ def centroids(vectors: DataFrame, keys: Sequence[str], value: str = "v") -> Data
     return out.select(*keys, vector_to_array("_m").alias("centroid"), "n")
 
 
-def phone_templates(segments: DataFrame, row_key: Sequence[str], *, cap: int = 400, seed: int = 1337) -> DataFrame:
+def phone_templates(segments: DataFrame, row_key: Sequence[str], *, cap: int | None = None, seed: int = 1337) -> DataFrame:
     """Per phone: mean channel RMS, mean log-diagonal features (deltas 0), speaking rate
     against the mean over phones, number of segments.
 
-    ``segments(phone, rms array, sigma array)``; at most ``cap`` repeatably drawn segments
-    of a phone are used.
+    ``segments(phone, rms array, sigma array)``; with ``cap``, that many repeatably drawn
+    segments of a phone, else all.
     """
-    keyed = segments.withColumn("phone", F.upper(F.trim("phone"))).withColumn("_draw", draw(seed, *row_key))
-    cuts = quota_cut(keyed, ["phone"], "_draw", keyed.groupBy("phone").agg(F.lit(cap).alias("_q")), "_q")
-    kept = spread_join(keyed, cuts, ["phone"], salt_by=["_draw"]).where("_draw <= _cut")
+    keyed = segments.withColumn("phone", F.upper(F.trim("phone")))
+    kept = keyed if cap is None else drawn_rows(keyed, ["phone"], row_key, cap, seed)
     rms = centroids(kept, ["phone"], "rms").withColumnRenamed("centroid", "channel_rms").withColumnRenamed("n", "n_segments")
     sigma = centroids(kept, ["phone"], "sigma").select("phone", F.col("centroid").alias("_s"))
     out = rms.join(sigma, "phone")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from subvox.functions import kernels as k
+from subvox.functions.fixed import NOTE_MOTION, NOTE_SNR
 from subvox.operators.filtering import motion_sessions
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import exact_percentiles
@@ -120,8 +121,8 @@ def session_snr(per_channel: DataFrame) -> DataFrame:
 
 
 def quality_notes(snr: Column, motion: Column) -> Column:
-    low = F.format_string("Low SNR detected: %.2f dB (recommended: >15 dB)", snr)
-    high = F.format_string("High motion artifacts: %.3f (recommended: <0.2)", motion)
+    low = F.format_string(NOTE_SNR, snr)
+    high = F.format_string(NOTE_MOTION, motion)
     return F.array_compact(F.array(F.when(snr < 10, low), F.when(motion > 0.3, high)))
 
 

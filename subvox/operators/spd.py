@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from subvox.functions import kernels as k
 from subvox.functions.arrays import once
 from subvox.functions.fixed import SPD_ETA, SPD_STEP_MS, SPD_WINDOW_MS
-from subvox.plans.draws import draw, quota_cut, uniform
+from subvox.plans.draws import draw, drawn_rows, uniform
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import drop_halo, halo_window, with_halo
 
@@ -83,14 +83,11 @@ def log_euclidean_mean(covs: DataFrame, keys: Sequence[str], eta: float = SPD_ET
 
 
 def fit_basis(
-    covs: DataFrame, keys: Sequence[str], row_key: Sequence[str], *, cap: int = 8000, seed: int = 1337, eta: float = SPD_ETA
+    covs: DataFrame, keys: Sequence[str], row_key: Sequence[str], *, cap: int | None = None, seed: int = 1337, eta: float = SPD_ETA
 ) -> DataFrame:
-    """Eigenbasis ``q`` (row-major C x C) per key from at most ``cap`` matrices of it, drawn repeatably."""
+    """Eigenbasis ``q`` (row-major C x C) per key from all its matrices, or from ``cap`` repeatably drawn ones."""
     keys = list(keys)
-    drawn = covs.withColumn("_draw", draw(seed, *row_key))
-    cuts = quota_cut(drawn, keys, "_draw", drawn.groupBy(*keys).agg(F.lit(int(cap)).alias("_q")), "_q")
-    kept = spread_join(drawn, cuts, keys, salt_by=["_draw"]).where("_draw <= _cut")
-    means = log_euclidean_mean(kept, keys, eta)
+    means = log_euclidean_mean(covs if cap is None else drawn_rows(covs, keys, row_key, cap, seed), keys, eta)
     return means.select(*keys, _basis("mean_log").alias("q"), "n_matrices")
 
 

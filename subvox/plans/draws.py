@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subvox.plans.joins import spread_join
+
 
 def draw(seed: int, *cols: str | Column) -> Column:
     """md5 text of ``seed:col:col``; its text order is the random order."""
@@ -57,3 +59,10 @@ def quota_cut(
         .join(wanted, keys).where("_q > _n").select(*keys, F.col("_top").alias("_cut"))
     )
     return part.unionByName(whole)
+
+
+def drawn_rows(rows: DataFrame, keys: Sequence[str], row_key: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``n`` repeatably drawn rows of each key, or all of a smaller one."""
+    drawn = rows.withColumn("_draw", draw(seed, *row_key))
+    cuts = quota_cut(drawn, keys, "_draw", drawn.groupBy(*keys).agg(F.lit(int(n)).alias("_q")), "_q")
+    return spread_join(drawn, cuts, keys, salt_by=["_draw"]).where("_draw <= _cut").drop("_draw", "_cut")

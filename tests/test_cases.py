@@ -268,6 +268,8 @@ def test_error_rates(spark):
     pred = spark.createDataFrame(words, "trial_id long, word_idx long, ref string, hyp string")
     assert m.word_error_rate(pred).first().wer == pytest.approx(0.25)
     assert m.word_error_rate(pred, segment=2).first().n_words == 4
+    shifted = spark.createDataFrame([(0, i, f"w{i % 999}", f"w{(i + 1) % 999}" if i < 1099 else "end") for i in range(1100)], pred.schema)
+    assert m.word_error_rate(shifted).first().distance == 2  # one alignment of the whole trial
 
 
 def test_absent_class_scores_zero(spark):
