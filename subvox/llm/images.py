@@ -2,7 +2,7 @@
 
 Corners are found on several scales; each gets the direction of its patch's brightness centroid, and a descriptor of
 binary tests between points of the patch turned to that direction. Descriptors are cut into pieces, one Hamming table per
-piece: two descriptors meet if a piece is equal. Matches of two images vote for the turn, scale and shift
+piece: two descriptors meet if a piece is equal. The tables of a block of searched images are joined with all images. Matches of two images vote for the turn, scale and shift
 that carries one onto the other; images with enough corners behind one movement are copies, also if one is
 cropped, brightened or noisy.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subvox.llm.common import saved
+from subvox.llm.common import partitions, saved
+from subvox.session import checkpoint_dir
 
 #: Scales of the pyramid, as steps between sampled pixels.
 SCALES = (0.7, 1.0, 1.4)
@@ -33,6 +35,8 @@ RESPONSE = 0.02
 INLIERS, BITS = 4, 30
 #: Widths of the voting bins: degrees of turn, and pixels of shift.
 TURN, SHIFT = 30, 12
+#: Corners of a block of searched images; images that vote together, and pairs compared at once, in a task.
+BLOCK_CORNERS, IMAGES, CANDIDATES = 32_768, 32, 1 << 20
 
 
 @functools.cache
@@ -106,50 +110,143 @@ def pieces(bits: np.ndarray) -> np.ndarray:
     return parts @ (1 << np.arange(parts.shape[1], dtype=np.int64))
 
 
-def descriptor_rows(images: DataFrame, decode) -> DataFrame:
-    """``_id, _row, _col, _turn, _scale, _keys`` of each corner of ``_id, _data``; ``decode`` makes a gray array of the data."""
+IMAGE_FIELDS = "_id long, _n int, _row array<double>, _col array<double>, _turn array<double>, _scale array<double>, _keys array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(i, *c[:4], pieces(c[4])) for i, d in zip(batch["_id"], batch["_data"]) if (x := decode(d)) is not None for c in describe(x)]
-            yield pd.DataFrame(out, columns=["_id", "_row", "_col", "_turn", "_scale", "_keys"])
 
-    return images.mapInPandas(run, "_id long, _row double, _col double, _turn double, _scale double, _keys array<long>")
+def described(images: DataFrame, decode) -> DataFrame:
+    """One row per image of ``_id, _data`` that has corners: their number and values; ``decode`` makes a gray array of the data.
 
+    ``_keys`` holds the pieces of all corners, ``TABLES`` for each.
+    """
 
-def tabled(rows: DataFrame) -> DataFrame:
-    """A row per descriptor and Hamming table."""
-    return rows.select("*", F.posexplode("_keys").alias("_table", "_key"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, d in zip(batch["_id"], batch["_data"]):
+                corners = describe(x) if (x := decode(d)) is not None else []
+                if corners:
+                    values = [list(v) for v in zip(*(c[:4] for c in corners))]
+                    out.append((i, len(corners), *values, np.concatenate([pieces(c[4]) for c in corners])))
+            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in IMAGE_FIELDS.split(", ")])
+
+    return images.mapInPandas(run, IMAGE_FIELDS)
+
+
+class Corners:
+    """Corners of several images as flat arrays; ``of`` is the number of the image in ``ids``."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        flat = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in pdf[c]]) if len(pdf) else np.zeros(0, kind)
+        self.ids, n = pdf["_id"].to_numpy(np.int64), pdf["_n"].to_numpy(np.int64)
+        self.of, self.ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+        self.row, self.col, self.turn, self.scale = (flat(c, float) for c in ("_row", "_col", "_turn", "_scale"))
+        self.keys = flat("_keys", np.int64).reshape(-1, TABLES)
+
+
+class HammingTables:
+    """Sorted Hamming tables over the corners of a block of searched images."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.corners = c = Corners(pdf)
+        self.order = [np.argsort(c.keys[:, t], kind="stable") for t in range(TABLES)]
+        self.sorted = [c.keys[o, t] for t, o in enumerate(self.order)]
+        # Corners at one place, found on several scales, are one voter.
+        place = pd.DataFrame({"of": c.of, "row": c.row, "col": c.col})
+        self.voter = place.groupby(["of", "row", "col"]).ngroup().to_numpy()
+
+    def near(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (searched corner, row of ``keys``) that share a piece and differ in at most ``BITS`` bits; each pair once."""
+        found = []
+        for t in range(TABLES):
+            low, high = (np.searchsorted(self.sorted[t], keys[:, t], side) for side in ("left", "right"))
+            many = np.cumsum(high - low)
+            start = 0
+            while start < len(keys):  # slices of about CANDIDATES pairs
+                done = many[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(many, done + CANDIDATES, "right")))
+                size = (high - low)[start:stop]
+                mine = np.repeat(np.arange(start, stop), size)
+                at = np.arange(len(mine)) - np.repeat(np.cumsum(size) - size, size) + low[mine]
+                other = self.order[t][at]
+                differ = np.zeros(len(mine), np.uint8)
+                fresh = np.ones(len(mine), bool)
+                for u in range(TABLES):
+                    x = self.corners.keys[other, u] ^ keys[mine, u]
+                    differ += np.bitwise_count(x)
+                    if u < t:
+                        fresh &= x != 0
+                keep = fresh & (differ <= BITS)
+                found.append((other[keep], mine[keep]))
+                start = stop
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def votes(self, images: Corners, first: int, last: int) -> pd.DataFrame:
+        """``query, image, inliers`` of the images number ``first`` to ``last - 1``."""
+        begin = images.ends[first - 1] if first else 0
+        span = slice(begin, images.ends[last - 1])
+        q, i = self.near(images.keys[span])
+        i = i + begin
+        ask = self.corners
+        turn = np.mod(ask.turn[q] - images.turn[i], 360.0)
+        zoom = ask.scale[q] / images.scale[i]
+        cell = [ask.of[q], images.of[i], np.round(turn / TURN).astype(int) % (360 // TURN), np.round(np.log2(zoom) * 2).astype(int)]
+        # A movement has no more voters than matches of its turn and zoom, so rarer cells are left out at once.
+        busy = _often(cell)
+        q, i, turn, zoom, cell = q[busy], i[busy], turn[busy], zoom[busy], [c[busy] for c in cell]
+        cos, sin = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+        row, col = images.row[i] * zoom, images.col[i] * zoom
+        half = [np.floor(2 * x / SHIFT).astype(int) for x in (ask.row[q] - (cos * row + sin * col), ask.col[q] - (cos * col - sin * row))]
+        best = []
+        # Shifts are read off two grids, half a bin apart, so that a movement near a border is not split.
+        for down in (0, 1):
+            for right in (0, 1):
+                votes = pd.DataFrame(dict(zip("qitzrcv", [*cell, (half[0] + down) // 2, (half[1] + right) // 2, self.voter[q]])))
+                votes = votes[_often([votes[c].to_numpy() for c in "qitzrc"])].drop_duplicates()
+                best.append(votes.groupby(list("qitzrc")).size().groupby(["q", "i"]).max().rename("inliers").reset_index())
+        out = pd.concat(best).groupby(["q", "i"], as_index=False)["inliers"].max()
+        out = out[out["inliers"] >= INLIERS]
+        return pd.DataFrame({"query": ask.ids[out["q"].to_numpy(int)], "image": images.ids[out["i"].to_numpy(int)], "inliers": out["inliers"].to_numpy(np.int64)})
+
+
+def _often(parts: list[np.ndarray]) -> np.ndarray:
+    """Which rows share all parts with ``INLIERS`` rows or more, themselves included."""
+    code = np.zeros(len(parts[0]), np.int64)
+    for p in parts:
+        if len(p):
+            low, wide = int(p.min()), int(p.max() - p.min()) + 1
+            if int(code.max()) * wide > 1 << 62:
+                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            code = code * wide + (p - low)
+    _, at, n = np.unique(code, return_inverse=True, return_counts=True)
+    return n[at] >= INLIERS if len(code) else np.zeros(0, bool)
 
 
 def matched_images(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """``query, image, inliers`` of two tables of descriptors: pairs whose corners agree on one movement.
+    """``query, image, inliers`` of two tables of described images: pairs whose corners agree on one movement.
 
-    Two descriptors that meet in several tables count in the first one only, and a match is shuffled once, as one narrow
-    row; the bins it votes for are made behind that shuffle, where all votes of a pair of images already are.
+    The searched images go in blocks of about ``BLOCK_CORNERS`` corners, each sent to all tasks as Hamming tables. An image has
+    all its corners in one row, so its matches vote where they are found: nothing is shuffled, and a match is never
+    written. Only the pairs found are, block after block, to the shared folder.
     """
-    q = tabled(queries).select(*[F.col(c).alias("q" + c) for c in ("_id", "_row", "_col", "_turn", "_scale", "_keys")], "_table", "_key")
-    near = q.join(tabled(images), ["_table", "_key"])
-    differ = F.aggregate(F.zip_with("q_keys", "_keys", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    first = F.array_position(F.zip_with("q_keys", "_keys", lambda a, b: a == b), F.lit(True)) == F.col("_table") + 1
-    turn = F.pmod(F.col("q_turn") - F.col("_turn"), F.lit(360.0))
-    zoom = F.col("q_scale") / F.col("_scale")
-    angle = F.radians(turn)
-    row, col = F.col("_row") * zoom, F.col("_col") * zoom
-    shift_row = F.col("q_row") - (F.cos(angle) * row + F.sin(angle) * col)
-    shift_col = F.col("q_col") - (F.cos(angle) * col - F.sin(angle) * row)
-    half = lambda x: F.floor(2 * x / SHIFT).cast("int")
-    votes = near.where(first & (differ <= BITS)).select(
-        F.col("q_id").alias("query"), F.col("_id").alias("image"), F.xxhash64("q_row", "q_col").alias("corner"),
-        (F.round(turn / TURN).cast("int") % (360 // TURN)).alias("turn"), F.round(F.log2(zoom) * 2).cast("int").alias("zoom"),
-        half(shift_row).alias("r"), half(shift_col).alias("c"),
-    )
-    votes = votes.repartition("query", "image")
-    # Each shift votes for its own bin and the next one, so that a movement near a border is not split.
-    both = lambda x: F.explode(F.array(F.floor(x / 2), F.floor((x + 1) / 2) + F.lit(1 << 20)))
-    votes = votes.select("query", "image", "corner", "turn", "zoom", both(F.col("r")).alias("r"), "c").select("query", "image", "corner", "turn", "zoom", "r", both(F.col("c")).alias("c")).distinct()
-    seen = votes.groupBy("query", "image", "turn", "zoom", "r", "c").agg(F.count(F.lit(1)).alias("n"))
-    return seen.groupBy("query", "image").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
+    spark = queries.sparkSession
+    total = queries.agg(F.sum("_n")).first()[0] or 0
+    blocks = -(-total // BLOCK_CORNERS)
+    path = f"{checkpoint_dir(spark)}/matches-{uuid.uuid4().hex}"
+    fields = "query long, image long, inliers long"
+    spark.createDataFrame([], fields).write.parquet(path)
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(max(1, blocks))))
+    for block in range(blocks):
+        shared = spark.sparkContext.broadcast(HammingTables(numbered.where(F.col("_block") == block).toPandas()))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                images = Corners(batch)
+                for first in range(0, len(batch), IMAGES):
+                    yield shared.value.votes(images, first, min(first + IMAGES, len(batch)))
+
+        images.mapInPandas(run, fields).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(fields).parquet(path)
 
 
 def find_copies(images: DataFrame, decode, alter, *, key: str, data: str, every: int = 50) -> DataFrame:
@@ -172,9 +269,10 @@ def find_copies(images: DataFrame, decode, alter, *, key: str, data: str, every:
     classes = saved(classes, "classes")
     every_image = rows.select("_id", "_data").where("_id is not null and _data is not null")
     index = every_image.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
-    index = saved(descriptor_rows(index, decode), "descriptors")
+    # Pictures are few bytes and much work: their tasks are named, so that they are not merged by size.
+    index = saved(described(index.repartition(partitions(images.sparkSession), "_id"), decode), "descriptors")
     asked = every_image.join(classes.where("_asked is not null").select(F.col("_asked").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
-    asked = saved(descriptor_rows(asked, lambda d: None if (x := decode(d)) is None else alter(x)), "asked")
+    asked = saved(described(asked, lambda d: None if (x := decode(d)) is None else alter(x)), "asked")
     found = matched_images(asked, index)
     best = (
         found.join(classes.select(F.col("_asked").alias("query"), F.col("class_id").alias("_own")), "query")
@@ -185,7 +283,7 @@ def find_copies(images: DataFrame, decode, alter, *, key: str, data: str, every:
             F.max(F.when(F.col("image") != F.col("_own"), F.struct("inliers", (-F.col("image")).alias("image")))).alias("_best"),
         )
     )
-    corners = index.groupBy(F.col("_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n_corners"))
+    corners = index.select(F.col("_id").alias("class_id"), F.col("_n").alias("n_corners"))
     per_class = classes.join(corners, "class_id", "left").join(best.withColumnRenamed("query", "_asked"), "_asked", "left")
     asked_row = F.col("_id").isNotNull() & (F.col("_id") % every == 0)
     per_class = per_class.select("_pixels", "class_id", "n_corners", "n_links", "own_found", "_best")
