@@ -270,7 +270,7 @@ def find_copies(images: DataFrame, decode, alter, *, key: str, data: str, every:
     every_image = rows.select("_id", "_data").where("_id is not null and _data is not null")
     index = every_image.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
     # Pictures are few bytes and much work: their tasks are named, so that they are not merged by size.
-    index = saved(described(index.repartition(partitions(images.sparkSession), "_id"), decode), "descriptors")
+    index = saved(described(index.repartition(partitions(images.sparkSession), F.xxhash64("_id")), decode), "descriptors")
     asked = every_image.join(classes.where("_asked is not null").select(F.col("_asked").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
     asked = saved(described(asked, lambda d: None if (x := decode(d)) is None else alter(x)), "asked")
     found = matched_images(asked, index)
