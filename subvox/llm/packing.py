@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,11 @@ LIMIT = 2048
 #: Groups into which the ranks of one length are cut, so that no task ranks a whole length.
 GROUPS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Characters of a run of white space from which it is cut out before the pattern sees it: its backtracking ends at a million.
+RUN = 1 << 16
+#: White space of the pattern's ``\s``; Python's own also has the separators U+001C to U+001F.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUNS = re.compile(f"(?<!{_SPACE}){_SPACE}{{{RUN},}}")
 
 
 class Vocabulary:
@@ -41,14 +47,32 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(shown[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+        ranks = {bytes(shown[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         self.code = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.code.encode_ordinary(text), "<u4")
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def encode(self, text: str, special: bool = False) -> np.ndarray:
+        """Ids of ``text``. ``special``: a special token's name gives its one id, as in a plain call of ``tokenizers``; else ordinary pieces."""
+        parts = self.marks.split(text) if special and self.marks else [text]
+        ids = self._ordinary(parts[0])
+        for mark, part in zip(parts[1::2], parts[2::2]):
+            ids += [self.special[mark], *self._ordinary(part)]
+        return np.asarray(ids, "<u4")
+
+    def _ordinary(self, text: str) -> list[int]:
+        """Ids without special tokens. A very long run of white space is one piece but for its last character, which starts the next piece; at the end it is whole."""
+        if len(text) < RUN:
+            return self.code.encode_ordinary(text)
+        ids, done = [], 0
+        for m in _RUNS.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self.code.encode_ordinary(text[done : m.start()])
+            ids += self.code._encode_single_piece(text[m.start() : stop])
+            done = stop
+        return ids + self.code.encode_ordinary(text[done:])
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -70,15 +94,15 @@ def cut_pieces(ids: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarr
         start, stop, piece = stop, stop + limit, piece + 1
 
 
-def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = 0) -> DataFrame:
-    """One row per piece of a tokenized document. Null text is empty: the end id alone."""
+def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = 0, *, special: bool = False) -> DataFrame:
+    """One row per piece of a tokenized document. Null text is empty: the end id alone. ``special`` as in ``Vocabulary.encode``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
         for batch in batches:
             out = []
             for k, t in zip(batch["_key"], batch["_text"]):
-                ids = np.append(words.encode(t or ""), np.uint32(end_id)).astype("<u4")
+                ids = np.append(words.encode(t or "", special), np.uint32(end_id)).astype("<u4")
                 k = None if pd.isna(k) else int(k)
                 out.extend((k, p, s, len(part), zlib.crc32(part.tobytes())) for p, s, part in cut_pieces(ids, limit))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
@@ -156,6 +180,6 @@ def pack(pieces: DataFrame, limit: int = LIMIT, groups: int = GROUPS) -> DataFra
     return ranked.withColumn("_place", place("length", "_rank")).select(*pieces.columns, "_place.*")
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, *, special: bool = False) -> DataFrame:
     """Tokenizes, cuts and packs ``docs``; the tokenized pieces are written once and ranked from there."""
-    return pack(saved(token_pieces(docs, path, limit=limit), "pack-pieces"), limit)
+    return pack(saved(token_pieces(docs, path, limit=limit, special=special), "pack-pieces"), limit)

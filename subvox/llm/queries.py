@@ -61,7 +61,7 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(read(spark, folder, "documents", "doc_id", "text"), tokenizer_path())
+    return packing.pack_documents(read(spark, folder, "documents", "doc_id", "text"), tokenizer_path(), special=True)
 
 
 def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -277,3 +277,28 @@ def test_sweep_is_best_fit_decreasing():
         assert len(used) == len(gaps)
         for parts in used.values():
             assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+
+
+def test_packing_of_special_names_and_long_blanks(spark):
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(tokenizer_path())
+    words = packing.Vocabulary(tokenizer_path())
+    rng = random.Random(5)
+    texts = ["a <|endoftext|> b", " \n<|endoftext|>\n\n x", "<|endoftext|>" * 2, "<|endoftext|", "x<|endoftext|>'s"]
+    runs = [" " * 1_000_000, "\n" * 1_200_000]
+    texts += [runs[0], "it's" + runs[1] + "'s x"]
+    for n in (packing.RUN - 1, packing.RUN):
+        texts += [a + " " * n + sep + "\n" * n + b for a, b, sep in (("", "", ""), ("q", "r", "w"), ("\x1c", "\x1f", "\x1d"), (" <|endoftext|>", "<|endoftext|>", "\u3000"))]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "\n", "a", "'s", "1", " b", "é"]) for _ in range(30)) for _ in range(300)]
+    for text in texts:
+        assert words.encode(text, True).tolist() == real.encode(text, add_special_tokens=False).ids, (text[:20], len(text))
+    real.encode_special_tokens = True
+    for text in texts:
+        assert words.encode(text).tolist() == real.encode(text, add_special_tokens=False).ids, (text[:20], len(text))
+    rows = docs_of(spark, [(1, "a <|endoftext|> b", None, None), (2, runs[0] + "x", None, None)])
+    got = {(r.doc_id, r.piece): r for r in packing.pack_documents(rows, tokenizer_path(), special=True).collect()}
+    real.encode_special_tokens = False
+    ids = [*real.encode("a <|endoftext|> b").ids, 0]
+    assert 50256 in ids and got[1, 0].length == len(ids) and got[1, 0].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sum(r.length for r in got.values() if r.doc_id == 2) == len(real.encode(runs[0] + "x").ids) + 1
