@@ -4,9 +4,10 @@ The standard library's parser streams a page; each block of text becomes a line
 of tags and the open elements around it. The ratio of both is smoothed over the lines with a Gaussian kernel, and
 two clusters of the ratios (split where their variance within is least) separate content from the rest. Content
 lines vote with their characters for the element that holds them: the region is the deepest element that keeps
-nearly all of the votes of its parent, or an article element that does. All lines of the region are
-returned, short ones too, but for those inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, which are known by element, role or class names.
+nearly all of the votes of its parent, with the headings and content blocks beside it, or an article element that does.
+All lines of the region are returned, short ones too, but for those inside menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments, which are known by element, role or class names. A class or id name
+or a form does not hide an element around the article or with most of the votes.
 """
 
 from __future__ import annotations
@@ -39,19 +40,27 @@ MARKS = frozenset(
     " sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs toc footer foot header masthead topbar toolbar login signup signin register subscribe subscription newsletter search"
     " comment comments commentlist disqus respond reply replies discussion reader feedback form social share sharing related recommended recommendations widget pagination pager skip".split()
 )
-#: A name of these words makes an element content even inside a marked one.
+#: Marks of what readers wrote. Their number may exceed the article's, so votes don't speak for them.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion feedback".split())
+#: Elements that hold content even inside a marked one.
 CONTENT = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Why an element is left out: by a name, by a name of reader comments, in any case.
+NAMED, COMMENT, NEVER = 1, 2, 3
 SIGMA = 1.0
 #: Part of its parent's votes that a deeper region must keep.
 VOTES = 0.9
+#: Part of all votes by which an article element shows the marked elements around it.
+OWN = 0.2
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @functools.lru_cache(4096)
-def _marked(name: str) -> bool:
-    """Whether a class or id names another part: one of its words is a mark."""
-    return not MARKS.isdisjoint(_NAME.findall(_CAMEL.sub(" ", name).lower()))
+def _marked(name: str) -> int:
+    """What a class or id names: 0, or why its element is left out, as one of its words is a mark."""
+    words = _NAME.findall(_CAMEL.sub(" ", name).lower())
+    return 0 if MARKS.isdisjoint(words) else NAMED if COMMENTS.isdisjoint(words) else COMMENT
 
 
 class Lines(HTMLParser):
@@ -59,12 +68,14 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # element, number, whether its content is skipped
+        self.open: list[tuple[str, int, bool]] = []  # element, number, whether its content is skipped in any case
         self.count = 0
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = 0
         self.kinds: dict[int, str] = {}
+        self.marks: dict[int, int] = {}  # elements that a name or form marks
+        self.quoted: set[int] = set()  # article elements named as comments
 
     def flush(self) -> None:
         if self.text:
@@ -94,23 +105,31 @@ class Lines(HTMLParser):
         self.count += 1
         self.kinds[self.count] = tag
         hidden = bool(self.open and self.open[-1][2])
-        self.open.append((tag, self.count, hidden or self.skips(tag, attrs)))
+        why = self.skips(tag, attrs)
+        if why in (NAMED, COMMENT):
+            self.marks[self.count] = why
+        self.open.append((tag, self.count, hidden or why == NEVER))
 
-    def skips(self, tag: str, attrs) -> bool:
-        if tag in SKIP:
-            return True
+    def skips(self, tag: str, attrs) -> int:
+        if tag in SKIP and tag != "form":
+            return NEVER
         if tag in INLINE and not attrs:
-            return False
+            return 0
         if tag == "header" and not any(t in CONTENT for t, _, _ in self.open):
-            return True
+            return NEVER
+        why = NAMED if tag == "form" else 0
         for name, value in attrs:
-            if name in ("class", "id") and value and tag not in ("html", "body", *CONTENT) and any(map(_marked, value.split())):
-                return True
+            if name in ("class", "id") and value and tag not in ("html", "body"):
+                mark = max(map(_marked, value.split()), default=0)
+                if tag not in CONTENT:
+                    why = max(why, mark)
+                elif mark == COMMENT:
+                    self.quoted.add(self.count)
             if name == "role" and value and value.lower() in ROLES:
-                return True
+                why = max(why, NAMED if value.lower() == "form" else NEVER)
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+                return NEVER
+        return why
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -156,8 +175,59 @@ def threshold(values: np.ndarray) -> float:
     return float((x[at] + x[at + 1]) / 2)
 
 
-def region(lines: list[tuple], kinds: dict[int, str]) -> int | None:
-    """Number of the element that holds the content; None: the whole page."""
+def sifted(page: Lines) -> list[tuple]:
+    """Lines of a page, hidden also inside marked elements, but for those around the content.
+
+    A mark does not count on an element around a main element, around an article element with votes, or with most of the
+    votes (of the article around it, else of a page without article in sight). Comments are judged by votes only if they hold a main
+    heading, a main element or the first article. If all lines were hidden, no mark counts.
+    """
+    lines, kinds, marks = page.lines, page.kinds, page.marks
+    seen = [i for i, line in enumerate(lines) if not line[3]]
+    if not seen or marks.keys().isdisjoint(n for i in seen for n in lines[i][2]):
+        return lines
+    smooth = ratios(lines)
+    cut = threshold(smooth[seen])
+    around: set[int] = set()  # elements around what comments don't hold
+    first, plain = None, False
+    for i in seen:
+        path = lines[i][2]
+        heads = "h1" in map(kinds.get, path)
+        plain = plain or marks.keys().isdisjoint(path) and any(kinds[n] == "main" or kinds[n] == "article" and heads for n in path)
+        for n in path:
+            if kinds[n] == "article" and first is None and n not in page.quoted:
+                first = n
+            if kinds[n] in ("h1", "main") or n == first:
+                around.update(path[: path.index(n)])
+    comments = {n for n, why in marks.items() if why == COMMENT and n not in around}
+    votes: dict[int, int] = {}
+    total = 0
+    for i in seen:
+        text, _, path, _ = lines[i]
+        if smooth[i] >= cut and comments.isdisjoint(path):
+            total += len(text)
+            for n in path:
+                votes[n] = votes.get(n, 0) + len(text)
+    strong = {n for n, v in votes.items() if kinds[n] in CONTENT and n not in page.quoted and v >= OWN * total}
+    anchors = strong | {n for n in votes if kinds[n] == "main"}
+    shown: set[int] = set()
+    for i in seen:
+        path = lines[i][2]
+        inner, at = None, max((k for k, n in enumerate(path) if n in anchors), default=-1)
+        for k, n in enumerate(path):
+            if n in anchors:
+                inner = n
+            elif n in marks and n not in comments and n not in shown:
+                held = votes[inner] if inner else 0 if strong or plain else total
+                if k < at or 2 * votes.get(n, 0) > held > 0:
+                    shown.add(n)
+    left = marks.keys() - shown
+    out = [(text, tags, path, never or not left.isdisjoint(path)) for text, tags, path, never in lines]
+    return lines if all(line[3] for line in out) else out
+
+
+def region(lines: list[tuple], kinds: dict[int, str]) -> list[int]:
+    """Numbers of the lines that hold the content, in order."""
     seen = [i for i, line in enumerate(lines) if not line[3]]
     smooth = ratios(lines)
     cut = threshold(smooth[seen])
@@ -173,14 +243,42 @@ def region(lines: list[tuple], kinds: dict[int, str]) -> int | None:
             (tops if up is None else children.setdefault(up, set())).add(number)
     articles = [n for n in votes if kinds[n] in CONTENT]
     if articles and (best := max(articles, key=lambda n: (votes[n], -n))) and 2 * votes[best] >= total:
-        return best
-    here, held, below = None, total, tops
+        return [i for i in seen if best in lines[i][2]]
+    chosen, held, below = [], total, tops
     while below:
         best = max(below, key=lambda n: (votes[n], -n))
         if votes[best] < VOTES * held or kinds[best] in ("p", *INLINE):
             break
-        here, held, below = best, votes[best], children.get(best, set())
-    return here
+        chosen.append(best)
+        held, below = votes[best], children.get(best, set())
+    return beside(lines, kinds, seen, chosen, smooth >= cut)
+
+
+def beside(lines: list[tuple], kinds: dict[int, str], seen: list[int], chosen: list[int], content: np.ndarray) -> list[int]:
+    """Lines of the last of the nested elements ``chosen``, and of what stands beside one of them: blocks with most characters in content lines, and headings before a kept block."""
+    levels: list[dict] = [{} for _ in chosen]  # by level: block (or line of no block) -> its lines, in order
+    keep: list[int] = []
+    for i in seen:
+        path = lines[i][2]
+        level = next((k for k, n in enumerate(chosen) if k >= len(path) or path[k] != n), len(chosen))
+        if level == len(chosen):
+            keep.append(i)
+        for k in range(min(level + 1, len(chosen))):
+            levels[k].setdefault(path[k] if k < len(path) else -1 - i, []).append(i)
+    for mine, best in zip(levels, chosen):
+        waiting: list[int] = []
+        fresh = False  # the last block was a heading
+        for block, rows in mine.items():
+            if block > 0 and kinds[block] in HEADINGS:
+                waiting = [*(waiting if fresh else [i for i in waiting if "h1" in map(kinds.get, lines[i][2])]), *rows]
+                fresh = True
+                continue
+            fresh = False
+            size = sum(len(lines[i][0]) for i in rows)
+            if block == best or 2 * sum(len(lines[i][0]) for i in rows if content[i]) > size:
+                keep += waiting if block == best else [*waiting, *rows]
+                waiting = []
+    return sorted(set(keep))
 
 
 def main_text(html: str | None) -> str:
@@ -191,10 +289,10 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    if all(line[3] for line in page.lines):
+    lines = sifted(page)
+    if all(line[3] for line in lines):
         return ""
-    at = region(page.lines, page.kinds)
-    return " ".join(text for text, _, path, hidden in page.lines if not hidden and (at is None or at in path))
+    return " ".join(lines[i][0] for i in region(lines, page.kinds))
 
 
 def extract(html: str = "html") -> Column:

@@ -167,6 +167,28 @@ def test_pages(spark):
     assert got[1].text == "a" and got[1].n_chars == 1 and got[2].text == "" and got[2].n_chars == 0
 
 
+def test_marked_wrappers_and_blocks_beside_the_region():
+    para = "A paragraph with many plain words that goes on for quite a while, as the ones of articles do."
+    body = f"<p>{para}</p>" * 6
+    text = " ".join([para] * 6)
+    side = "<div class='sidebar'><p>Side words</p></div><div class='menu'><a href=1>One</a></div>"
+    notes = f"<div id='comments'>{body * 3}</div>"
+    for name in ("layout has-sidebar", "no-sidebar", "page-with-toc", "reader-view", "post has-comments"):
+        for inside in (f"<article><h1>Head</h1>{body}</article>", f"<main><h1>Head</h1>{body}</main>", f"<div><h1>Head</h1>{body}</div>"):
+            assert pages.main_text(f"<body><div class='{name}'>{inside}{side}</div>{side}<footer>F</footer></body>") == "Head " + text, (name, inside[:9])
+            assert pages.main_text(f"<main><div class='{name}'>{inside}{side}{notes}</div></main>") == "Head " + text, (name, inside[:9])
+    assert pages.main_text(f"<body><form action='/p' id='aspnetForm'><nav>N</nav><div><h1>Head</h1>{body}</div>{side}</form></body>") == "Head " + text
+    assert pages.main_text(f"<body><div class='post'>{body}</div>{notes}</body>") == text
+    assert pages.main_text(f"<article>{body}</article><div class='related'><article>{para}</article></div><div class='cookie-consent'>{body * 3}</div>") == text
+    assert pages.main_text(f"<article>{body}</article><div id='comments'><article class='comment-body'>{body * 3}</article></div>") == text
+    lead, more = para.replace("A", "Lead", 1), para.replace("A", "More", 1)
+    many = f"<p>{para}</p>" * 30
+    post = f"<div class=post><h1>Head</h1><p>{lead}</p><div class=body>{many}</div><h2>On</h2><div>{f'<p>{more}</p>' * 3}</div></div>"
+    links = "<ul>" + "<li><a href=x>Li</a></li>" * 30 + "</ul>"
+    assert pages.main_text(f"<body>{links}<div>{post}</div>{links}</body>") == " ".join(["Head", lead, *[para] * 30, "On", *[more] * 3])
+    assert pages.main_text(f"<div class='ad'>{para}</div><article><h1>Head</h1><p>Tiny</p></article>") == "Head Tiny"
+
+
 def test_images(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=64).tolist()) for i in range(120)]
