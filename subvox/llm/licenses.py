@@ -1,16 +1,21 @@
 """Licence scans: normalised text against templates by the Dice coefficient of word bigrams.
 
-DataFrame functions only. The units of a text are its lines, its paragraphs and the whole of it; a unit and a template
-are lower case words of letters and digits. Two size bounds prune: a unit whose number of distinct bigrams lies
+DataFrame functions only. The units of a text are its lines, its paragraphs, the whole of it, and for each template the
+runs of words that may match it, wherever lines and paragraphs end; a unit and a template are lower case words of letters
+and digits. A run of coefficient ``t`` has ``2 * |both| - t * |run| >= t * |template|``, so runs are the stretches with
+the largest such sum, found in one pass over short chunks of words; they are then measured exactly. A unit has
+its best template only. Two size bounds prune: a unit whose number of distinct bigrams lies
 outside ``[t / (2 - t), (2 - t) / t]`` times a template's can't reach a coefficient of ``t`` with it, and a text
-without any of the template's rarest bigrams' words can't either (a match lacks at most a fixed part of the
-template's bigrams, so that of one more than that many at least one must occur).
+without at least ``t / (2 - t)`` of a template's bigrams holds no such run. If the templates are few, a text without
+any of their rarest bigrams' words is left out first (a match lacks at most a fixed part of the template's
+bigrams, so that of one more than that many at least one must occur).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +62,13 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 
+# Full texts, as they are shipped.
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+
+#: Chunks of words per template, and distinct bigrams up to which templates are sought together.
+CHUNKS, SHORT = 16, 400
+
 
 def words(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
@@ -85,45 +97,125 @@ def compiled(templates: dict[str, list[str]], t: float) -> tuple[list[tuple[str,
     return items, sorted(keys)
 
 
+def _pairs(unit: Column) -> Column:
+    """Bigrams of a normalised unit (words with one blank between), in order."""
+    made = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.element_at(F.transform(F.array(F.split(unit, " ")), made), 1)
+
+
 def _bigrams(unit: Column) -> Column:
-    """Distinct bigrams of a normalised unit (words with one blank between)."""
-    w = F.split(unit, " ")
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    """Distinct bigrams of a normalised unit."""
+    return F.array_distinct(_pairs(unit))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``key, licenses, best_license, best_dice, n_matches``: one row per row of ``docs``.
 
     ``licenses``: names with a coefficient of at least ``threshold``, sorted, comma-joined; empty if none (then the best
-    ones are null). Ties of the best go to the smaller name. Null and empty texts match nothing; no shuffle takes place.
+    ones are null). Ties of the best go to the smaller name. ``n_matches``: matching lines, paragraphs and texts, and runs of
+    words with another template or coefficient. Null and empty texts match nothing; no shuffle takes place.
     """
     items, keys = compiled(templates, threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [len(b) for _, b in items]
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("grams")) for name, b in items])
+    # The bigrams of a template are one literal: thousands of them would be slow to plan.
+    struct = lambda i, name, b: F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), F.split(F.lit("|".join(b)), "[|]").alias("grams"))
+    numbered = [(i, name, b) for i, (name, b) in enumerate(items)]
+    table = F.array(*[struct(*x) for x in numbered])
+    brief, bulky = ([x for x in numbered if (len(x[2]) <= SHORT) == side] for side in (True, False))
+    few = F.split(F.lit("|".join(sorted({g for _, _, b in brief for g in b}))), "[|]")
 
     lower = F.lower(F.coalesce(F.col("_text"), F.lit("")))
-    may = F.lit(False)
-    for k in keys:
+    may = F.lit(len(keys) > 500)
+    for k in keys if len(keys) <= 500 else []:
         may = may | F.contains(lower, F.lit(k))
     normal = lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-    units = F.concat(F.split(lower, "\n"), F.when(F.contains(lower, F.lit("\n\n")), F.split(lower, "\n{2,}")).otherwise(F.array().cast("array<string>")), F.array(lower))
-    cleaned = F.array_distinct(F.transform(units, normal))
+    units = F.concat(F.split(lower, "\n"), F.when(F.contains(lower, F.lit("\n\n")), F.split(lower, "\n{2,}")).otherwise(F.array().cast("array<string>")))
     spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  bigrams, repeats counted
-    some = F.filter(cleaned, lambda u: spaces(u) >= F.lit(math.ceil(min(sizes) * low - 1e-9)))
-    found = F.flatten(
+    some = lambda whole: F.filter(F.array_except(F.transform(units, normal), F.array(whole)), lambda u: spaces(u) >= F.lit(math.ceil(min(sizes) * low - 1e-9)))
+    dice = lambda b, t: F.lit(2.0) * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + F.size(t["grams"]))
+    fits = lambda b, t: (F.size(b) >= F.size(t["grams"]) * low - 1e-9) & (F.size(b) <= F.size(t["grams"]) * high + 1e-9)
+    best_of = lambda ms: F.slice(F.array_sort(ms, lambda x, y: F.when(x["dice"] != y["dice"], F.when(x["dice"] > y["dice"], -1).otherwise(1)).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(x["id"] - y["id"])), 1, 1)
+    in_units = lambda whole, every: F.flatten(  # noqa: E731  whole: the normalised text, every: its distinct bigrams
         F.transform(
-            F.filter(F.transform(some, _bigrams), lambda b: (F.size(b) >= min(sizes) * low - 1e-9) & (F.size(b) <= max(sizes) * high + 1e-9)),
-            lambda b: F.filter(
-                F.transform(
-                    F.filter(table, lambda t: (F.size(b) >= F.size(t["grams"]) * low - 1e-9) & (F.size(b) <= F.size(t["grams"]) * high + 1e-9)),
-                    lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + F.size(t["grams"]))).alias("dice"), t["name"].alias("name")),
-                ),
-                lambda m: m["dice"] >= threshold - 1e-12,
+            F.filter(F.concat(F.transform(some(whole), _bigrams), F.array(every)), lambda b: (F.size(b) >= min(sizes) * low - 1e-9) & (F.size(b) <= max(sizes) * high + 1e-9)),
+            lambda b: best_of(
+                F.filter(
+                    F.transform(F.filter(table, lambda t: fits(b, t)), lambda t: F.struct(dice(b, t).alias("dice"), t["name"].alias("name"), t["id"].alias("id"))),
+                    lambda m: m["dice"] >= threshold - 1e-12,
+                )
             ),
         )
     )
+
+    def bind(value: Column, use):
+        """``use`` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def stretches(pairs: Column, t: Column) -> Column:
+        """``first, last`` bigrams of the runs that may match ``t``."""
+        size = F.size(t["grams"])
+        step = F.greatest(F.lit(1), F.floor(size / CHUNKS).cast("int"))
+
+        def add(state: Column, at: Column) -> Column:
+            chunk = F.slice(pairs, at, step)
+            return bind(
+                F.lit(2.0) * F.size(F.array_intersect(chunk, t["grams"])) - F.lit(threshold) * F.size(F.array_distinct(chunk)),
+                lambda gain: bind(
+                    F.struct(
+                        (F.greatest(state["sum"], F.lit(0.0)) + gain).alias("sum"),
+                        F.when(state["sum"] > 0, state["first"]).otherwise(at).alias("first"),
+                        F.when(state["sum"] > 0, state["peak"]).otherwise(F.lit(0.0)).alias("peak"),
+                        F.when(state["sum"] > 0, state["last"]).otherwise(F.lit(0)).alias("last"),
+                    ),
+                    lambda now: bind(
+                        F.struct(now["sum"].alias("sum"), now["first"].alias("first"), F.greatest(now["sum"], now["peak"]).alias("peak"), F.when(now["sum"] > now["peak"], at + step - 1).otherwise(now["last"]).alias("last")),
+                        # No match spans a loss of more than 2 * (1 - threshold) of the template: it ends at the peak.
+                        lambda now: F.when(
+                            (now["sum"] <= 0) | (now["sum"] < now["peak"] - 2 * (1 - threshold) * size - step),
+                            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0.0).alias("peak"), F.lit(0).alias("last"), kept(state, now).alias("runs")),
+                        ).otherwise(F.struct(now["sum"].alias("sum"), now["first"].alias("first"), now["peak"].alias("peak"), now["last"].alias("last"), state["runs"].alias("runs"))),
+                    ),
+                ),
+            )
+
+        def kept(state: Column, now: Column) -> Column:
+            run = F.array(F.struct(now["first"].alias("first"), now["last"].alias("last")))
+            return F.when(now["peak"] >= threshold * size / 2, F.concat(state["runs"], run)).otherwise(state["runs"])
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0.0).alias("peak"), F.lit(0).alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("runs"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(pairs), step), start, add, lambda end: kept(end, end))
+
+    def runs(pairs: Column, t: Column) -> Column:
+        measured = F.transform(
+            stretches(pairs, t),
+            lambda r: bind(F.array_distinct(F.slice(pairs, r["first"], r["last"] - r["first"] + 1)), lambda b: F.struct(dice(b, t).alias("dice"), t["name"].alias("name"), t["id"].alias("id"), r["first"].alias("first"), r["last"].alias("last"))),
+        )
+        return F.filter(measured, lambda m: m["dice"] >= threshold - 1e-12)
+
+    def sought(pairs: Column, group: list, known: Column) -> Column:
+        """Runs that match a template of ``group``, most of whose bigrams are among ``known``."""
+        near = F.filter(F.array(*[struct(*x) for x in group]), lambda t: (F.size(known) >= F.size(t["grams"]) * low - 1e-9))
+        near = F.filter(near, lambda t: F.size(F.array_intersect(known, t["grams"])) >= F.size(t["grams"]) * low - 1e-9)
+        return F.flatten(F.transform(near, lambda t: runs(pairs, t)))
+
+    def all_runs(pairs: Column, every: Column) -> Column:
+        parts = [bind(F.array_intersect(every, few), lambda known: sought(pairs, brief, known))] if brief else []
+        parts += [sought(pairs, bulky, every)] if bulky else []
+        return F.concat(*parts)
+
+    def apart(ms: Column) -> Column:
+        """Runs without those that overlap a better one."""
+        better = lambda m, o: (o["first"] <= m["last"]) & (m["first"] <= o["last"]) & ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["id"] < m["id"])))
+        left = F.filter(ms, lambda m: ~F.exists(ms, lambda o: better(m, o)))
+        return F.transform(left, lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name"), m["id"].alias("id")))
+
+    def matches(whole: Column, pairs: Column, every: Column) -> Column:
+        loose = F.when(F.size(pairs) > 0, bind(all_runs(pairs, every), apart)).otherwise(F.array().cast("array<struct<dice:double,name:string,id:int>>"))
+        return bind(in_units(whole, every), lambda units: F.concat(units, F.array_except(loose, units)))
+
+    found = bind(normal(lower), lambda whole: bind(_pairs(whole), lambda pairs: bind(F.array_distinct(pairs), lambda every: matches(whole, pairs, every))))
+    found = F.transform(found, lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name")))
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).select("_key", F.when(may, found).alias("_found"))
     rows = rows.withColumn("_found", F.coalesce("_found", F.array().cast("array<struct<dice:double,name:string>>")))
     best = F.array_max(F.transform("_found", lambda m: m["dice"]))

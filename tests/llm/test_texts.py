@@ -109,6 +109,24 @@ def test_licenses_against_brute_force(spark, odd):
     assert licenses.scan(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_licenses_as_they_are_shipped(spark):
+    rng = random.Random(8)
+    other = lambda n: prose(rng, n, ["ab", "zu", "lo", "ki"])
+    wrap = lambda text, n: "\n".join(" ".join(w[i : i + n]) for w in [text.split()] for i in range(0, len(w), n))
+    mit, isc, apache = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["ISC"][0], licenses.TEMPLATES["Apache-2.0"][1]
+    three = mit.replace(": The above", ":\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    four = apache.replace(" You may", "\n\nYou may").replace(" http", "\n\nhttp").replace(" Unless", "\n\nUnless")
+    texts = [(three, "MIT"), (isc.replace(" THE SOFTWARE", "\n\nTHE SOFTWARE", 1), "ISC"), (four, "Apache-2.0"), (wrap(mit, 9), "MIT"), (mit, "MIT")]
+    texts += [(licenses.TEMPLATES["GPL-3.0"][0], "GPL-3.0"), (licenses.TEMPLATES["LGPL-3.0"][0], "LGPL-3.0")]
+    texts += [(licenses.TEMPLATES[name][-1], name) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    rows = [(i, f"{other(400)}{gap}{text}{gap}{other(300)}", None, None) for i, (text, gap) in enumerate((t, g) for t, _ in texts for g in ("\n\n", " "))]
+    rows.append((900, f"{other(50)} {mit} {other(150)} {mit} {other(20)} {isc}", None, None))
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, rows)).collect()}
+    for i in range(2 * len(texts)):
+        assert texts[i // 2][1] in got[i].licenses.split(",") and got[i].best_license == texts[i // 2][1] and got[i].best_dice > 0.85, (i, got[i])
+    assert got[900].licenses == "ISC,MIT"
+
+
 def test_language(spark):
     rng, rows = random.Random(5), []
     kinds = {"aa": ["the", "ing", "er", "on"], "bb": ["sch", "ein", "keit", "ü"], "cc": ["ción", "ado", "que", "ñ"]}
