@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subvox.llm import images, langid, licenses, minhash, mixing, packing, pages, pii, syncmers, tokens
+from subvox.llm import images, langid, licenses, minhash, mixing, packing, pages, pii, search, syncmers, tokens, urls, whitening
 from subvox.llm.common import read
 
 #: Vocabulary of the token queries: a file of the tokenizers that are installed on every machine.
@@ -74,11 +74,64 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: The rules of the URL query: host and path, and what they say.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "pages", "page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge(rows, rules, keep=("page_id",))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings", "vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.rank(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_licenses, op3_language, op4_token_counts, op5_personal_data, op6_image_copies, op7_near_duplicates, op8_packing, op9_main_text, op10_mixing, pipeline)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_licenses, op3_language, op4_token_counts, op5_personal_data, op6_image_copies, op7_near_duplicates, op8_packing, op9_main_text, op10_mixing, op11_url_filter, op12_whitening, op13_ranked_search, pipeline)}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op11_url_filter": f"""
+        WITH rests AS (
+            SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rests
+        ), cut AS (
+            SELECT r, page_id, {_LOWER.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts
+        ), rules AS (
+            SELECT rule, says, split_part(rule, '/', 1) AS rhost, substr(rule, strpos(rule, '/')) AS rpath
+            FROM (VALUES {", ".join(str(r) for r in URL_RULES)}) AS t(rule, says)
+        ), best AS (
+            SELECT r, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says
+            FROM cut JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r
+        )
+        SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM cut LEFT JOIN best USING (r)""",
+    "op13_ranked_search": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+        sizes AS (SELECT r, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+        counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+        spread AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+        asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        weighed AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN spread USING (term), totals),
+        scored AS (
+            SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+            FROM weighed JOIN counted USING (term) JOIN sizes USING (r), totals GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
+}
