@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from subvox.catalog.decoding import predictions
 from subvox.catalog.registry import SQL as _SQL
 from subvox.catalog.registry import query
-from subvox.catalog.signals import recorded, whole
+from subvox.catalog.signals import ISLES_SQL, LOSSY_SQL, lossy, recorded, whole
 from subvox.functions.arrays import microvolts_per_count
 from subvox.operators import monitor as mon
 from subvox.plans import proxies as px
@@ -198,6 +198,38 @@ def stream_windows(spark, sf):
     return out.select("session_id", "step", "win_end", F.round(total, 3).alias("total"))
 
 
+WINDOW_TOTALS = "round(sum(round(s.x::FLOAT::DOUBLE, 2)), 3) AS total"
+
+
+def _window_totals(out):
+    total = F.aggregate(F.transform("samples", lambda v: F.round(v, 2)), F.lit(0.0), lambda a, v: a + v)
+    return out.select("session_id", "step", "win_end", F.round(total, 3).alias("total"))
+
+
+@query(
+    "stream_windows_gaps",
+    f"""WITH {ISLES_SQL}, n AS (SELECT session_id, origin, count(*) AS n FROM isles GROUP BY ALL),
+k AS (SELECT session_id, origin, unnest(range(8, n + 1, 5)) + origin AS win_end FROM n),
+w AS (SELECT k.session_id, k.origin, k.win_end, {WINDOW_TOTALS} FROM k JOIN isles s ON s.session_id = k.session_id AND s.origin = k.origin AND s.sample >= k.win_end - 8 AND s.sample < k.win_end GROUP BY ALL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY win_end) - 1 AS step, win_end, total FROM w""",
+)
+def stream_windows_gaps(spark, sf):
+    """No window crosses lost samples: the windows begin anew behind a gap."""
+    return _window_totals(live_run(spark, lossy(spark, sf), "session_id", "block", lambda s: live.stream_windows(s, window_ms=32, stride_ms=20, on_gap="reset")))
+
+
+@query(
+    "stream_windows_carried",
+    f"""WITH {px.PX_SIGNAL_SQL}, {LOSSY_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sample) - 1 AS place FROM lossy),
+n AS (SELECT session_id, count(*) AS n FROM p GROUP BY session_id), k AS (SELECT session_id, unnest(range(16, n + 1, 5)) AS stop FROM n)
+SELECT k.session_id, (k.stop - 16) // 5 AS step, max(s.sample) + 1 AS win_end, {WINDOW_TOTALS}
+FROM k JOIN p s ON s.session_id = k.session_id AND s.place >= k.stop - 16 AND s.place < k.stop GROUP BY k.session_id, k.stop""",
+)
+def stream_windows_carried(spark, sf):
+    """Windows over the samples on both sides of a gap, at their true places."""
+    return _window_totals(live_run(spark, lossy(spark, sf), "session_id", "block", lambda s: live.stream_windows(s, window_ms=64, stride_ms=20)))
+
+
 @query("stream_utterances")
 def stream_utterances(spark, sf):
     s = px.px_signal(spark, sf)

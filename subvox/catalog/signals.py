@@ -91,6 +91,24 @@ def assemble_recordings(spark, sf):
     chunks = p.select("session_id", "sample_index", F.lit(4).alias("n_frames"), F.lit(1).alias("channels"), values.alias("samples"))
     out = bl.assemble_recordings(chunks, 256)
     total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, v: a + v.cast("long"))
+    return out.groupBy("session_id", "block").agg(F.min("start_sample").alias("start_sample"), F.sum("n_frames").alias("n_frames"), F.sum(total).alias("total"))
+
+
+@query(
+    "assemble_runs",
+    f"""WITH {px.PX_PACKETS_SQL}, s AS (SELECT DISTINCT device_id, sample_index * 4 + k AS sample FROM px_packets, range(0, 6) t(k)),
+r AS (SELECT *, sample - row_number() OVER (PARTITION BY device_id, sample // 256 ORDER BY sample) AS isle FROM s)
+SELECT device_id AS session_id, sample // 256 AS block, min(sample) AS start_sample, count(*) AS n_frames, CAST(sum((sample % 1000) * (sample % 256)) AS BIGINT) AS total
+FROM r GROUP BY device_id, sample // 256, isle""",
+)
+def assemble_runs(spark, sf):
+    """Overlapping chunks of six samples, a row per contiguous run; the total weighs each sample by its place."""
+    p = px.px_packets(spark, sf).select(F.col("device_id").alias("session_id"), (F.col("sample_index") * 4).alias("sample_index"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("sample_index") + i) % 1000).cast("float"))
+    chunks = p.select("session_id", "sample_index", F.lit(6).alias("n_frames"), F.lit(1).alias("channels"), values.alias("samples"))
+    out = bl.assemble_recordings(chunks, 256)
+    weighed = F.transform("samples", lambda v, i: v.cast("long") * ((F.col("start_sample") + i) % 256))
+    total = F.aggregate(weighed, F.lit(0).cast("long"), lambda a, v: a + v)
     return out.select("session_id", "block", "start_sample", F.col("n_frames").cast("long").alias("n_frames"), total.alias("total"))
 
 
@@ -128,6 +146,46 @@ def cut_events(spark, sf):
     )
 
 
+# A recording with holes: four samples of every 29 are lost, and twenty of every 97.
+LOSSY_SQL = "lossy AS (SELECT * FROM px_signal WHERE NOT (sample % 29 BETWEEN 11 AND 14 OR sample % 97 BETWEEN 40 AND 59))"
+
+
+def lossy(spark, sf, frames=BLOCK, mode="standard"):
+    """Block rows of the proxy recording with lost samples: a row per contiguous run."""
+    s = px.px_signal(spark, sf).where("NOT (sample % 29 BETWEEN 11 AND 14 OR sample % 97 BETWEEN 40 AND 59)")
+    blocks = bl.to_blocks(s.select("session_id", "sample", "x"), frames)
+    return blocks.withColumn("mode", F.lit(mode)).withColumn("fs_hz", F.lit(FS))
+
+
+@query(
+    "cut_events_gaps",
+    f"""WITH {px.PX_SPANS_SQL}, {WIDE_SPANS}, {LOSSY_SQL}
+SELECT w.session_id, w.event_id, w.label, max(w.b - w.a) AS n_frames, max(w.b - w.a) - count(*) AS lost, round(sum(s.x * (s.sample - w.a + 1)), 2) AS weighed
+FROM wide w JOIN lossy s ON s.session_id = w.session_id AND s.sample >= w.a AND s.sample < w.b GROUP BY ALL""",
+)
+def cut_events_gaps(spark, sf):
+    """Events of a recording with holes, zeros in place of lost samples; each sample is weighed by its place in the event."""
+    c = bl.cut_events(lossy(spark, sf), wide_spans(spark, sf), BLOCK, on_gap="fill")
+    weighed = F.transform("samples", lambda v, i: F.round(v.cast("double"), 2) * (i + 1))
+    total = F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v)
+    return c.select("session_id", "event_id", "label", F.col("n_frames").cast("long").alias("n_frames"), "lost", F.round(total, 2).alias("weighed"))
+
+
+@query(
+    "cut_events_runs",
+    f"""WITH {px.PX_SPANS_SQL}, {WIDE_SPANS}, {LOSSY_SQL},
+m AS (SELECT w.session_id, w.event_id, w.label, w.a, w.b, s.sample, s.x, s.sample - row_number() OVER (PARTITION BY w.session_id, w.event_id ORDER BY s.sample) AS isle
+      FROM wide w JOIN lossy s ON s.session_id = w.session_id AND s.sample >= w.a AND s.sample < w.b),
+r AS (SELECT session_id, event_id, label, min(sample) AS start_sample, max(sample) + 1 AS end_sample, round(sum(x), 3) AS total, max(b - a) AS n FROM m GROUP BY session_id, event_id, label, isle)
+SELECT session_id, event_id, label, row_number() OVER (PARTITION BY session_id, event_id ORDER BY start_sample) AS run, start_sample, end_sample,
+       CAST(n - sum(end_sample - start_sample) OVER (PARTITION BY session_id, event_id) AS BIGINT) AS lost, total FROM r""",
+)
+def cut_events_runs(spark, sf):
+    c = bl.cut_events(lossy(spark, sf), wide_spans(spark, sf), BLOCK, on_gap="split")
+    total = F.aggregate(F.transform("samples", lambda v: F.round(v.cast("double"), 2)), F.lit(0.0), lambda a, v: a + v)
+    return c.select("session_id", "event_id", "label", "run", "start_sample", "end_sample", "lost", F.round(total, 3).alias("total"))
+
+
 @query(
     "fixed_segments",
     f"""WITH {px.PX_SPANS_SQL}, {WIDE_SPANS},
@@ -273,6 +331,36 @@ def motion_index(spark, sf):
     )
 
 
+# Each run of a recording with holes as a session of its own, for the recursive equations.
+ISLES_SQL = f"""{S}, {LOSSY_SQL},
+isles AS (SELECT *, min(sample) OVER (PARTITION BY session_id, isle) AS origin
+          FROM (SELECT *, sample - row_number() OVER (PARTITION BY session_id ORDER BY sample) AS isle FROM lossy))"""
+
+
+@query(
+    "bandpass_causal_gaps",
+    f"""WITH RECURSIVE {ISLES_SQL},
+runs AS (SELECT session_id || ':' || origin AS session_id, sample - origin AS sample, x FROM isles),
+{_recurrence(mode_filter("standard", FS), True).replace("FROM px_signal", "FROM runs", 1)}
+SELECT CAST(split_part(session_id, ':', 1) AS BIGINT) AS session_id, CAST(split_part(session_id, ':', 2) AS BIGINT) + sample AS sample, round(y, 4) + 0.0 AS y FROM y""",
+)
+def bandpass_causal_gaps(spark, sf):
+    """The filter starts anew behind each gap."""
+    return long(fl.bandpass_causal(lossy(spark, sf), on_gap="reset")).withColumn("y", F.round("y", 4) + 0.0)
+
+
+@query(
+    "bandpass_causal_carried",
+    f"""WITH RECURSIVE {S}, {LOSSY_SQL},
+runs AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY sample) - 1 AS sample, sample AS place, x FROM lossy),
+{_recurrence(mode_filter("standard", FS), True).replace("FROM px_signal", "FROM runs", 1)}
+SELECT y.session_id, place AS sample, round(y, 4) + 0.0 AS y FROM y JOIN runs USING (session_id, sample)""",
+)
+def bandpass_causal_carried(spark, sf):
+    """The filter goes on across gaps, as a live chain that is not told of them; each output stands at its sample's place."""
+    return long(fl.bandpass_causal(lossy(spark, sf))).withColumn("y", F.round("y", 4) + 0.0)
+
+
 def whole(spark, sf):
     """Blocks of 256 samples, the shape recordings have."""
     blocks = bl.to_blocks(px.px_signal(spark, sf).select("session_id", "sample", "x"), 256)
@@ -294,6 +382,24 @@ def ema_normalize(spark, sf):
     return long(fl.ema_normalize(whole(spark, sf))).withColumn("y", F.round("y", 4) + 0.0)
 
 
+@query(
+    "ema_normalize_gaps",
+    f"""WITH RECURSIVE {ISLES_SQL},
+f AS (SELECT session_id, origin, sample, x::FLOAT::DOUBLE AS x, greatest(origin, sample // 16 * 16) AS a FROM isles),
+c AS (SELECT session_id, origin, a, row_number() OVER (PARTITION BY session_id, origin ORDER BY a) - 1 AS k, avg(x) AS m1, avg(x * x) AS m2 FROM f GROUP BY session_id, origin, a),
+r AS (SELECT session_id, origin, a, k, 0.01::DOUBLE * m1 AS mu, 0.99::DOUBLE + 0.01::DOUBLE * (m2 - 2 * (0.01::DOUBLE * m1) * m1 + (0.01::DOUBLE * m1) ** 2) AS v FROM c WHERE k = 0
+      UNION ALL
+      SELECT q.session_id, q.origin, q.a, q.k, q.mu, 0.99::DOUBLE * q.v + 0.01::DOUBLE * (q.m2 - 2 * q.mu * q.m1 + q.mu ** 2)
+      FROM (SELECT c.session_id, c.origin, c.a, c.k, c.m1, c.m2, 0.99::DOUBLE * r.mu + 0.01::DOUBLE * c.m1 AS mu, r.v
+            FROM r JOIN c ON c.session_id = r.session_id AND c.origin = r.origin AND c.k = r.k + 1) q)
+SELECT f.session_id, f.sample, round((f.x - r.mu) / (sqrt(r.v) + 1e-6::DOUBLE), 4) + 0.0 AS y
+FROM f JOIN r ON r.session_id = f.session_id AND r.origin = f.origin AND r.a = f.a""",
+)
+def ema_normalize_gaps(spark, sf):
+    """Mean and variance start anew behind each gap; a block row of 16 samples is a chunk."""
+    return long(fl.ema_normalize(lossy(spark, sf), on_gap="reset")).withColumn("y", F.round("y", 4) + 0.0)
+
+
 @query("preprocess_streaming")
 def preprocess_streaming(spark, sf):
     return long(fl.preprocess_streaming(whole(spark, sf), gated=True)).withColumn("y", F.round("y", 4) + 0.0)

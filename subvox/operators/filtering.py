@@ -33,35 +33,39 @@ def _sid(df: DataFrame) -> str:
     return df.schema["session_id"].dataType.simpleString()
 
 
-def _carries(blocks: DataFrame, make: Maker, at_rest: bool) -> DataFrame:
+#: A row of a recording: a contiguous run of samples of one block.
+ROW = ["session_id", "block", "start_sample"]
+
+
+def _carries(blocks: DataFrame, make: Maker, at_rest: bool, on_gap: str = "carry") -> DataFrame:
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ends = [
                 make(m, fs).end_state(frames(x, c)).ravel()
                 for m, fs, c, x in zip(pdf["mode"], pdf["fs_hz"], pdf["channels"], pdf["samples"])
             ]
-            out = pdf[["session_id", "block", "n_frames", "mode", "fs_hz", "channels"]].rename(columns={"n_frames": "n"})
-            yield out.assign(state=ends)
+            yield pdf[[*ROW, "n_frames", "mode", "fs_hz", "channels"]].assign(n=pdf["n_frames"], state=ends)
 
-    parts = blocks.select("session_id", "block", "n_frames", "mode", "fs_hz", "channels", "samples").mapInPandas(
-        states, f"session_id {_sid(blocks)}, block bigint, n int, mode string, fs_hz double, channels int, state array<double>"
+    parts = blocks.select(*ROW, "n_frames", "mode", "fs_hz", "channels", "samples").mapInPandas(
+        states, f"session_id {_sid(blocks)}, block bigint, start_sample bigint, n_frames int, n int, mode string, fs_hz double, channels int, state array<double>"
     )
 
     def begin(mode: str, fs: float, channels: int) -> np.ndarray:
         flt = make(mode, fs)
         return flt.begin(channels) if at_rest else np.zeros((flt.size, channels))
 
-    return carry_states(parts, lambda mode, fs, n: make(mode, fs).power(n), begin)
+    return carry_states(parts, lambda mode, fs, n: make(mode, fs).power(n), begin, on_gap=on_gap)
 
 
-def filter_sessions(blocks: DataFrame, make: Maker = mode_filter, *, at_rest: bool = True) -> DataFrame:
+def filter_sessions(blocks: DataFrame, make: Maker = mode_filter, *, at_rest: bool = True, on_gap: str = "carry") -> DataFrame:
     """Runs one causal filter through each whole session and returns block rows.
 
     Equal to filtering the session sample by sample from the rest state (``at_rest``) or
-    from zero. Cost: a pass for the end states, a scan over one small row per block, and
+    from zero. Where samples are lost the filter goes on from the state before (``on_gap="carry"``, as a live chain that is not told)
+    or starts anew (``"reset"``). Cost: a pass for the end states, a scan over one small row per block, and
     one join that brings each block its carry-in state.
     """
-    joined = blocks.join(_carries(blocks, make, at_rest), ["session_id", "block"])
+    joined = blocks.join(_carries(blocks, make, at_rest, on_gap), ROW)
     keep = ["session_id", "block", "start_sample", "n_frames", "channels", "mode", "fs_hz"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,19 +83,19 @@ def filter_sessions(blocks: DataFrame, make: Maker = mode_filter, *, at_rest: bo
     )
 
 
-def bandpass_causal(blocks: DataFrame, harmonics: bool = False) -> DataFrame:
+def bandpass_causal(blocks: DataFrame, harmonics: bool = False, on_gap: str = "carry") -> DataFrame:
     """Band-pass of the session's mode, then the line notch."""
-    return filter_sessions(blocks, lambda mode, fs: mode_filter(mode, fs, harmonics=harmonics))
+    return filter_sessions(blocks, lambda mode, fs: mode_filter(mode, fs, harmonics=harmonics), on_gap=on_gap)
 
 
-def motion_sessions(blocks: DataFrame, cut_hz: float = 5.0) -> DataFrame:
+def motion_sessions(blocks: DataFrame, cut_hz: float = 5.0, on_gap: str = "carry") -> DataFrame:
     """Motion index, baseline wander and RMS power of whole sessions (means over channels).
 
     The low-pass runs through the block scan, but only sums of squares leave the tasks.
     Sessions whose rate cannot carry the cut have no motion.
     """
-    carries = _carries(blocks.where(F.col("fs_hz") / 2 > cut_hz), lambda mode, fs: low_filter(4, cut_hz, fs), False)
-    joined = blocks.join(carries, ["session_id", "block"], "left")
+    carries = _carries(blocks.where(F.col("fs_hz") / 2 > cut_hz), lambda mode, fs: low_filter(4, cut_hz, fs), False, on_gap)
+    joined = blocks.join(carries, ROW, "left")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,11 +118,12 @@ def motion_sessions(blocks: DataFrame, cut_hz: float = 5.0) -> DataFrame:
     )
 
 
-def ema_normalize(blocks: DataFrame, alpha: float = 0.01, gate: DataFrame | None = None) -> DataFrame:
+def ema_normalize(blocks: DataFrame, alpha: float = 0.01, gate: DataFrame | None = None, on_gap: str = "carry") -> DataFrame:
     """Running mean and variance per 128-frame chunk, then ``(y - mu) / (sqrt(var) + 1e-6)``.
 
-    Mean and variance are two linear recurrences over chunks; each is one block scan.
-    ``gate(session_id, block, factor array<double>)`` multiplies the chunks afterwards.
+    Mean and variance are two linear recurrences over chunks; each is one block scan. Chunks are counted from the start of a row,
+    and a gap carries or resets both as in :func:`filter_sessions`.
+    ``gate(session_id, block, start_sample, factor array<double>)`` multiplies the chunks afterwards.
     """
     sid = _sid(blocks)
     keep = 1.0 - alpha
@@ -136,17 +141,17 @@ def ema_normalize(blocks: DataFrame, alpha: float = 0.01, gate: DataFrame | None
                 for row in a:
                     mu = keep * mu + alpha * row
                 m1.append(a.ravel()), m2.append(b.ravel()), ends.append(mu)
-            out = pdf[["session_id", "block", "mode", "fs_hz", "channels"]]
+            out = pdf[[*ROW, "n_frames", "mode", "fs_hz", "channels"]]
             yield out.assign(n=[len(a) // c for a, c in zip(m1, pdf["channels"])], m1=m1, m2=m2, state=ends)
 
-    stats = blocks.select("session_id", "block", "mode", "fs_hz", "channels", "samples").mapInPandas(
+    stats = blocks.select(*ROW, "n_frames", "mode", "fs_hz", "channels", "samples").mapInPandas(
         moments,
-        f"session_id {sid}, block bigint, mode string, fs_hz double, channels int, n int, m1 array<double>, "
+        f"session_id {sid}, block bigint, start_sample bigint, n_frames int, mode string, fs_hz double, channels int, n int, m1 array<double>, "
         "m2 array<double>, state array<double>",
     )
     decay = lambda mode, fs, n: keep**n  # noqa: E731 - passed to two scans
-    mu_in = carry_states(stats.drop("m1", "m2"), decay, lambda mode, fs, c: np.zeros((1, c)))
-    with_mu = stats.drop("state").join(mu_in.withColumnRenamed("carry", "mu"), ["session_id", "block"])
+    mu_in = carry_states(stats.drop("m1", "m2"), decay, lambda mode, fs, c: np.zeros((1, c)), on_gap=on_gap)
+    with_mu = stats.drop("state").join(mu_in.withColumnRenamed("carry", "mu"), ROW)
 
     def variances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,19 +162,19 @@ def ema_normalize(blocks: DataFrame, alpha: float = 0.01, gate: DataFrame | None
                     mu = keep * mu + alpha * p
                     var = keep * var + alpha * (q - 2 * mu * p + mu**2)
                 ends.append(var)
-            yield pdf[["session_id", "block", "n", "mode", "fs_hz", "channels", "mu"]].assign(state=ends)
+            yield pdf[[*ROW, "n_frames", "n", "mode", "fs_hz", "channels", "mu"]].assign(state=ends)
 
     spread = with_mu.mapInPandas(
         variances,
-        f"session_id {sid}, block bigint, n int, mode string, fs_hz double, channels int, mu array<double>, state array<double>",
+        f"session_id {sid}, block bigint, start_sample bigint, n_frames int, n int, mode string, fs_hz double, channels int, mu array<double>, state array<double>",
     )
-    var_in = carry_states(spread.drop("mu"), decay, lambda mode, fs, c: np.ones((1, c)))
-    carried = spread.select("session_id", "block", "mu").join(var_in.withColumnRenamed("carry", "var"), ["session_id", "block"])
-    joined = blocks.join(carried, ["session_id", "block"])
+    var_in = carry_states(spread.drop("mu"), decay, lambda mode, fs, c: np.ones((1, c)), on_gap=on_gap)
+    carried = spread.select(*ROW, "mu").join(var_in.withColumnRenamed("carry", "var"), ROW)
+    joined = blocks.join(carried, ROW)
     if gate is None:
         joined = joined.withColumn("factor", F.array().cast("array<double>"))
     else:
-        joined = joined.join(gate, ["session_id", "block"])
+        joined = joined.join(gate, ROW)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,19 +205,19 @@ def motion_gate(blocks: DataFrame, threshold: float = 0.35, attenuation: float =
             for fs, c, x in zip(pdf["fs_hz"], pdf["channels"], pdf["samples"]):
                 data = frames(x, c)
                 index.append([chunk_motion(data[i : i + EMA_CHUNK], fs) for i in range(0, len(data), EMA_CHUNK)])
-            yield pdf[["session_id", "block"]].assign(
+            yield pdf[ROW].assign(
                 motion=index, factor=[[attenuation if m >= threshold else 1.0 for m in row] for row in index]
             )
 
-    return blocks.select("session_id", "block", "fs_hz", "channels", "samples").mapInPandas(
-        gates, f"session_id {_sid(blocks)}, block bigint, motion array<double>, factor array<double>"
+    return blocks.select(*ROW, "fs_hz", "channels", "samples").mapInPandas(
+        gates, f"session_id {_sid(blocks)}, block bigint, start_sample bigint, motion array<double>, factor array<double>"
     )
 
 
-def preprocess_streaming(blocks: DataFrame, alpha: float = 0.01, gated: bool = False) -> DataFrame:
+def preprocess_streaming(blocks: DataFrame, alpha: float = 0.01, gated: bool = False, on_gap: str = "carry") -> DataFrame:
     """The causal chain used live: band-pass and notch, running normalisation, optional motion gate."""
-    gate = motion_gate(blocks).select("session_id", "block", "factor") if gated else None
-    return ema_normalize(bandpass_causal(blocks), alpha, gate)
+    gate = motion_gate(blocks).select(*ROW, "factor") if gated else None
+    return ema_normalize(bandpass_causal(blocks, on_gap=on_gap), alpha, gate, on_gap)
 
 
 def bandpass_zero_phase(events: DataFrame, *, normalize: str | None = "zscore", rectify: bool = False) -> DataFrame:

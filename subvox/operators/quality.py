@@ -34,8 +34,8 @@ def welch_snr(blocks: DataFrame, lengths: DataFrame, noise: tuple[float, float]
 
     ``blocks`` carry ``fs_hz, low_hz, high_hz``; ``lengths(session_id, n_samples)``. Half-
     overlapping segments are transformed where their block lies; only the 128 border
-    frames of a block move to meet those of the next one, and each block gives two sums
-    per channel. Undefined bands give NULL.
+    frames of a row move to meet those of the row that begins where it ends, and each row gives two sums
+    per channel; no segment of a long session crosses lost samples. Undefined bands give NULL.
     """
     sid = _sid(blocks)
     sized = spread_join(blocks, lengths, ["session_id"], salt_by=["block"])
@@ -69,8 +69,8 @@ def welch_snr(blocks: DataFrame, lengths: DataFrame, noise: tuple[float, float]
     within = long.select(*facts, "channels", "samples").mapInPandas(inner, sums)
     half = 128 * F.col("channels")
     ends = long.select(*facts, "channels", F.explode(F.array(
-        F.struct(F.col("block").alias("edge"), F.lit(1).alias("side"), F.slice("samples", 1, half).alias("v")),
-        F.struct((F.col("block") + 1).alias("edge"), F.lit(0).alias("side"), F.slice("samples", -half, half).alias("v")),
+        F.struct(F.col("start_sample").alias("edge"), F.lit(1).alias("side"), F.slice("samples", 1, half).alias("v")),
+        F.struct((F.col("start_sample") + F.col("n_frames")).alias("edge"), F.lit(0).alias("side"), F.slice("samples", -half, half).alias("v")),
     )).alias("e"), "n_frames")
     whole_end = ends.where((F.size("e.v") == half) & (F.col("n_frames") % 128 == 0))
     met = whole_end.groupBy(*facts, "channels", F.col("e.edge").alias("edge")).agg(
@@ -100,7 +100,7 @@ def welch_snr(blocks: DataFrame, lengths: DataFrame, noise: tuple[float, float]
 
     # Under LONG frames a session is a handful of blocks, so it fits one row.
     rows = short.groupBy(*facts).agg(
-        F.max("channels").alias("channels"), F.sort_array(F.collect_list(F.struct("block", "samples"))).alias("r")
+        F.max("channels").alias("channels"), F.sort_array(F.collect_list(F.struct("start_sample", "samples"))).alias("r")
     )
     brief = rows.select(*facts, "channels", F.flatten("r.samples").alias("samples")).mapInPandas(small, sums)
     total = within.unionByName(between).unionByName(brief).groupBy("session_id", "channel").agg(

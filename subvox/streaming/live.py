@@ -1,4 +1,8 @@
-"""Live operators: gaps, preprocessing, quality, windows, tokens, recalibration, utterances, decoding."""
+"""Live operators: gaps, preprocessing, quality, windows, tokens, recalibration, utterances, decoding.
+
+Block rows are contiguous runs of samples. Where samples are missing before a row, operators with ``on_gap`` go on with what they hold
+(``carry``) or start anew (``reset``); positions are those of the recording in both cases. Samples that have already come are not used again.
+"""
 
 from __future__ import annotations
 
@@ -39,6 +43,23 @@ def stream_gaps(packets: DataFrame) -> DataFrame:
     return keyed(cols, ["device_id"], ["arrival_no"], schema, lambda: (None, 0), step)
 
 
+class Arrivals:
+    """Where the samples of a session continue: new ones of a row, and whether some are missing before them."""
+
+    def __init__(self, on_gap: str):
+        if on_gap not in ("carry", "reset"):
+            raise ValueError(f"on_gap is carry or reset, not {on_gap!r}")
+        self.reset, self.due = on_gap == "reset", None
+
+    def take(self, row) -> tuple[int, np.ndarray, bool]:
+        """First new sample, the new samples, and whether to start anew."""
+        x, first = k.frames(row.samples, row.channels), int(row.start_sample)
+        known = 0 if self.due is None else min(len(x), max(0, self.due - first))
+        fresh = self.due is None or (self.reset and first > self.due and len(x) > 0)
+        self.due = max(first + len(x), self.due or 0)
+        return first + known, x[known:], fresh
+
+
 class Preprocessor:
     """Filter and normalisation state of one session, advanced block by block."""
 
@@ -68,19 +89,27 @@ class Preprocessor:
         return np.vstack(out) if out else data[:0]
 
 
-def stream_preprocess(blocks: DataFrame, *, alpha: float = 0.01, gated: bool = False) -> DataFrame:
+#: Block rows in the order of their samples.
+IN_ORDER = ["block", "start_sample"]
+
+
+def stream_preprocess(blocks: DataFrame, *, alpha: float = 0.01, gated: bool = False, on_gap: str = "carry") -> DataFrame:
     """The causal chain on live block rows (``mode``, ``fs_hz`` attached); equals the batch operator."""
 
     def step(state, row):
-        x = k.frames(row.samples, row.channels)
-        y = state.push(row.mode, float(row.fs_hz), x, last=len(x) % EMA_CHUNK != 0)
-        return state, [(row.session_id, row.block, row.start_sample, len(y), int(row.channels), row.mode, float(row.fs_hz), y.ravel())]
+        seen, chain = state or (Arrivals(on_gap), None)
+        first, x, fresh = seen.take(row)
+        chain = Preprocessor(alpha, gated) if fresh else chain
+        if not len(x):
+            return (seen, chain), []
+        y = chain.push(row.mode, float(row.fs_hz), x, last=len(x) % EMA_CHUNK != 0)
+        return (seen, chain), [(row.session_id, row.block, first, len(y), int(row.channels), row.mode, float(row.fs_hz), y.ravel())]
 
     schema = (
         f"session_id {_type(blocks)}, block bigint, start_sample bigint, n_frames int, channels int, mode string, fs_hz double, samples array<double>"
     )
     cols = blocks.select("session_id", "block", "start_sample", "channels", "mode", "fs_hz", "samples")
-    return keyed(cols, ["session_id"], ["block"], schema, lambda: Preprocessor(alpha, gated), step)
+    return keyed(cols, ["session_id"], IN_ORDER, schema, lambda: None, step)
 
 
 def quality_window(fs: float) -> int:
@@ -96,52 +125,67 @@ def _assess(x: np.ndarray, fs: float, band, noise) -> tuple:
     return snr, float(index.mean()), float(wander.mean()), per
 
 
-def stream_quality(blocks: DataFrame, band: tuple[float, float], noise: tuple[float, float] = (0.5, 5.0)) -> DataFrame:
+def stream_quality(blocks: DataFrame, band: tuple[float, float], noise: tuple[float, float] = (0.5, 5.0), *, on_gap: str = "carry") -> DataFrame:
     """Quality of the true trailing window (two seconds, 256 to 2048 frames) after every block."""
 
     def step(state, row):
+        seen, held = state or (Arrivals(on_gap), None)
         fs = float(row.fs_hz)
-        x = k.frames(row.samples, row.channels)
-        held = (x if state is None else np.vstack([state, x]))[-quality_window(fs) :]
+        first, x, fresh = seen.take(row)
+        if not len(x):
+            return (seen, held), []
+        held = (x if fresh else np.vstack([held, x]))[-quality_window(fs) :]
         snr, motion, wander, per = _assess(held, fs, band, noise)
-        return held, [(row.session_id, row.block, int(row.start_sample) + len(x), len(held), snr, motion, wander, per)]
+        return (seen, held), [(row.session_id, row.block, first + len(x), len(held), snr, motion, wander, per)]
 
     schema = (
         f"session_id {_type(blocks)}, block bigint, win_end bigint, n_frames int, snr_db double, motion_index double, baseline_wander double, "
         "snr_db_per_channel array<double>"
     )
     cols = blocks.select("session_id", "block", "start_sample", "channels", "fs_hz", "samples")
-    return keyed(cols, ["session_id"], ["block"], schema, lambda: None, step)
-
-
-def _new_windows(held: np.ndarray, first: int, ends: int, win: int, stride: int) -> tuple[list[tuple[int, np.ndarray]], int]:
-    """Windows that end at ``win + i * stride`` and are now complete; returns them and the next end."""
-    out = []
-    while ends <= first + len(held):
-        stop = ends - first
-        out.append((ends, held[stop - win : stop]))
-        ends += stride
-    return out, ends
-
-
-def stream_windows(blocks: DataFrame, *, window_ms: float = 600, stride_ms: float = 120) -> DataFrame:
-    """A decode window every stride, aligned to ``window + i * stride`` whatever the block size."""
+    return keyed(cols, ["session_id"], IN_ORDER, schema, lambda: None, step)
+
+
+class Windows:
+    """Windows of ``win`` samples that end at ``win + i * stride`` samples after the (re)start, with their true last positions."""
+
+    def __init__(self, win: int, stride: int):
+        self.win, self.stride, self.held, self.at, self.number = win, stride, None, None, 0
+        self.skip = 0
+
+    def push(self, first: int, x: np.ndarray, fresh: bool) -> list[tuple[int, int, np.ndarray]]:
+        """``(number, end, samples)`` of the windows that the new samples complete."""
+        place = np.arange(first, first + len(x))
+        if fresh or self.held is None:
+            self.held, self.at, self.skip = x, place, 0
+        else:
+            self.held, self.at = np.vstack([self.held, x]), np.concatenate([self.at, place])
+        out, begin = [], self.skip
+        while begin + self.win <= len(self.held):
+            stop = begin + self.win
+            out.append((self.number, int(self.at[stop - 1]) + 1, self.held[begin:stop]))
+            self.number, begin = self.number + 1, begin + self.stride
+        drop = min(begin, len(self.held))
+        self.held, self.at, self.skip = self.held[drop:], self.at[drop:], begin - drop
+        return out
+
+
+def stream_windows(blocks: DataFrame, *, window_ms: float = 600, stride_ms: float = 120, on_gap: str = "carry") -> DataFrame:
+    """A decode window every stride, aligned to ``window + i * stride`` whatever the block size.
+
+    After lost samples, ``carry`` has windows over the samples on both sides, and ``reset`` begins a new window behind the gap. ``win_end`` is
+    one past the window's last sample in the recording; ``step`` counts a session's windows.
+    """
 
     def step(state, row):
         fs = float(row.fs_hz)
-        win, stride = max(1, int(fs * window_ms / 1000)), max(1, int(fs * stride_ms / 1000))
-        held, first, ends, number = state or (None, int(row.start_sample), int(row.start_sample) + win, 0)
-        x = k.frames(row.samples, row.channels)
-        held = x if held is None else np.vstack([held, x])
-        done, ends = _new_windows(held, first, ends, win, stride)
-        rows = [(row.session_id, number + i, e, int(row.channels), w.ravel()) for i, (e, w) in enumerate(done)]
-        keep = min(len(held), max(0, first + len(held) - (ends - win)))
-        drop = len(held) - keep
-        return (held[drop:], first + drop, ends, number + len(done)), rows
+        seen, windows = state or (Arrivals(on_gap), Windows(max(1, int(fs * window_ms / 1000)), max(1, int(fs * stride_ms / 1000))))
+        done = windows.push(*seen.take(row))
+        return (seen, windows), [(row.session_id, i, end, int(row.channels), w.ravel()) for i, end, w in done]
 
     schema = f"session_id {_type(blocks)}, step bigint, win_end bigint, channels int, samples array<double>"
     cols = blocks.select("session_id", "block", "start_sample", "channels", "fs_hz", "samples")
-    return keyed(cols, ["session_id"], ["block"], schema, lambda: None, step)
+    return keyed(cols, ["session_id"], IN_ORDER, schema, lambda: None, step)
 
 
 def stream_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
@@ -196,7 +240,7 @@ def stream_utterances(rows: DataFrame, fs_hz: float, *, pre_roll: int = 8, min_m
 
 
 def stream_decode(
-    blocks: DataFrame, scorer: Scorer, *, cfg: GateConfig = GateConfig(), window_ms: float = 600, stride_ms: float = 120, alpha: float = 0.01
+    blocks: DataFrame, scorer: Scorer, *, cfg: GateConfig = GateConfig(), window_ms: float = 600, stride_ms: float = 120, alpha: float = 0.01, on_gap: str = "carry"
 ) -> DataFrame:
     """Raw live blocks to tokens: causal chain, windows, scoring and gate in one keyed state.
 
@@ -205,26 +249,22 @@ def stream_decode(
     """
 
     def step(state, row):
-        pre, held, first, ends, number, gate = state or (Preprocessor(alpha, False), None, 0, None, 0, TokenGate(cfg))
         fs = float(row.fs_hz)
-        win, stride = max(1, int(fs * window_ms / 1000)), max(1, int(fs * stride_ms / 1000))
-        x = k.frames(row.samples, row.channels)
-        y = pre.push(row.mode, fs, x, last=len(x) % EMA_CHUNK != 0)
-        if held is None:
-            held, first = y[:0], int(row.start_sample)
-            ends = first + win
-        held = np.vstack([held, y])
-        done, ends = _new_windows(held, first, ends, win, stride)
-        scored = [(end / fs, *scorer(window)) for end, window in done]
+        fresh_windows = Windows(max(1, int(fs * window_ms / 1000)), max(1, int(fs * stride_ms / 1000)))
+        seen, chain, windows, gate = state or (Arrivals(on_gap), None, fresh_windows, TokenGate(cfg))
+        first, x, fresh = seen.take(row)
+        chain = Preprocessor(alpha, False) if fresh else chain
+        y = chain.push(row.mode, fs, x, last=len(x) % EMA_CHUNK != 0) if len(x) else x
+        done = windows.push(first, y, fresh)
+        scored = [(end / fs, *scorer(window)) for _, end, window in done]
         t, token, conf, abstain = (np.array(v, kind) for v, kind in zip(zip(*scored) if scored else [()] * 4, (float, object, float, bool)))
         at, mean, level = gate.feed(t, token, conf, np.full(len(t), np.nan), abstain)
-        out = [(row.session_id, number + i, t[i], token[i], m, g) for i, m, g in zip(at, mean, level)]
-        drop = len(held) - min(len(held), max(0, first + len(held) - (ends - win)))
-        return (pre, held[drop:], first + drop, ends, number + len(done), gate), out
+        out = [(row.session_id, done[i][0], t[i], token[i], m, g) for i, m, g in zip(at, mean, level)]
+        return (seen, chain, windows, gate), out
 
     schema = f"session_id {_type(blocks)}, step bigint, t double, token string, confidence double, gate double"
     cols = blocks.select("session_id", "block", "start_sample", "channels", "mode", "fs_hz", "samples")
-    return keyed(cols, ["session_id"], ["block"], schema, lambda: None, step)
+    return keyed(cols, ["session_id"], IN_ORDER, schema, lambda: None, step)
 
 
 def split_late(blocks: DataFrame, delay: str = "10 seconds", time: str = "event_time") -> DataFrame:
