@@ -9,17 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subvox.functions.fixed import REASON_DEFICIT, REASON_MOTION, REASON_UNKNOWN
-from subvox.functions.recurrence import STATUS_FIELDS, TOKEN_FIELDS, GateConfig, RecalConfig, Recalibration, TokenGate, spaced
-from subvox.plans.inorder import in_order_frames
+from subvox.functions.recurrence import STATUS_FIELDS, TOKEN_FIELDS, GateConfig, Jumps, RecalConfig, Recalibration, TokenGate, spaced
 from subvox.plans.joins import spread_join
+from subvox.plans.machines import Stage, chunked
 from subvox.plans.ordered import drop_halo, halo_window, last_known, running_sum, with_halo
 
 
-def stabilize_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """Token events of each session from ``session_id, step, t, token, confidence, snr_db, abstain``."""
+#: Rows of a session that are worked on at once; longer sessions are summarised chunk by chunk (``plans/machines.py``).
+CHUNK_ROWS = 65_536
+#: Intervals of a throttle in one chunk.
+CHUNK_INTERVALS = 1024
+
+
+def stabilize_tokens(predictions: DataFrame, cfg: GateConfig = GateConfig(), chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Token events of each session from ``session_id, step, t, token, confidence, snr_db, abstain``.
+
+    Chunks of a session run at the same time: mean confidence, threshold and last token before each are composed from summaries.
+    """
     sid = predictions.schema["session_id"].dataType.simpleString()
     cols = predictions.select("session_id", "step", "t", "token", "confidence", "snr_db", "abstain")
-    return in_order_frames(cols, ["session_id"], ["step"], f"session_id {sid}, {TOKEN_FIELDS}", lambda: TokenGate(cfg).events)
+
+    def gate(states: list) -> TokenGate:
+        out = TokenGate(cfg)
+        (out.mean, words, confs, _), *more = states
+        out.tail = (words, confs)
+        for name, state in zip(("threshold", "sent"), more):
+            setattr(out, name, state)
+        return out
+
+    fresh = TokenGate(cfg)
+    stages = [
+        Stage((np.nan, *fresh.tail, fresh.sent[1]), lambda states, pdf: fresh.recent(pdf), fresh.after_recent),
+        Stage(fresh.threshold, lambda states, pdf: gate(states).moved(pdf), lambda x, moved: moved(x)),
+        Stage(fresh.sent, lambda states, pdf: gate(states).sends(pdf, states[0][3]), lambda last, jumps: jumps(last)),
+    ]
+    return chunked(cols, ["session_id"], "step", F.floor(F.col("step") / chunk), stages, lambda states: gate(states).events, f"session_id {sid}, {TOKEN_FIELDS}")
 
 
 def stable_runs(predictions: DataFrame, n: int = 3, min_confidence: float = 0.70, chunk: int = 65_536) -> DataFrame:
@@ -47,11 +71,28 @@ def low_streaks(quality: DataFrame, deficit: Column, warn_db: float = 3.0, strea
     return broken.withColumn("low_streak", length.cast("long")).withColumn("suggested", length >= streak).drop("_stop", "low")
 
 
-def recalibration_monitor(readings: DataFrame, cfg: RecalConfig = RecalConfig()) -> DataFrame:
-    """Smoothed SNR, deficit, streak and broadcasts from ``session_id, seq, t, snr_db, motion_index, baseline``."""
+def recalibration_monitor(readings: DataFrame, cfg: RecalConfig = RecalConfig(), chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Smoothed SNR, deficit, streak and broadcasts from ``session_id, seq, t, snr_db, motion_index, baseline``.
+
+    Chunks of a session run at the same time: mean, streak and last broadcast before each are composed from summaries.
+    """
     sid = readings.schema["session_id"].dataType.simpleString()
     cols = readings.select("session_id", "seq", "t", "snr_db", "motion_index", "baseline")
-    return in_order_frames(cols, ["session_id"], ["seq"], f"session_id {sid}, {STATUS_FIELDS}", lambda: Recalibration(cfg).status)
+
+    def monitor(states: list) -> Recalibration:
+        out = Recalibration(cfg)
+        (out.mean, _), *more = states
+        for name, state in zip(("streak", "sent"), more):
+            setattr(out, name, state if name == "streak" else state[1])
+        return out
+
+    fresh = Recalibration(cfg)
+    stages = [
+        Stage((np.nan, fresh.sent), lambda states, pdf: fresh.recent(pdf), lambda state, made: (made[0](state[0]), max(state[1], made[1]))),
+        Stage(0, lambda states, pdf: monitor(states).streaks(pdf), lambda streak, made: made[1] + (0 if made[0] else streak)),
+        Stage((0, fresh.sent), lambda states, pdf: monitor(states).sends(pdf, states[0][1]), lambda last, jumps: jumps(last)),
+    ]
+    return chunked(cols, ["session_id"], "seq", F.floor(F.col("seq") / chunk), stages, lambda states: monitor(states).status, f"session_id {sid}, {STATUS_FIELDS}")
 
 
 def session_recal_check(sessions: DataFrame, warn_db: float = 3.0, motion_warn: float = 0.40) -> DataFrame:
@@ -75,12 +116,18 @@ def session_recal_check(sessions: DataFrame, warn_db: float = 3.0, motion_warn:
     )
 
 
-def throttle(events: DataFrame, keys: Sequence[str], interval_s: float, order: Sequence[str] = ("t",)) -> DataFrame:
-    """At most one row per key and interval: a row passes when ``t`` is ``interval_s`` past the last passed one."""
+def throttle(events: DataFrame, keys: Sequence[str], interval_s: float, intervals: int = CHUNK_INTERVALS) -> DataFrame:
+    """At most one row per key and interval: in order of ``t``, a row passes when it is ``interval_s`` past the last passed one.
+
+    Rows without a time never pass. A key is cut into chunks of ``intervals`` intervals that run at the same time; what a chunk does is a table of its first interval's rows.
+    """
     fields = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    cols = events.select(*keys, F.col("t").cast("double").alias("t")).where("t IS NOT NULL AND NOT isnan(t)")
+    if interval_s <= 0:
+        return cols
 
-    def machine():
-        passed = [-np.inf]
+    def replay(states: list):
+        passed = [states[0][1]]
 
         def step(pdf):
             at, passed[0] = spaced(pdf["t"].to_numpy(), interval_s, passed[0])
@@ -88,7 +135,8 @@ def throttle(events: DataFrame, keys: Sequence[str], interval_s: float, order: S
 
         return step
 
-    return in_order_frames(events.select(*keys, "t"), keys, order, f"{fields}, t double", machine)
+    stage = Stage((0, -np.inf), lambda states, pdf: Jumps(pdf["t"].to_numpy(float), interval_s, float(pdf["t"].iloc[0])), lambda last, jumps: jumps(last))
+    return chunked(cols, keys, "t", F.floor(F.col("t") / (interval_s * intervals)), [stage], replay, f"{fields}, t double")
 
 
 def ptt_utterances(
