@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from subvox.catalog.registry import query
 from subvox.catalog.speech import LETTERS_SQL, letters
-from subvox.functions.fixed import PHONES
+from subvox.functions.fixed import LM_WEIGHTS, PHONES
 from subvox.operators import classify as cl
 from subvox.operators import decode as dc
 from subvox.operators import lm as lmod
@@ -259,15 +259,17 @@ def ptt_utterances(spark, sf):
     return mon.ptt_utterances(chunks, controls, 250.0, max_ms=500.0)
 
 
-FRAMES_SQL = f"""f AS (SELECT vec_id // 10 AS utt_id, vec_id % 10 AS frame, list_position(embedding[1:40], list_max(embedding[1:40])) - 1 AS cls FROM embeddings)"""
+FRAMES_SQL = """z AS (SELECT vec_id, list_transform(range(1, 41), lambda i: greatest(embedding[i], embedding[i + 40])) AS z FROM embeddings),
+f AS (SELECT vec_id // 10 AS utt_id, vec_id % 10 AS frame, list_position(z, list_max(z)) - 1 AS cls FROM z)"""
 
 
 def posteriors(spark, sf):
-    """Frames of ten-frame utterances, four utterances to a trial; 40 of the 64 numbers are class scores."""
+    """Frames of ten-frame utterances, four utterances to a trial; the numbers are class scores, where those past the last class are more of the first."""
     from subvox.functions.arrays import once
 
+    n = len(PHONES)
     f = px.px_frames(spark, sf)
-    f = once(f, z=F.transform(F.slice("x", 1, 40), lambda v: v.cast("double") * 8))
+    f = once(f, z=F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.greatest(F.get("x", i), F.get("x", i + n)).cast("double") * 8))
     f = once(f, total=F.log(F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v))))
     utt = F.floor(F.col("frame") / 10)
     return f.select(
@@ -292,8 +294,11 @@ def decoding(spark, sf):
     """Utterance rows, the words said in them, the lexicon and a model of the trials."""
     utts = dc.utterance_rows(posteriors(spark, sf), carry=["trial_id", "slot"])
     lexicon = letters(spark, sf).where(F.size("phones") > 0)
-    words = px.table(spark, sf, "part").select(F.col("p_partkey").alias("utt_id"), F.lower("p_type").alias("ref"))
-    refs = utts.select("utt_id", "trial_id", "slot").join(words, "utt_id")
+    parts = px.table(spark, sf, "part")
+    # Part keys run from 1 on; utterances past the last one begin anew.
+    said = (F.col("utt_id") % parts.agg(F.count(F.lit(1))).scalar() + 1).alias("_said")
+    words = parts.select(F.col("p_partkey").alias("_said"), F.lower("p_type").alias("ref"))
+    refs = utts.select("utt_id", "trial_id", "slot", said).join(words, "_said").drop("_said")
     trials = refs.select("trial_id", F.col("slot").alias("word_idx"), F.col("ref").alias("label"))
     return utts, refs, lexicon, lmod.fit_trial_lm(trials, max_trial=1 << 40, date_slots=False).saved()
 
@@ -304,19 +309,78 @@ def _scores(spark, sf):
     return cut_lineage(scores.join(utts.select("utt_id", "trial_id"), "utt_id")), refs, model
 
 
-@query("lexicon_scores")
+def _smooth_sql(counts: str, context: str) -> str:
+    over = f"OVER (PARTITION BY {context})"
+    return f"SELECT *, ln((n + 0.1::DOUBLE) / (sum(n) {over} + 0.1::DOUBLE * count(*) {over})) AS logp, count(*) {over} AS v FROM {counts}"
+
+
+#: Best paths frame by frame: ``a[i]`` is the best score that ends in state ``i`` of blank, phone, blank, phone, ..., blank.
+SCORES_SQL = f"""{LETTERS_SQL}, lex AS (SELECT word, phones FROM letters WHERE len(phones) > 0), {FRAMES_SQL},
+lp AS (SELECT vec_id // 10 AS utt_id, vec_id % 10 AS frame,
+              list_transform(z, lambda v: 8 * v::DOUBLE - ln(list_sum(list_transform(z, lambda u: exp(8 * u::DOUBLE))))) AS lp FROM z),
+utts AS (SELECT utt_id, utt_id // 4 AS trial_id, utt_id % 4 AS slot, list(lp ORDER BY frame) AS lps, count(*) AS frames FROM lp GROUP BY utt_id),
+refs AS (SELECT utt_id, trial_id, slot, lower(p_type) AS ref FROM utts JOIN part ON p_partkey = utt_id % (SELECT count(*) FROM part) + 1),
+said AS (SELECT slot, ref AS word, lag(ref, 1) OVER w AS prev, lag(ref, 2) OVER w AS prev2 FROM refs WINDOW w AS (PARTITION BY trial_id ORDER BY slot)),
+lm_slot AS ({_smooth_sql("(SELECT slot, word, count(*) AS n FROM said GROUP BY ALL)", "slot")}),
+lm_bigram AS ({_smooth_sql("(SELECT prev, word, count(*) AS n FROM said WHERE prev IS NOT NULL GROUP BY ALL)", "prev")}),
+lm_trigram AS ({_smooth_sql("(SELECT prev2, prev, word, count(*) AS n FROM said WHERE prev2 IS NOT NULL GROUP BY ALL)", "prev2, prev")}),
+known AS (SELECT slot, word, phones FROM lm_slot JOIN lex USING (word)),
+cands AS (SELECT * FROM known UNION ALL SELECT slot, word, phones FROM (SELECT DISTINCT slot FROM utts WHERE slot NOT IN (SELECT slot FROM known)), lex),
+coded AS (SELECT slot, word, list_transform(phones, lambda p: list_position([{", ".join(f"'{p}'" for p in PHONES)}], p) - 1) AS ids FROM cands),
+states AS (SELECT slot, word, list_transform(range(0, 2 * len(ids) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ids[(i + 1) // 2] ELSE 0 END) AS tab FROM coded),
+paths AS (
+  SELECT utt_id, trial_id, slot, word, tab, lps, frames, 1 AS seen,
+         list_transform(range(1, len(tab) + 1), lambda i: CASE WHEN i <= 2 THEN lps[1][tab[i] + 1] ELSE -1e30::DOUBLE END) AS a
+  FROM utts JOIN states USING (slot)
+  UNION ALL
+  SELECT utt_id, trial_id, slot, word, tab, lps, frames, seen + 1,
+         list_transform(range(1, len(tab) + 1), lambda i: greatest(a[i], CASE WHEN i > 1 THEN a[i - 1] END,
+           CASE WHEN i > 2 AND tab[i] <> 0 AND tab[i] <> tab[i - 2] THEN a[i - 2] END) + lps[seen + 1][tab[i] + 1])
+  FROM paths WHERE seen < frames),
+scores AS (SELECT utt_id, trial_id, slot, word, greatest(a[len(a)], a[len(a) - 1]) AS score FROM paths WHERE seen = frames)"""
+
+
+def _chosen_sql(weights) -> str:
+    """CTE ``chosen``: the word of every slot given the words before it, for each weight of the model."""
+    return f"""bases AS (SELECT s.*, coalesce(l.logp, ln(0.1::DOUBLE / coalesce((SELECT max(v) FROM lm_slot x WHERE x.slot = s.slot), 1))) AS base
+  FROM scores s LEFT JOIN lm_slot l ON l.slot = s.slot AND l.word = s.word),
+chosen AS (
+  SELECT DISTINCT trial_id, w::DOUBLE AS weight, CAST(-1 AS BIGINT) AS slot, CAST(NULL AS VARCHAR) AS prev, CAST(NULL AS VARCHAR) AS hyp
+  FROM scores, (SELECT unnest({list(weights)}) AS w)
+  UNION ALL
+  SELECT trial_id, weight, slot, before, best.w FROM (
+    SELECT b.trial_id, c.weight, b.slot, c.hyp AS before, min({{
+      't': 0 - (b.score + greatest(c.weight, 0) * (b.base + CASE WHEN c.hyp IS NULL THEN 0 ELSE coalesce(bi.logp, ln(0.1::DOUBLE)) END
+                                                   + CASE WHEN c.prev IS NULL THEN 0 ELSE coalesce(tri.logp, ln(0.1::DOUBLE)) END)),
+      's': 0 - b.score, 'w': b.word}}) AS best
+    FROM chosen c JOIN bases b ON b.trial_id = c.trial_id AND b.slot = c.slot + 1
+    LEFT JOIN lm_bigram bi ON bi.prev = c.hyp AND bi.word = b.word
+    LEFT JOIN lm_trigram tri ON tri.prev2 = c.prev AND tri.prev = c.hyp AND tri.word = b.word
+    GROUP BY b.trial_id, c.weight, b.slot, c.hyp))"""
+
+
+@query(
+    "lexicon_scores",
+    f"""WITH RECURSIVE {SCORES_SQL} SELECT utt_id, slot, word, round(score, 4) AS score,
+  CAST(row_number() OVER (PARTITION BY utt_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM scores""",
+)
 def lexicon_scores(spark, sf):
     scores, _, _ = _scores(spark, sf)
     return scores.select("utt_id", "slot", "word", F.round("score", 4).alias("score"), "rank")
 
 
-@query("decode_trials")
+@query("decode_trials", f"WITH RECURSIVE {SCORES_SQL}, {_chosen_sql([1.0])} SELECT trial_id, slot, hyp FROM chosen WHERE slot >= 0")
 def decode_trials(spark, sf):
     scores, _, model = _scores(spark, sf)
     return dc.decode_trials(scores.withColumn("weight", F.lit(1.0)), model, 4)
 
 
-@query("tune_lm_weight")
+@query(
+    "tune_lm_weight",
+    f"""WITH RECURSIVE {SCORES_SQL}, {_chosen_sql(LM_WEIGHTS)},
+acc AS (SELECT weight, avg((hyp = ref)::BIGINT) AS accuracy, count(*) AS n FROM chosen JOIN refs USING (trial_id, slot) GROUP BY weight)
+SELECT weight, round(accuracy, 6) AS accuracy, n, row_number() OVER (ORDER BY accuracy DESC, weight) = 1 AS best FROM acc""",
+)
 def tune_lm_weight(spark, sf):
     scores, refs, model = _scores(spark, sf)
     return dc.tune_lm_weight(scores, refs, model, 4).select("weight", F.round("accuracy", 6).alias("accuracy"), "n", "best")

@@ -203,7 +203,7 @@ def split_mode_of(spark, sf):
 @query(
     "label_counts",
     f"""WITH {px.PX_SPANS_SQL}, c AS (SELECT session_id, label, count(*) AS n FROM px_spans GROUP BY ALL)
-SELECT session_id, label, n, CASE WHEN n < 50 THEN 'Token ''' || label || ''' has only ' || n || ' samples (recommended: 50+)' END AS warning FROM c""",
+SELECT session_id, label, n, CASE WHEN n < 50 THEN 'label ' || label || ': ' || n || ' samples, fewer than 50' END AS warning FROM c""",
 )
 def label_counts(spark, sf):
     return ev.label_counts(px.px_spans(spark, sf), 50, ["session_id"])

@@ -124,22 +124,23 @@ def top_confusions(spark, sf):
     return m.top_confusions(px.px_pred(spark, sf), 20)
 
 
-def _weight_sql(rep: str, home: str, seed: int) -> str:
-    u = f"(('0x' || substr(md5('{seed}:' || {rep} || ':' || {home}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-    return "(" + " + ".join(f"({u} > {c!r}::DOUBLE)::BIGINT" for c in m._poisson_cdf()) + ")"
+def _weights_sql(rows: str, seed: int, replicates: int) -> str:
+    """CTE ``w``: the rows of ``rows`` (with their key ``k``) once per replicate, with weight ``w``."""
+    u = "('0x' || substr(x, 1 + 4 * j, 4))::BIGINT"
+    weight = " + ".join(f"(u >= {c})::BIGINT" for c in m.poisson_cuts())
+    return f"""x AS (SELECT {rows}.*, b, sha256('{seed}:' || k || ':' || b) AS x FROM {rows}, range(0, {-(-replicates // m.DRAWS)}) t(b)),
+u AS (SELECT * EXCLUDE (x), {u} AS u, b * {m.DRAWS} + j + 1 AS rep FROM x, range(0, {m.DRAWS}) t(j) WHERE b * {m.DRAWS} + j < {replicates}),
+w AS (SELECT * EXCLUDE (u), {weight} AS w FROM u)"""
 
 
-BOOT_SQL = f"""{P}, h AS (SELECT ref = hyp AS ok, ('0x' || substr(md5('0:' || trial_id || ':' || word_idx), 1, 8))::BIGINT % 1024 AS home,
-                        ref, hyp FROM px_pred),
-s AS (SELECT home, sum(ok::BIGINT)::DOUBLE AS s, count(*) AS n FROM h GROUP BY home),
-w AS (SELECT rep, s, n, {_weight_sql('rep', 'home', 0)} AS w FROM s, range(1, 201) t(rep)),
-mm AS (SELECT rep, sum(s * w) / sum(n * w)::DOUBLE AS m FROM w GROUP BY rep)"""
+INTERVAL_SQL = """round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci95_low, round(quantile_cont(m, 0.975), 6) AS ci95_high, count(*) AS n_bootstrap"""
 
 
 @query(
     "bootstrap_accuracy",
-    f"""WITH {BOOT_SQL} SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci95_low,
-  round(quantile_cont(m, 0.975), 6) AS ci95_high, count(*) AS n_bootstrap FROM mm""",
+    f"""WITH {P}, h AS (SELECT (ref = hyp)::BIGINT AS s, trial_id || ':' || word_idx AS k FROM px_pred), {_weights_sql('h', 0, 200)},
+mm AS (SELECT sum(s * w)::DOUBLE / sum(w)::DOUBLE AS m FROM w GROUP BY rep)
+SELECT {INTERVAL_SQL} FROM mm""",
 )
 def bootstrap_accuracy(spark, sf):
     p = px.px_pred(spark, sf).withColumn("hit", (F.col("ref") == F.col("hyp")).cast("double"))
@@ -149,16 +150,13 @@ def bootstrap_accuracy(spark, sf):
 
 @query(
     "bootstrap_macro_f1",
-    f"""WITH {P}, h AS (SELECT ref, hyp, ('0x' || substr(md5('4:' || trial_id || ':' || word_idx), 1, 8))::BIGINT % 256 AS home FROM px_pred),
-c AS (SELECT home, ref, hyp, count(*) AS n FROM h GROUP BY ALL),
-w AS (SELECT rep, ref, hyp, n * {_weight_sql('rep', 'home', 4)} AS n FROM c, range(1, 51) t(rep)),
-e AS (SELECT rep, ref AS label, n AS a, CASE WHEN ref = hyp THEN n ELSE 0 END AS t FROM w UNION ALL SELECT rep, hyp, n, 0 FROM w),
+    f"""WITH {P}, h AS (SELECT ref, hyp, trial_id || ':' || word_idx AS k FROM px_pred), {_weights_sql('h', 4, 50)},
+e AS (SELECT rep, ref AS label, w AS a, CASE WHEN ref = hyp THEN w ELSE 0 END AS t FROM w UNION ALL SELECT rep, hyp, w, 0 FROM w),
 g AS (SELECT rep, label, sum(a) AS a, sum(t) AS t FROM e GROUP BY ALL),
 names AS (SELECT DISTINCT p_brand AS label FROM part),
 mm AS (SELECT rep, sum(CASE WHEN a > 0 THEN 2 * t / a::DOUBLE ELSE 0 END) / (SELECT count(*) FROM names) AS m FROM g
        WHERE label IN (SELECT label FROM names) GROUP BY rep)
-SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci95_low, round(quantile_cont(m, 0.975), 6) AS ci95_high,
-       count(*) AS n_bootstrap FROM mm""",
+SELECT {INTERVAL_SQL} FROM mm""",
 )
 def bootstrap_macro_f1(spark, sf):
     labels = px.table(spark, sf, "part").select(F.col("p_brand").alias("label")).distinct()
@@ -166,6 +164,20 @@ def bootstrap_macro_f1(spark, sf):
     return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "ci95_low", "ci95_high")], "n_bootstrap")
 
 
+@query(
+    "bootstrap_pooled_runs",
+    f"""WITH {P}, h AS (SELECT word_idx, trial_id % 5 AS run, (ref = hyp)::BIGINT AS s, trial_id % 5 || ':' || trial_id || ':' || word_idx AS k FROM px_pred),
+r AS (SELECT word_idx, count(*) AS n_runs, avg(a) AS run_mean, stddev_pop(a) AS run_std FROM (SELECT word_idx, run, avg(s) AS a FROM h GROUP BY ALL) GROUP BY ALL),
+{_weights_sql('h', 2, 40)},
+mm AS (SELECT word_idx, sum(s * w)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS m FROM w GROUP BY word_idx, rep HAVING sum(w) > 0)
+SELECT word_idx, n_runs, round(run_mean, 6) AS run_mean, round(run_std, 6) AS run_std, {INTERVAL_SQL} FROM mm JOIN r USING (word_idx) GROUP BY ALL""",
+)
+def bootstrap_pooled_runs(spark, sf):
+    p = px.px_pred(spark, sf).withColumn("hit", (F.col("ref") == F.col("hyp")).cast("double")).withColumn("run", F.col("trial_id") % 5)
+    b = m.pooled_summary(p, "run", ["trial_id", "word_idx"], "hit", replicates=40, seed=2, groups=["word_idx"])
+    return b.select("word_idx", "n_runs", *[F.round(c, 6).alias(c) for c in ("run_mean", "run_std", "mean", "ci95_low", "ci95_high")], "n_bootstrap")
+
+
 @query(
     "multiseed_summary",
     f"""WITH {P}, r AS (SELECT trial_id % 5 AS run_seed, avg(CASE WHEN ref = hyp THEN 1.0 ELSE 0.0 END) AS acc, avg(conf) AS conf

@@ -81,7 +81,9 @@ GATE_EASY, GATE_HARD, GATE_STEP, GATE_PULL = 0.85, 0.60, 0.02, 0.05
 REASON_DEFICIT, REASON_MOTION = "snr_deficit_%.1fdb", "motion_index_%.2f"
 REASON_STREAK, REASON_UNKNOWN = "sustained_low_snr", "missing_baseline_or_session_snr"
 
-# --- fixed values: a word's phones in a pronunciation list; notes on recordings and labels ---
+# --- fixed values: a word's phones in a pronunciation list ---
 PHONE_PATTERN = r"^[A-Za-z@][A-Za-z0-9@\-]*$"
-NOTE_SNR, NOTE_MOTION = "Low SNR detected: %.2f dB (recommended: >15 dB)", "High motion artifacts: %.3f (recommended: <0.2)"
-NOTE_LABEL = "Token '%s' has only %d samples (recommended: %d+)"
+
+# Notes on recordings and labels.
+NOTE_SNR, NOTE_MOTION = "signal only %.2f dB above noise (want more than 15)", "motion index %.3f is above 0.2"
+NOTE_LABEL = "label %s: %d samples, fewer than %d"

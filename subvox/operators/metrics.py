@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from subvox.functions.arrays import once
 from subvox.functions.fixed import MONTHS, WEEKDAYS, YEAR_PREFIXES
-from subvox.plans.draws import draw, uniform, uniform_int
 from subvox.plans.ordered import exact_percentiles
 
 
@@ -127,64 +129,113 @@ def top_confusions(pred: DataFrame, k: int = 20) -> DataFrame:
     return pairs.orderBy(F.desc("n"), "ref", "hyp").limit(int(k))
 
 
-def _poisson_cdf(terms: int = 13) -> list[float]:
+#: Draws of one row come from sha256 texts, 16 of 16 bits from each.
+DRAWS = 16
+
+
+def poisson_cuts() -> list[int]:
+    """The 16-bit draws from which on a Poisson(1) weight is at least 1, 2, 3, ..."""
     total, out = 0.0, []
-    for k in range(terms):
+    for k in range(12):
         total += math.exp(-1.0) / math.factorial(k)
-        out.append(round(total, 12))
+        if round(total * 65536) < 65536:
+            out.append(round(total * 65536))
     return out
 
 
-def bootstrap_ci(
-    scored: DataFrame, key: Sequence[str], score: str, *, replicates: int = 200, seed: int = 0, strata: int = 1024,
-    groups: Sequence[str] = (),
-) -> DataFrame:
-    """Mean and 95 % interval of the mean of ``score`` under resampling.
+def replicate_sums(rows: DataFrame, key: Sequence[str], value: str, *, replicates: int, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """``groups, _rep, _s, _n``: weighted sum of ``value`` and sum of weights per replicate, from 1.
 
-    Rows fall into ``strata`` by hash of their key and are summed there first; each
-    replicate weights a stratum by a repeatable Poisson(1) draw. So one pass reads the
-    data and the replicates cost ``strata * replicates`` small rows at any data size.
+    Every row has a Poisson(1) weight of its own in every replicate, read from sha256 of seed and key, so rows of one key are drawn together.
+    A row's weights are one array; tasks add up such arrays per group and hand on one row per group. Null values are left out.
     """
-    groups = list(groups)
-    home = F.pmod(uniform_int(draw(seed, *key)), F.lit(strata))
-    sums = scored.groupBy(*groups, home.alias("_h")).agg(F.sum(score).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    reps = sums.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
-    u = uniform(draw(seed, "_rep", "_h"))
-    weight = sum(((u > F.lit(c)).cast("long") for c in _poisson_cdf()), F.lit(0))
-    means = reps.withColumn("_w", weight).groupBy(*groups, "_rep").agg(
-        (F.sum(F.col("_s") * F.col("_w")) / F.sum(F.col("_n") * F.col("_w"))).alias("_m")
-    )
+    groups, replicates = list(groups), int(replicates)
+    texts = [F.sha2(F.concat_ws(":", F.lit(str(int(seed))), *[F.col(k).cast("string") for k in key], F.lit(str(b))), 256) for b in range(-(-replicates // DRAWS))]
+    laid = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_s"), F.unhex(F.concat(*texts)).alias("_u"))
+    table = np.searchsorted(poisson_cuts(), np.arange(65536), side="right").astype(np.int64)
+    most = max(1, (1 << 22) // replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            names = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+            both = [pa.array([list(v[side]) for v in held.values()], pa.list_(pa.float64())) for side in (0, 1)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*names, *both], [*groups, "_a", "_b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(g).type for g in groups]
+            weight = table[np.frombuffer(b"".join(batch.column("_u").to_pylist()), ">u2").reshape(batch.num_rows, -1)[:, :replicates]]
+            codes: dict[tuple, int] = {}
+            of = zip(*[batch.column(g).to_pylist() for g in groups]) if groups else [()] * batch.num_rows
+            code = np.array([codes.setdefault(k, len(codes)) for k in of])
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(codes)))
+            weight, values = weight[order].astype(float), batch.column("_s").to_numpy(zero_copy_only=False)[order]
+            sums = np.stack([np.add.reduceat(weight * values[:, None], starts), np.add.reduceat(weight, starts)], axis=1)
+            for k, part in zip(codes, sums):
+                held[k] = held[k] + part if k in held else part
+            if len(held) > most:
+                yield flush()
+        if held:
+            yield flush()
+
+    fields = [*[StructField(g, rows.schema[g].dataType) for g in groups], *[StructField(c, ArrayType(DoubleType())) for c in ("_a", "_b")]]
+    parts = laid.mapInArrow(run, StructType(fields)).select(*groups, F.posexplode(F.arrays_zip("_a", "_b")).alias("_at", "_v"))
+    sums = parts.groupBy(*groups, (F.col("_at") + 1).alias("_rep")).agg(F.sum("_v._a").alias("_s"), F.sum("_v._b").alias("_n"))
+    return sums.where("_n > 0")
+
+
+def _interval(means: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     p = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
     out = means.groupBy(*groups).agg(F.avg("_m").alias("mean"), p.alias("_p"), F.count("_m").alias("n_bootstrap"))
     return out.select(*groups, "mean", F.col("_p")[0].alias("ci95_low"), F.col("_p")[1].alias("ci95_high"), "n_bootstrap")
 
 
-def bootstrap_macro_f1_ci(
-    pred: DataFrame, key: Sequence[str], labels: DataFrame, *, replicates: int = 200, seed: int = 0, strata: int = 256
-) -> DataFrame:
-    """The same for macro-F1: confusion cells per stratum are summed before resampling."""
-    home = F.pmod(uniform_int(draw(seed, *key)), F.lit(strata))
-    cells = pred.groupBy(home.alias("_h"), "ref", "hyp").agg(F.count(F.lit(1)).alias("_n"))
-    reps = cells.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
-    u = uniform(draw(seed, "_rep", "_h"))
-    weight = sum(((u > F.lit(c)).cast("long") for c in _poisson_cdf()), F.lit(0))
-    sides = reps.withColumn("_n", F.col("_n") * weight).select(
-        "_rep",
-        F.explode(
-            F.array(
-                F.struct(F.col("ref").alias("label"), F.col("_n").alias("a"), F.when(F.col("ref") == F.col("hyp"), F.col("_n")).otherwise(0).alias("t")),
-                F.struct(F.col("hyp").alias("label"), F.col("_n").alias("a"), F.lit(0).cast("long").alias("t")),
-            )
-        ).alias("e"),
+def bootstrap_ci(scored: DataFrame, key: Sequence[str], score: str, *, replicates: int = 200, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """Mean and 95 % interval of the mean of ``score`` under resampling of rows (Poisson bootstrap, ``replicate_sums``).
+
+    Replicates in which no row is drawn do not count; without rows ``groups`` have no row, and no groups one of nulls.
+    """
+    sums = replicate_sums(scored, key, score, replicates=replicates, seed=seed, groups=groups)
+    return _interval(sums.select(*groups, (F.col("_s") / F.col("_n")).alias("_m")), groups)
+
+
+def bootstrap_macro_f1_ci(pred: DataFrame, key: Sequence[str], labels: DataFrame, *, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """The same for macro-F1 over ``labels(label)``: confusion cells are the groups."""
+    cells = replicate_sums(pred.withColumn("_one", F.lit(1.0)), key, "_one", replicates=replicates, seed=seed, groups=["ref", "hyp"])
+    hit = F.when(F.col("ref") == F.col("hyp"), F.col("_n")).otherwise(0.0)
+    sides = F.array(
+        F.struct(F.col("ref").alias("label"), F.col("_n").alias("a"), hit.alias("t")),
+        F.struct(F.col("hyp").alias("label"), F.col("_n").alias("a"), F.lit(0.0).alias("t")),
     )
-    per = sides.groupBy("_rep", F.col("e.label").alias("label")).agg(F.sum("e.a").alias("a"), F.sum("e.t").alias("t"))
-    per = per.join(labels.select("label").distinct(), "label", "left_semi")
-    n_labels = labels.select("label").distinct().count()
-    f1 = F.sum(F.when(F.col("a") > 0, 2 * F.col("t") / F.col("a")).otherwise(0.0)) / F.lit(n_labels)
-    means = per.groupBy("_rep").agg(f1.alias("_m"))
-    p = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    out = means.agg(F.avg("_m").alias("mean"), p.alias("_p"), F.count("_m").alias("n_bootstrap"))
-    return out.select("mean", F.col("_p")[0].alias("ci95_low"), F.col("_p")[1].alias("ci95_high"), "n_bootstrap")
+    per = cells.select("_rep", F.explode(sides).alias("e")).groupBy("_rep", F.col("e.label").alias("label")).agg(F.sum("e.a").alias("a"), F.sum("e.t").alias("t"))
+    known = labels.select("label").distinct()
+    per = per.join(known, "label", "left_semi")
+    n_labels = known.agg(F.count(F.lit(1))).scalar()
+    f1 = F.sum(F.when(F.col("a") > 0, 2 * F.col("t") / F.col("a")).otherwise(0.0))
+    return _interval(per.groupBy("_rep").agg(f1.alias("_f")).select((F.col("_f") / n_labels).alias("_m")))
+
+
+def pooled_summary(scored: DataFrame, run: str, key: Sequence[str], score: str, *, replicates: int = 200, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """``n_runs``, mean and population deviation of the runs' mean scores, and the interval of the rows of all runs together.
+
+    ``key`` names a row within its run; a row is drawn by run and key.
+    """
+    each = scored.groupBy(*groups, run).agg(F.avg(score).alias("_score"))
+    over = each.groupBy(*groups).agg(F.count("_score").alias("n_runs"), F.avg("_score").alias("run_mean"), F.stddev_pop("_score").alias("run_std"))
+    pooled = bootstrap_ci(scored, [run, *key], score, replicates=replicates, seed=seed, groups=groups)
+    if groups:
+        match = F.lit(True)
+        for g in groups:
+            match = match & over[g].eqNullSafe(pooled[g])
+        return over.join(pooled, match).drop(*[pooled[g] for g in groups])
+    one = F.lit(1).alias("_one")
+    return over.select("*", one).join(pooled.select("*", one), "_one").drop("_one")
 
 
 def multiseed_summary(runs: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

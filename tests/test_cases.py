@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -288,6 +289,60 @@ def test_bootstrap_covers_the_mean(spark):
     assert b.ci95_low < 0.25 < b.ci95_high and 0.02 < b.ci95_high - b.ci95_low < 0.06
 
 
+def _weights(seed, key, replicates):
+    """Poisson weights of one row, read from sha256 texts one by one."""
+    cuts, out = m.poisson_cuts(), []
+    for r in range(replicates):
+        text = hashlib.sha256(f"{seed}:{key}:{r // 16}".encode()).hexdigest()
+        u = int(text[r % 16 * 4 : r % 16 * 4 + 4], 16)
+        out.append(sum(u >= c for c in cuts))
+    return out
+
+
+def test_poisson_cuts():
+    weight = np.searchsorted(m.poisson_cuts(), np.arange(65536), side="right")
+    assert abs(weight.mean() - 1) < 1e-3 and abs(weight.var() - 1) < 1e-3
+
+
+def test_replicate_sums_are_those_of_every_row(spark):
+    rows = [(i, None if i % 7 == 3 else ["a", "b", "a:b"][i % 3], None if i % 11 == 5 else i * 0.5) for i in range(400)] + [(5, "b", 2.0)] * 3
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    got = {(r.g, r._rep): (r._s, r._n) for r in m.replicate_sums(df, ["id"], "v", replicates=21, seed=9, groups=["g"]).collect()}
+    want: dict = {}
+    for i, g, v in rows:
+        if v is not None:
+            for rep, w in enumerate(_weights(9, i, 21), 1):
+                s, n = want.get((g, rep), (0.0, 0))
+                want[g, rep] = (s + w * v, n + w)
+    want = {k: v for k, v in want.items() if v[1]}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {r._rep for r in m.replicate_sums(df, ["id"], "v", replicates=3).collect()} == {1, 2, 3}
+
+
+def test_bootstrap_of_nothing_and_of_one_row(spark):
+    df = spark.createDataFrame([(1, "a", 0.5)], "id long, g string, v double")
+    assert m.bootstrap_ci(df.limit(0), ["id"], "v").first().mean is None
+    assert m.bootstrap_ci(df.limit(0), ["id"], "v", groups=["g"]).count() == 0
+    one = m.bootstrap_ci(df, ["id"], "v").first()
+    assert one.mean == one.ci95_low == one.ci95_high == 0.5 and 90 < one.n_bootstrap < 160  # a third of the draws leave the row out
+    labels = spark.createDataFrame([("a",), ("b",)], "label string")
+    cells = spark.createDataFrame([(i, "ab"[i % 2], "ab"[i % 2]) for i in range(200)], "id long, ref string, hyp string")
+    whole = m.bootstrap_macro_f1_ci(cells, ["id"], labels, replicates=20).first()
+    assert (whole.mean, whole.ci95_low, whole.n_bootstrap) == (1.0, 1.0, 20)
+
+
+def test_pooled_interval_over_runs(spark):
+    rows = [(run, i, g, float((i * 7 + run) % (3 + run) == 0)) for run in range(3) for i in range(300) for g in ("x", None)]
+    df = spark.createDataFrame(rows, "run long, id long, g string, hit double")
+    for r in m.pooled_summary(df, "run", ["id"], "hit", groups=["g"]).collect():
+        own = [[x[3] for x in rows if x[0] == k and x[2] == r.g] for k in range(3)]
+        means = [sum(o) / len(o) for o in own]
+        assert r.n_runs == 3 and r.run_mean == pytest.approx(np.mean(means)) and r.run_std == pytest.approx(np.std(means))
+        assert r.ci95_low < np.mean(sum(own, [])) < r.ci95_high
+    assert m.pooled_summary(df, "run", ["id"], "hit").count() == 1
+
+
 def test_error_categories(spark):
     cases = [("monday", "sunday", 0, "weekday"), ("march", "may", 1, "month"), ("x", "y", 2, "ordinal"), ("nineteen_ten", "nineteen", 3, "year_truncation"),
              ("nineteen", "nineteen_ten", 3, "year_overgen"), ("nineteen_ten", "nineteen_two", 3, "year_same_era"), ("a", "", 3, "year_other"), ("a", "b", 5, "other"), ("a", "a", 0, "correct")]
