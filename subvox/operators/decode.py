@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from subvox.functions.fixed import LM_WEIGHTS, PHONES
 from subvox.operators.lexicon import phone_code
 from subvox.operators.lm import TrialLM, slot_candidates
+from subvox.plans.inorder import in_order
 from subvox.plans.joins import spread_join
 from subvox.plans.ordered import drop_halo, halo_window, with_halo
 from subvox.session import cut_lineage
 
 NEVER = -1e30
+#: Word pairs and triples of a model that a task may hold; trees of slots that it keeps.
+MODEL_ROWS = 200_000
+TREES = 64
 
 
 def frame_classes(posteriors: DataFrame) -> DataFrame:
@@ -48,31 +52,47 @@ def utterance_rows(posteriors: DataFrame, key: str = "utt_id", carry: Sequence[s
     return out.withColumn("logp", F.col("_f.logp")).drop("_f")
 
 
-def _paths(logp: np.ndarray, words: list[list[int]]) -> np.ndarray:
-    """Best-path score of every word; words are padded to one table and advanced together."""
-    width = 2 * max(len(w) for w in words) + 1
-    table, size = np.zeros((len(words), width), dtype=int), np.array([2 * len(w) + 1 for w in words])
-    for row, w in zip(table, words):
-        row[1 : 2 * len(w) : 2] = w
-    jump = np.zeros_like(table, dtype=bool)
-    jump[:, 2:] = (table[:, 2:] != 0) & (table[:, 2:] != table[:, :-2])
-    alpha = np.full(table.shape, NEVER)
-    alpha[:, :2] = logp[0][table[:, :2]]
-    for emit in logp[1:]:
-        best = alpha.copy()
-        best[:, 1:] = np.maximum(best[:, 1:], alpha[:, :-1])
-        best[:, 2:] = np.where(jump[:, 2:], np.maximum(best[:, 2:], alpha[:, :-2]), best[:, 2:])
-        alpha = best + emit[table]
-    rows = np.arange(len(words))
-    return np.maximum(alpha[rows, size - 1], alpha[rows, size - 2])
+class PhoneTrie:
+    """Words as a tree of phones: words that begin alike share the states of their common phones.
+
+    A node has two states, its phone and the blank after it; the root is the blank before the first phone. Nodes come after their parents.
+    """
+
+    def __init__(self, words: Sequence[Sequence[int]]):
+        nodes: dict[tuple[int, int], int] = {}
+        parent, phone, ends = [0], [0], []
+        for word in words:
+            node = 0
+            for p in word:
+                if (node, p) not in nodes:
+                    nodes[node, p] = len(parent)
+                    parent.append(node)
+                    phone.append(p)
+                node = nodes[node, p]
+            ends.append(node)
+        self.parent, self.phone, self.ends = np.array(parent), np.array(phone), np.array(ends, int)
+        # A phone follows another one directly unless they are the same.
+        self.direct = (self.parent > 0) & (self.phone != self.phone[self.parent])
+
+    def best(self, logp: np.ndarray) -> np.ndarray:
+        """Score of the best path of every word over the frames ``logp`` (frames x classes)."""
+        said = np.where(self.parent == 0, logp[0][self.phone], NEVER)
+        said[0] = NEVER
+        rest = np.full(len(said), NEVER)
+        rest[0] = logp[0][0]
+        for emit in logp[1:]:
+            came = np.maximum(rest[self.parent], np.where(self.direct, said[self.parent], NEVER))
+            rest, said = np.maximum(rest, said) + emit[0], np.maximum(said, came) + emit[self.phone]
+            said[0] = NEVER
+        return np.maximum(said, rest)[self.ends]
 
 
 def lexicon_scores(utterances: DataFrame, lm: TrialLM, lexicon: DataFrame, *, topk: int | None = None, key: str = "utt_id") -> DataFrame:
     """``(utt, slot, word, score, rank)`` of the candidates of each utterance's slot.
 
     ``utterances(key, slot, logp array<array>)``. All words of a slot are kept, or the ``topk``
-    best. An utterance row meets one array of its
-    slot's words (a closed vocabulary), so its posteriors are not repeated per word.
+    best. An utterance row meets one array of its slot's words (a closed vocabulary), so its posteriors are not repeated per word;
+    a task makes one tree of phones per slot.
     """
     ids = {p: i for i, p in enumerate(PHONES)}
     spoken = lexicon.where(F.size("phones") > 0)
@@ -82,10 +102,15 @@ def lexicon_scores(utterances: DataFrame, lm: TrialLM, lexicon: DataFrame, *, to
     ktype = utterances.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees: dict[int, tuple[list[str], PhoneTrie]] = {}
         for pdf in batches:
             for utt, slot, logp, cands in zip(pdf[key], pdf["slot"], pdf["logp"], pdf["_w"]):
-                words = [c["word"] for c in cands]
-                values = _paths(np.vstack(list(logp)), [[ids[p] for p in c["phones"] if p in ids] for c in cands])
+                if slot not in trees:
+                    if len(trees) == TREES:
+                        trees.pop(next(iter(trees)))
+                    trees[slot] = [c["word"] for c in cands], PhoneTrie([[ids[p] for p in c["phones"] if p in ids] for c in cands])
+                words, tree = trees[slot]
+                values = tree.best(np.vstack(list(logp)))
                 order = np.lexsort((np.arange(len(words)), -values))
                 order = order[:topk]
                 yield pd.DataFrame(
@@ -104,20 +129,59 @@ def phone_penalty(scores: DataFrame, greedy: DataFrame, lexicon: DataFrame, weig
     return joined.withColumn("score", F.col("score") - F.when(F.col("slot").isin(list(slots)), cost).otherwise(0.0)).drop("_g", "_c")
 
 
-def decode_trials(candidates: DataFrame, lm: TrialLM, n_slots: int, *, keys: Sequence[str] = ("trial_id",), weight: str = "weight") -> DataFrame:
+def decode_trials(
+    candidates: DataFrame, lm: TrialLM, n_slots: int, *, keys: Sequence[str] = ("trial_id",), weight: str = "weight", model_rows: int = MODEL_ROWS
+) -> DataFrame:
     """Words of each trial in slot order, each chosen given the words chosen before it.
 
-    ``candidates(keys, slot, word, score, weight)``. One row per trial is carried from slot
-    to slot; all trials advance together, and a slot costs three joins with the model's
-    tables. With ``weight`` 0 or less only the score counts.
+    ``candidates(keys, slot, word, score, weight)``; rows without a word or a score are left out. With ``weight`` 0 or less only the score counts.
+    One pass follows all trials through their slots, with the model's word pairs and triples at hand if there are at most ``model_rows``;
+    a larger model is joined slot by slot. Both give the same words.
     """
     keys = list(keys)
     sizes = lm.slot_words.groupBy("slot").agg(F.count(F.lit(1)).alias("_v"))
-    base = spread_join(candidates, sizes, ["slot"], "left", salt_by=[*keys, "word"])
+    known = candidates.where(F.col("word").isNotNull() & F.col("score").isNotNull() & F.col("slot").between(0, n_slots - 1))
+    base = spread_join(known, sizes, ["slot"], "left", salt_by=[*keys, "word"])
     base = spread_join(base, lm.slot.withColumnRenamed("logp", "_s"), ["slot", "word"], "left", salt_by=keys)
-    floor = F.lit(math.log(lm.backoff))
     base = base.withColumn("_slot", F.coalesce("_s", F.log(F.lit(lm.backoff) / F.coalesce("_v", F.lit(1))))).drop("_s", "_v")
-    state = candidates.select(*keys).distinct().withColumn("prev2", F.lit(None).cast("string")).withColumn("prev", F.lit(None).cast("string"))
+    pairs = lm.bigram.select(F.lit(None).cast("string").alias("prev2"), "prev", "word", "logp")
+    grams = pairs.unionByName(lm.trigram.select("prev2", "prev", "word", "logp")).limit(model_rows + 1).collect()
+    if len(grams) > model_rows:
+        return _decode_by_slot(base, lm, n_slots, keys, weight)
+    return _decode_in_order(base, {(r["prev2"], r["prev"], r["word"]): r["logp"] for r in grams}, lm.backoff, keys, weight)
+
+
+def _decode_in_order(base: DataFrame, grams: dict[tuple, float], backoff: float, keys: list[str], weight: str) -> DataFrame:
+    """One row per trial and slot, followed through the slots; the words of a slot are a closed vocabulary."""
+    cands = F.struct("word", "score", F.greatest(F.col(weight), F.lit(0.0)).alias("weight"), F.col("_slot").alias("slot"))
+    rows = base.select(*keys, F.col("slot").cast("long").alias("slot"), cands.alias("_c")).groupBy(*keys, "slot").agg(F.collect_list("_c").alias("_c"))
+    fields = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in keys)
+    n, floor = len(keys), math.log(backoff)
+
+    def follow():
+        before: list[str | None] = [None, None]
+
+        def step(row) -> list[tuple]:
+            prev2, prev = before
+            best = None
+            for c in row[n + 1]:
+                word, score = c["word"], c["score"]
+                context = c["slot"] + (0.0 if prev is None else grams.get((None, prev, word), floor))
+                context += 0.0 if prev2 is None else grams.get((prev2, prev, word), floor)
+                rank = (-(score + c["weight"] * context), -score, word)
+                best = rank if best is None else min(best, rank)
+            before[:] = prev, best[2]
+            return [(*row[: n + 1], best[2])]
+
+        return step
+
+    return in_order(rows, keys, ["slot"], f"{fields}, slot bigint, hyp string", follow)
+
+
+def _decode_by_slot(base: DataFrame, lm: TrialLM, n_slots: int, keys: list[str], weight: str) -> DataFrame:
+    """All trials advance together; a slot costs joins with the tables of the model."""
+    floor = F.lit(math.log(lm.backoff))
+    state = base.select(*keys).distinct().withColumn("prev2", F.lit(None).cast("string")).withColumn("prev", F.lit(None).cast("string"))
     chosen: list[DataFrame] = []
     for slot in range(n_slots):
         here = base.where(F.col("slot") == slot).join(state, keys)

@@ -230,10 +230,16 @@ def all_paths(logp, ids):
 def test_paths_against_brute_force():
     rng = np.random.default_rng(4)
     logp = np.log(rng.dirichlet(np.ones(4), size=6))
-    words = [[1, 2], [3], [1, 1], [2, 3, 1]]
-    got = dc._paths(logp, words)
+    words = [[1, 2], [3], [1, 1], [2, 3, 1], [1], [1, 2, 3], [1, 2], [2, 2, 2], []]
+    got = dc.PhoneTrie(words).best(logp)
     for w, score in zip(words, got):
         assert score == pytest.approx(all_paths(logp, w))
+    assert dc.PhoneTrie([[1, 2, 1, 2, 1, 2, 3]]).best(logp)[0] < -1e29  # more phones than frames
+
+
+def test_words_share_the_states_of_common_phones():
+    tree = dc.PhoneTrie([[1, 2, 3], [1, 2], [1, 2, 3, 4], [2]])
+    assert len(tree.parent) == 1 + 5 and len(dc.PhoneTrie([]).best(np.zeros((3, 4)))) == 0
 
 
 def test_greedy(spark):
@@ -259,6 +265,21 @@ def test_trial_decoding_follows_the_model(spark, dates):
     assert tuned[1.0].best and tuned[1.0].accuracy == 1.0 and not tuned[2.0].best and tuned[0.0].accuracy < 1.0
 
 
+def test_one_pass_and_joins_decode_alike(spark, dates):
+    """A model that is too large for the tasks is joined; missing slots, unknown words, ties and repeated rows included."""
+    model = lmod.fit_trial_lm(dates).saved()
+    rng = np.random.default_rng(8)
+    words = [w for _, ws in DATES for w in ws] + ["other", "another", None]
+    rows = [
+        (trial, slot, words[rng.integers(len(words))], None if rng.random() < 0.05 else float(rng.integers(0, 3)), float(rng.choice([-1.0, 0.0, 0.7, 2.0])))
+        for trial in range(40) for slot in range(6) if rng.random() < 0.8 for _ in range(4)
+    ]
+    df = spark.createDataFrame(rows + rows[:20], "trial_id long, slot long, word string, score double, weight double").repartition(4)
+    one, joined = (sorted(map(tuple, dc.decode_trials(df, model, 6, model_rows=n).collect())) for n in (dc.MODEL_ROWS, 3))
+    assert one == joined and len(one) > 150
+    assert dc.decode_trials(df.limit(0), model, 6).count() == 0
+
+
 # --- metrics ---------------------------------------------------------------------------------
 
 
