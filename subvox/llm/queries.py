@@ -103,8 +103,57 @@ QUERIES = {f.__name__: f for f in (op1_syncmers, op2_licenses, op3_language, op4
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SQL: dict[str, str] = {
+    # Equal sets are one row; sets that share a shingle are compared on full sets, then followed from the smallest document on.
+    "op7_near_duplicates": f"""
+        WITH RECURSIVE worded AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents
+        ), shingled AS (
+            SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM worded
+        ), sets AS (
+            SELECT s, len(s) AS n, min(doc_id) AS first, row_number() OVER () AS c FROM shingled WHERE len(s) > 0 GROUP BY s
+        ), numbered AS (
+            SELECT c, dense_rank() OVER (ORDER BY x) AS x FROM (SELECT c, unnest(s) AS x FROM sets)
+        ), shared AS (
+            SELECT a.c AS a, b.c AS b, count(*) AS common FROM numbered a JOIN numbered b ON a.x = b.x AND a.c < b.c GROUP BY a.c, b.c
+        ), links AS (
+            SELECT a, b FROM shared JOIN sets p ON p.c = a JOIN sets q ON q.c = b WHERE 100 * common >= 80 * (p.n + q.n - common)
+        ), edges AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT c, first FROM sets UNION SELECT b, first FROM reached JOIN edges ON a = c
+        ), components AS (
+            SELECT c, min(first) AS component_id FROM reached GROUP BY c
+        )
+        SELECT doc_id, len(d.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+        FROM shingled d LEFT JOIN sets ON d.s = sets.s LEFT JOIN components USING (c)""",
+    "op10_mixing": f"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS size,
+                   (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents
+        ), sums AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, [{", ".join(f"{w}::DOUBLE" for w in mixing.WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, {mixing.MOST} * source_size::DOUBLE AS stop,
+                   {mixing.SHARE}::DOUBLE * sum(source_size) OVER () AS goal FROM sums
+        ), climbed AS (
+            SELECT *, stop / w AS ratio, row_number() OVER o AS step, coalesce(sum(stop) OVER b, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open_weight FROM weighed
+            WINDOW o AS (ORDER BY stop / w, source NULLS LAST), b AS (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), level AS (
+            SELECT arg_min((goal - filled) / open_weight, step) AS level FROM climbed WHERE ratio > (goal - filled) / open_weight
+        ), targets AS (
+            SELECT source, source_size, least(stop, coalesce(level * w, stop)) AS target FROM climbed, level
+        ), rated AS (
+            SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, {mixing.MOST}) ELSE 0 END AS rate
+            FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+        ), ordered AS (
+            SELECT *, target - sum(floor(rate) * size) OVER (PARTITION BY source) AS rest, sum(size) OVER (PARTITION BY source ORDER BY u, size ROWS UNBOUNDED PRECEDING) AS upto FROM rated
+        ), copied AS (
+            SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN rate > floor(rate) AND rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM ordered
+        )
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied""",
     "op11_url_filter": f"""
         WITH rests AS (
             SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
