@@ -74,7 +74,21 @@ def train_and_score(spark, sf):
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 2).alias("accuracy"))
 
 
-@query("channel_importance")
+@query(
+    "channel_importance",
+    f"""WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS x, md5('0:' || vec_id) AS draw FROM embeddings),
+b AS (SELECT *, ('0x' || substr(draw, 1, 12))::BIGINT % greatest(1, (SELECT count(*) FROM embeddings) // {cl.BUCKET_ROWS}) AS bucket FROM e),
+p AS (SELECT *, coalesce(lead(x) OVER line, first_value(x) OVER line) AS y FROM b WINDOW line AS (PARTITION BY bucket ORDER BY draw)),
+v AS (SELECT vec_id, label, unnest(range(0, 64)) AS k, unnest(x) AS x, unnest(y) AS y FROM p),
+c AS (SELECT label AS guess, k, avg(x) AS m FROM v GROUP BY ALL),
+d AS (SELECT vec_id, guess, sum((x - m) * (x - m)) AS d FROM v JOIN c USING (k) GROUP BY ALL),
+n AS (SELECT vec_id, label, k, guess, d - (x - m) * (x - m) + (y - m) * (y - m) AS d FROM v JOIN c USING (k) JOIN d USING (vec_id, guess)),
+a AS (SELECT k, avg((hyp = label)::INT) AS acc FROM (SELECT vec_id, label, k, arg_min(guess, d) AS hyp FROM n GROUP BY ALL) GROUP BY k),
+w AS (SELECT avg((hyp = label)::INT) AS whole FROM (SELECT vec_id, arg_min(guess, d) AS hyp FROM d GROUP BY ALL) JOIN e USING (vec_id)),
+l AS (SELECT k, greatest(whole - acc, 0) AS loss, max(greatest(whole - acc, 0)) OVER () AS top FROM a, w)
+SELECT CAST(k AS INTEGER) AS channel, round(loss, 6) AS drop, round(CASE WHEN top > 1e-12 THEN loss / top ELSE 0 END, 6) AS importance
+FROM l ORDER BY loss DESC, k LIMIT 16""",
+)
 def channel_importance(spark, sf):
     rows = px.px_frames(spark, sf).withColumnRenamed("phone", "label")
     top = cl.channel_importance(rows, cl.fit_centroids(rows), 64, k=16)

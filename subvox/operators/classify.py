@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subvox.functions.arrays import once
@@ -86,25 +86,26 @@ def score_windows(model: PipelineModel, rows: DataFrame, *, features: str = "fea
     return score_probabilities(data.withColumn("probs", probs).drop("_x", "_z", "_p", "_c", "_r"), labels, **abstain)
 
 
+#: Rows among which a channel's values change places.
+BUCKET_ROWS = 4096
+
+
 def channel_importance(
-    rows: DataFrame, reference: DataFrame, channels: int, *, row: str = "frame", label: str = "label", value: str = "x", k: int = 16, seed: int = 0
+    rows: DataFrame, reference: DataFrame, channels: int, *, row: str = "frame", label: str = "label", value: str = "x", k: int = 16, seed: int = 0,
+    bucket: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Accuracy lost when one channel is shuffled, scaled to the largest loss; top ``k``.
 
     ``reference(label, centroid)`` is the nearest-centroid model (one row per label). A row
-    is scored once per channel from its squared gaps; the shuffled value of a row is the
-    value of the row that follows it in md5 order.
+    is scored once per channel from its squared gaps. Rows fall into buckets of about ``bucket`` by md5 of ``row``; the shuffled value of a
+    row is that of the next one of its bucket in md5 order, the last one takes the first one's. A row alone in its bucket keeps its own.
     """
-    from pyspark.sql import Window
-
-    from subvox.plans.ordered import add_position
-
-    keyed = rows.withColumn("_draw", draw(seed, row)).withColumn("_g", F.lit(0))
-    number = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("double")
-    placed = add_position(keyed, ["_g"], ["_draw"], on=number, name="_pos")
-    total = rows.count()
-    donors = placed.select(((F.col("_pos") + 1) % F.lit(max(total, 1))).alias("_pos"), F.col(value).alias("_other"))
-    paired = placed.join(donors, "_pos")
+    number = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long")
+    buckets = F.greatest(F.lit(1).cast("long"), F.floor(rows.agg(F.count(F.lit(1))).scalar() / bucket))
+    keyed = rows.withColumn("_draw", draw(seed, row)).withColumn("_bucket", number % buckets)
+    line = Window.partitionBy("_bucket").orderBy("_draw", F.xxhash64(label, value))
+    held = F.struct(value)
+    paired = keyed.withColumn("_other", F.coalesce(F.lead(held).over(line), F.first(held).over(line))[value])
     # One array of all class centroids (labels are a closed set) meets every row.
     table = reference.groupBy().agg(F.sort_array(F.collect_list(F.struct(label, "centroid"))).alias("_c"))
     met = paired.withColumn("_c", table.scalar())

@@ -280,6 +280,25 @@ def test_one_pass_and_joins_decode_alike(spark, dates):
     assert dc.decode_trials(df.limit(0), model, 6).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [4096, 10])
+def test_importance_of_channels(spark, bucket):
+    """Channel 0 tells the classes apart, channel 1 is noise, channel 2 is even; all values stay in their channel."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, [float(i % 2) * 4 + rng.normal() * 0.1, rng.normal() * 0.1, 1.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "frame long, label long, x array<double>").repartition(4)
+    got = {r.channel: r for r in cl.channel_importance(df, cl.fit_centroids(df), 3, bucket=bucket).collect()}
+    digest = {i: hashlib.md5(f"0:{i}".encode()).hexdigest() for i, _, _ in rows}
+    n = max(1, len(rows) // bucket)
+    groups: dict = {}
+    for i in sorted(digest, key=digest.get):
+        groups.setdefault(int(digest[i][:12], 16) % n, []).append(i)
+    donor = {i: g[(at + 1) % len(g)] for g in groups.values() for at, i in enumerate(g)}
+    kept = sum(i % 2 == donor[i] % 2 for i in donor)
+    assert got[0].drop == pytest.approx(1 - kept / len(rows)) and got[0].importance == 1.0
+    assert got[1].drop == got[2].drop == 0.0
+    assert cl.channel_importance(df.where("frame = 0"), cl.fit_centroids(df), 3).first().drop == 0.0
+
+
 # --- metrics ---------------------------------------------------------------------------------
 
 
