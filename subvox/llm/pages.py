@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -52,6 +53,7 @@ SIGMA = 1.0
 VOTES = 0.9
 #: Part of all votes by which an article element shows the marked elements around it.
 OWN = 0.2
+_COMMENT_END = re.compile(r"--!?>|--\s*>")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -64,27 +66,73 @@ def _marked(name: str) -> int:
 
 
 class Lines(HTMLParser):
-    """Collects ``text, tags, path, hidden`` of each line of a page."""
+    """Collects ``text, tags, element, hidden`` of each line of a page, and the tree of its elements.
+
+    Elements are numbered from 1 in page order, so a parent has a lower number than its children; 0 stands above them all.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, whether its content is skipped in any case
-        self.count = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.places: dict[str, list[int]] = {}  # places in ``open`` by element
+        self.blocks: list[int] = []  # places in ``open`` of what is no inline element
+        self.parent: list[int] = [0]
+        self.kinds: list[str] = [""]
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
-        self.kinds: dict[int, str] = {}
         self.marks: dict[int, int] = {}  # elements that a name or form marks
         self.quoted: set[int] = set()  # article elements named as comments
+        self.sections = True  # CDATA sections may still end
+
+    def read(self, html: str) -> Lines:
+        """Takes a whole page. Markup that never ends is no markup: an open comment loses its mark only, a last ``<`` is text."""
+        if "<!--" in html:
+            closed = max((m.start() for m in _COMMENT_END.finditer(html)), default=0)
+            at = max(closed - 3, 0)  # no comment that starts from here on has an end
+            html = html[:at] + html[at:].replace("<!--", " ")
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        self.handle_data(unescape(html[end:]))
+        self.flush()
+        return self
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Comments; CDATA sections as far as they go; any other declaration up to its ``>``."""
+        raw = self.rawdata
+        if raw.startswith("<!--", i):
+            return self.parse_comment(i)
+        if self.sections and raw.startswith("<![CDATA[", i):
+            end = raw.find("]]>", i)
+            if end >= 0:
+                return end + 3
+            self.sections = False
+        return raw.find(">", i) + 1 or -1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else -1
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), bool(self.open and self.open[-1][2])))
+                self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, bool(self.open and self.open[-1][2])))
                 self.tags = 0
             self.text = []
 
+    def cut(self, size: int) -> None:
+        """Closes all but the outer ``size`` elements."""
+        while len(self.open) > size:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def inside(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
         if tag in VOID:
@@ -94,28 +142,28 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.flush()
             while self.open and tag in CLOSERS.get(self.open[-1][0], ()):
-                self.open.pop()
-            if self.open and tag in CLOSERS["p"]:  # inline elements left open inside a paragraph end with it
-                for i in range(len(self.open) - 1, -1, -1):
-                    if self.open[i][0] == "p":
-                        del self.open[i:]
-                        break
-                    if self.open[i][0] not in INLINE:
-                        break
-        self.count += 1
-        self.kinds[self.count] = tag
+                self.cut(len(self.open) - 1)
+            # inline elements left open inside a paragraph end with it
+            if tag in CLOSERS["p"] and self.blocks and self.open[self.blocks[-1]][0] == "p":
+                self.cut(self.blocks[-1])
+        number = len(self.kinds)
         hidden = bool(self.open and self.open[-1][2])
-        why = self.skips(tag, attrs)
+        why = self.skips(tag, attrs, number)
         if why in (NAMED, COMMENT):
-            self.marks[self.count] = why
-        self.open.append((tag, self.count, hidden or why == NEVER))
+            self.marks[number] = why
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.kinds.append(tag)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, number, hidden or why == NEVER))
 
-    def skips(self, tag: str, attrs) -> int:
+    def skips(self, tag: str, attrs, number: int) -> int:
         if tag in SKIP and tag != "form":
             return NEVER
         if tag in INLINE and not attrs:
             return 0
-        if tag == "header" and not any(t in CONTENT for t, _, _ in self.open):
+        if tag == "header" and not any(map(self.inside, CONTENT)):
             return NEVER
         why = NAMED if tag == "form" else 0
         for name, value in attrs:
@@ -124,7 +172,7 @@ class Lines(HTMLParser):
                 if tag not in CONTENT:
                     why = max(why, mark)
                 elif mark == COMMENT:
-                    self.quoted.add(self.count)
+                    self.quoted.add(number)
             if name == "role" and value and value.lower() in ROLES:
                 why = max(why, NAMED if value.lower() == "form" else NEVER)
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
@@ -142,12 +190,11 @@ class Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:  # a stray inline end tag closes no block
-                return
+        if not self.inside(tag):
+            return
+        at = self.places[tag][-1]
+        if tag not in INLINE or not self.blocks or self.blocks[-1] < at:  # a stray inline end tag closes no block
+            self.cut(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -175,6 +222,33 @@ def threshold(values: np.ndarray) -> float:
     return float((x[at] + x[at + 1]) / 2)
 
 
+def sums(page: Lines, weights: Iterable[tuple[int, int]]) -> list[int]:
+    """Sum of the weights of lines by element, those inside its children too."""
+    out = [0] * len(page.kinds)
+    for n, weight in weights:
+        out[n] += weight
+    for n in range(len(out) - 1, 0, -1):
+        out[page.parent[n]] += out[n]
+    return out
+
+
+def within(page: Lines, chosen: Callable[[int], bool]) -> list[bool]:
+    """Whether an element, or one around it, is chosen."""
+    out = [False] * len(page.kinds)
+    for n in range(1, len(out)):
+        out[n] = out[page.parent[n]] or chosen(n)
+    return out
+
+
+def enclosing(page: Lines, chosen: Iterable[int]) -> set[int]:
+    """Elements around the chosen ones, these left out."""
+    out: set[int] = set()
+    for n in chosen:
+        while (n := page.parent[n]) and n not in out:
+            out.add(n)
+    return out
+
+
 def sifted(page: Lines) -> list[tuple]:
     """Lines of a page, hidden also inside marked elements, but for those around the content.
 
@@ -183,120 +257,128 @@ def sifted(page: Lines) -> list[tuple]:
     heading, a main element or the first article. If all lines were hidden, no mark counts.
     """
     lines, kinds, marks = page.lines, page.kinds, page.marks
+    marked = within(page, marks.__contains__)
     seen = [i for i, line in enumerate(lines) if not line[3]]
-    if not seen or marks.keys().isdisjoint(n for i in seen for n in lines[i][2]):
+    if not any(marked[lines[i][2]] for i in seen):
         return lines
     smooth = ratios(lines)
     cut = threshold(smooth[seen])
-    around: set[int] = set()  # elements around what comments don't hold
-    first, plain = None, False
-    for i in seen:
-        path = lines[i][2]
-        heads = "h1" in map(kinds.get, path)
-        plain = plain or marks.keys().isdisjoint(path) and any(kinds[n] == "main" or kinds[n] == "article" and heads for n in path)
-        for n in path:
-            if kinds[n] == "article" and first is None and n not in page.quoted:
-                first = n
-            if kinds[n] in ("h1", "main") or n == first:
-                around.update(path[: path.index(n)])
+    main, article, heading = (within(page, lambda n, t=t: kinds[n] == t) for t in ("main", "article", "h1"))
+    plain = any(not marked[n] and (main[n] or article[n] and heading[n]) for n in (lines[i][2] for i in seen))
+    held_lines = sums(page, ((lines[i][2], 1) for i in seen))
+    live = [n for n in range(1, len(kinds)) if held_lines[n]]
+    first = next((n for n in live if kinds[n] == "article" and n not in page.quoted), None)
+    around = enclosing(page, (n for n in live if kinds[n] in ("h1", "main") or n == first))  # what comments don't hold
     comments = {n for n, why in marks.items() if why == COMMENT and n not in around}
-    votes: dict[int, int] = {}
-    total = 0
-    for i in seen:
-        text, _, path, _ = lines[i]
-        if smooth[i] >= cut and comments.isdisjoint(path):
-            total += len(text)
-            for n in path:
-                votes[n] = votes.get(n, 0) + len(text)
-    strong = {n for n, v in votes.items() if kinds[n] in CONTENT and n not in page.quoted and v >= OWN * total}
-    anchors = strong | {n for n in votes if kinds[n] == "main"}
+    quoted = within(page, comments.__contains__)
+    voting = [i for i in seen if smooth[i] >= cut and not quoted[lines[i][2]]]
+    votes = sums(page, ((lines[i][2], len(lines[i][0])) for i in voting))
+    total = votes[0]
+    strong = {n for n in live if votes[n] and kinds[n] in CONTENT and n not in page.quoted and votes[n] >= OWN * total}
+    anchors = strong | {n for n in live if votes[n] and kinds[n] == "main"}
+    shielded = enclosing(page, anchors)
+    inner = [0] * len(kinds)  # the nearest anchor, the element itself included
+    for n in range(1, len(kinds)):
+        inner[n] = n if n in anchors else inner[page.parent[n]]
     shown: set[int] = set()
-    for i in seen:
-        path = lines[i][2]
-        inner, at = None, max((k for k, n in enumerate(path) if n in anchors), default=-1)
-        for k, n in enumerate(path):
-            if n in anchors:
-                inner = n
-            elif n in marks and n not in comments and n not in shown:
-                held = votes[inner] if inner else 0 if strong or plain else total
-                if k < at or 2 * votes.get(n, 0) > held > 0:
-                    shown.add(n)
-    left = marks.keys() - shown
-    out = [(text, tags, path, never or not left.isdisjoint(path)) for text, tags, path, never in lines]
+    for n in live:
+        if n in marks and n not in comments and n not in anchors:
+            held = votes[inner[n]] if inner[n] else 0 if strong or plain else total
+            if n in shielded or 2 * votes[n] > held > 0:
+                shown.add(n)
+    left = within(page, (marks.keys() - shown).__contains__)
+    out = [(text, tags, n, never or left[n]) for text, tags, n, never in lines]
     return lines if all(line[3] for line in out) else out
 
 
-def region(lines: list[tuple], kinds: dict[int, str]) -> list[int]:
+def region(lines: list[tuple], page: Lines) -> list[int]:
     """Numbers of the lines that hold the content, in order."""
+    kinds, parent = page.kinds, page.parent
     seen = [i for i, line in enumerate(lines) if not line[3]]
     smooth = ratios(lines)
     cut = threshold(smooth[seen])
-    votes: dict[int, int] = {}
-    children: dict[int, set[int]] = {}
-    total, tops = 0, set()
-    for i in seen:
-        text, _, path, _ = lines[i]
-        weight = len(text) if smooth[i] >= cut else 0
-        total += weight
-        for up, number in zip((None, *path), path):
-            votes[number] = votes.get(number, 0) + weight
-            (tops if up is None else children.setdefault(up, set())).add(number)
-    articles = [n for n in votes if kinds[n] in CONTENT]
-    if articles and (best := max(articles, key=lambda n: (votes[n], -n))) and 2 * votes[best] >= total:
-        return [i for i in seen if best in lines[i][2]]
-    chosen, held, below = [], total, tops
-    while below:
-        best = max(below, key=lambda n: (votes[n], -n))
-        if votes[best] < VOTES * held or kinds[best] in ("p", *INLINE):
-            break
+    held_lines = sums(page, ((lines[i][2], 1) for i in seen))
+    votes = sums(page, ((lines[i][2], len(lines[i][0]) if smooth[i] >= cut else 0) for i in seen))
+    live = [n for n in range(1, len(kinds)) if held_lines[n]]
+    articles = [n for n in live if kinds[n] in CONTENT]
+    if articles and (best := max(articles, key=lambda n: (votes[n], -n))) and 2 * votes[best] >= votes[0]:
+        inside = within(page, lambda n: n == best)
+        return [i for i in seen if inside[lines[i][2]]]
+    top = [0] * len(kinds)  # the child with most votes
+    for n in live:
+        if not top[parent[n]] or votes[n] > votes[top[parent[n]]]:
+            top[parent[n]] = n
+    chosen, at = [], 0
+    while (best := top[at]) and votes[best] >= VOTES * votes[at] and kinds[best] not in ("p", *INLINE):
         chosen.append(best)
-        held, below = votes[best], children.get(best, set())
-    return beside(lines, kinds, seen, chosen, smooth >= cut)
+        at = best
+    return beside(lines, page, seen, chosen, smooth >= cut)
 
 
-def beside(lines: list[tuple], kinds: dict[int, str], seen: list[int], chosen: list[int], content: np.ndarray) -> list[int]:
+def beside(lines: list[tuple], page: Lines, seen: list[int], chosen: list[int], content: np.ndarray) -> list[int]:
     """Lines of the last of the nested elements ``chosen``, and of what stands beside one of them: blocks with most characters in content lines, and headings before a kept block."""
+    kinds, parent = page.kinds, page.parent
+    level = [0] * len(kinds)  # number of chosen elements around an element, itself included
+    branch = [0] * len(kinds)  # the element, or that around it, beside a chosen one
+    depth = {n: k + 1 for k, n in enumerate(chosen)}
+    for n in range(1, len(kinds)):
+        up = parent[n]
+        level[n] = depth.get(n, level[up])
+        branch[n] = 0 if n in depth else branch[up] or n
     levels: list[dict] = [{} for _ in chosen]  # by level: block (or line of no block) -> its lines, in order
     keep: list[int] = []
+    reached = 0
     for i in seen:
-        path = lines[i][2]
-        level = next((k for k, n in enumerate(chosen) if k >= len(path) or path[k] != n), len(chosen))
-        if level == len(chosen):
+        n = lines[i][2]
+        for k in range(reached, level[n]):
+            levels[k][chosen[k]] = []
+        reached = max(reached, level[n])
+        if level[n] == len(chosen):
             keep.append(i)
-        for k in range(min(level + 1, len(chosen))):
-            levels[k].setdefault(path[k] if k < len(path) else -1 - i, []).append(i)
+        else:
+            levels[level[n]].setdefault(branch[n] or -1 - i, []).append(i)
+    main = within(page, lambda n: kinds[n] == "h1")
     for mine, best in zip(levels, chosen):
-        waiting: list[int] = []
+        firm: list[int] = []  # main headings that wait for a kept block
+        run: list[int] = []  # the last headings in a row, which wait too
         fresh = False  # the last block was a heading
         for block, rows in mine.items():
             if block > 0 and kinds[block] in HEADINGS:
-                waiting = [*(waiting if fresh else [i for i in waiting if "h1" in map(kinds.get, lines[i][2])]), *rows]
+                if not fresh:
+                    firm += [i for i in run if main[lines[i][2]]]
+                    run = []
+                run += rows
                 fresh = True
                 continue
             fresh = False
             size = sum(len(lines[i][0]) for i in rows)
             if block == best or 2 * sum(len(lines[i][0]) for i in rows if content[i]) > size:
-                keep += waiting if block == best else [*waiting, *rows]
-                waiting = []
+                keep += firm + run + rows
+                firm, run = [], []
     return sorted(set(keep))
 
 
 def main_text(html: str | None) -> str:
-    """Main text of a page; null, empty and textless pages give an empty string."""
+    """Main text of a page; null, empty and textless pages give an empty string.
+
+    Any text is a page: declarations nobody knows are skipped, markup that never ends is text, elements may nest
+    to any depth. Time grows with the characters, not with their square.
+    """
     if not html:
         return ""
-    page = Lines()
-    page.feed(html)
-    page.close()
-    page.flush()
+    page = Lines().read(html)
     lines = sifted(page)
     if all(line[3] for line in lines):
         return ""
-    return " ".join(lines[i][0] for i in region(lines, page.kinds))
+    return " ".join(lines[i][0] for i in region(lines, page))
 
 
 def extract(html: str = "html") -> Column:
-    """Column ``struct<text, n_chars>`` of a column of pages."""
+    """Column ``struct<text, n_chars>`` of a column of pages.
+
+    Each row is judged by its own page alone: equal pages give equal texts, repeated rows and other columns don't matter,
+    an empty table gives no rows.
+    """
 
     @F.pandas_udf("text string, n_chars long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

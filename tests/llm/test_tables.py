@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from subvox.llm import images, minhash, mixing, pages
+import slow_pages
 from test_texts import docs_of, odd, prose  # noqa: F401  (fixture)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,6 +155,36 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <div class="sidebar">Side</div><form><input><label>Mail</label></form>{close}<section id="comments"><p>I liked it</p></section><aside>More</aside><footer>&copy; me</footer></body></html>"""
 
 
+TAGS = "div p article main section h1 h2 span b form header ul li table tr td nav aside br script".split()
+ATTRS = ["", "", "", " class='ad'", " class='comment-list'", " class='layout has-sidebar'", " id='comments'", " role='form'", " hidden", " class=x"]
+BITS = ["<", ">", "</", "<!doctype html>", "&amp;", "&#65;", "<!-- c -->", "<!--", "-->", "<![foo]>", "<![CDATA[", "]]>", "<!", "<?x>", "<a b='", "&", "one two, three. ", "four " * 30]
+
+
+def test_pages_of_broken_markup():
+    """Any soup of markup gives the text that the slow version finds."""
+    draw = random.Random(5)
+    for _ in range(1500):
+        parts = []
+        for _ in range(draw.choice([3, 10, 30, 80])):
+            kind = draw.random()
+            opening = f"<{draw.choice(TAGS)}{draw.choice(ATTRS)}>"
+            parts.append(opening if kind < 0.4 else f"</{draw.choice(TAGS)}>" if kind < 0.6 else draw.choice(BITS))
+        html = "".join(parts)
+        assert pages.main_text(html) == slow_pages.main_text(html), html
+
+
+def test_pages_of_odd_declarations_and_depth():
+    assert pages.main_text("<![foo]>text") == pages.main_text("<![if !IE]><p>text</p><![endif]>") == pages.main_text("<!>text") == "text"
+    assert pages.main_text("<![CDATA[x]]>text") == pages.main_text("<!-- x --!> text") == pages.main_text("<!-- text") == "text"
+    assert pages.main_text("a <![ x") == "a <![ x"
+    began = time.time()
+    for piece, end in (("<a ", ""), ("<a ", ">"), ("<!--", ""), ("<![CDATA[", ">"), ("<div>t", ""), ("<header>", ""), ("<p><b>", ""), ("</a ", ">"), ("<i><div><b>", "</i>" * 50_000)):
+        pages.main_text(piece * (500_000 // len(piece)) + end)
+    pages.main_text("<div>" * 60_000 + "</x>" * 60_000)
+    pages.main_text("<body>" + "<h1>a</h1><p>x</p>" * 25_000)
+    assert time.time() - began < 60  # some seconds; hours if it grew with the square
+
+
 def test_pages(spark):
     want = "Head & line First bold text here next Tiny. Unclosed para <x> é"
     for tags in (("<article>", "</article>"), ('<div class="post"><div>', "</div></div>"), ("<main>", "</main>")):
