@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from subvox.llm.common import saved
+from subvox.llm.common import fresh, saved
 
 #: Bands of ROWS bins: two sets of Jaccard similarity 0.8 miss each other with probability (1 - 0.8^6)^48 < 1e-6.
 BANDS, ROWS = 48, 6
@@ -35,8 +37,12 @@ PERCENT = 80
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes whose words are hashed at once; longer texts go through in slices that end at white space.
 SLICE = 1 << 20
+#: Words of more bytes are hashed by SHA-256: sums modulo 2^64 can meet for long regular words, whatever the base.
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15
-_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BLANKS = b" \t\n\v\f\r"
+_BLANK = np.isin(np.arange(256), list(_BLANKS))
+_SPACE = re.compile(b"[" + _BLANKS + b"]")
 #: Probes per empty bin that are looked up at once.
 PROBES = 64
 #: Jaccard distance from a hub up to which documents are compared by what they differ in.
@@ -61,27 +67,36 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(word).digest()[:8])
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hash of each word, A-Z in lower case; a word is a run without ASCII white space."""
-    data, out = (text or "").encode("utf-8", "surrogatepass").lower(), []
-    while data:
-        part, data = data[:SLICE], data[SLICE:]
-        if data and not _BLANK[data[0]]:  # the word that is cut goes to the next slice, if another one stands before it
-            whole = max(part.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+    data, out, at = (text or "").encode("utf-8", "surrogatepass").lower(), [], 0
+    while at < len(data):
+        upto = min(at + SLICE, len(data))
+        if upto < len(data) and not _BLANK[data[upto]]:  # the word that is cut goes to the next slice, if another one stands before it
+            whole = max(data.rfind(c, at, upto) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
             if whole >= 0:
-                part, data = part[: whole + 1], part[whole + 1 :] + data
+                upto = whole + 1
             else:  # a word longer than a slice
-                end = next((i for i, c in enumerate(data) if _BLANK[c]), len(data))
-                out.append(np.array([int.from_bytes(hashlib.sha256(part + data[:end]).digest()[:8])], np.uint64))
-                data = data[end:]
+                space = _SPACE.search(data, upto)
+                upto = space.start() if space else len(data)
+                out.append(np.array([_digest(data[at:upto])], np.uint64))
+                at = upto
                 continue
-        x = np.frombuffer(part, np.uint8)
+        x = np.frombuffer(data, np.uint8, upto - at, at)
         blank = np.concatenate([[True], _BLANK[x], [True]])
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         start, end = edge[::2], edge[1::2]
         up, down = _powers()
         total = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])])
-        out.append(_mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+        h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > LONG):
+            h[i] = _digest(data[at + start[i] : at + end[i]])
+        out.append(h)
+        at = upto
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -326,7 +341,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that are not kept; one row per kept key, rows without a key stay."""
-    found = near_duplicates(docs, key, text, **options).where("kept").select(F.col(key).alias("_kept")).where("_kept is not null").distinct()
-    named = docs.join(found, F.col(f"`{key}`") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([key]).unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    """``docs`` without the documents that are not kept; rows without a key stay.
+
+    Rows that repeat a kept key stay once for each different text: of those with one text, the row with the least hash
+    of its columns (maps aside).
+    """
+    kept = near_duplicates(docs, key, text, **options).where("kept").select(F.col(key).alias("_kept")).where("_kept is not null")
+    one, mark = F.col(f"`{key}`"), fresh(docs, "_row")
+    named = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]))
+    least = named.where(one.isNotNull()).groupBy(one.alias("_key"), F.xxhash64(f"`{text}`").alias("_text")).agg(F.min(mark).alias("_least"))
+    least = least.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select(F.col("_key").alias(key), F.col("_least").alias(mark))
+    chosen = named.join(least, [key, mark], "left_semi")
+    return chosen.dropDuplicates([key, mark]).drop(mark).unionByName(docs.where(one.isNull()))

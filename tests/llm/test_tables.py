@@ -83,8 +83,28 @@ def test_long_words_and_slices(monkeypatch):
     assert len(whole) == len(WORD.findall(text))
     monkeypatch.setattr(minhash, "SLICE", 450)
     assert minhash.word_hashes(text).tolist() == whole.tolist()
-    monkeypatch.setattr(minhash, "SLICE", 90)  # one word is longer than a slice: its hash is another one
-    assert (minhash.word_hashes(text) != whole).sum() == 1
+    monkeypatch.setattr(minhash, "SLICE", 90)  # one word is longer than a slice
+    assert minhash.word_hashes(text).tolist() == whole.tolist()
+
+
+def test_regular_words_of_one_sum_differ(spark):
+    """Words of a and b in a pattern that makes sums modulo 2^64 equal for every base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes = [int(minhash.word_hashes(w[:n])[0]) for w in (one, other) for n in (32, 64, 65, 128, 1024, 2048)]
+    assert len(set(hashes)) == len(hashes)
+    got = minhash.near_duplicates(docs_of(spark, [(1, one, None, None), (2, other, None, None)]), words=2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2}
+
+
+def test_repeated_keys_keep_their_texts(spark):
+    rows = [(1, "a b c", 1, "x"), (1, "a b c", 1, "x"), (1, "a b c", 2, "x"), (1, "other words here", 1, "x"), (2, "a b c", 1, "x"), (3, None, 1, "x"), (3, None, 1, "x"), (None, "a b c", 1, "x"), (None, "a b c", 1, "x")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, _kept int, _row string")
+    left = [minhash.keep_one(docs.repartition(n), words=2) for n in (1, 7)]
+    assert left[0].columns == docs.columns
+    one, two = (sorted(map(tuple, df.collect()), key=repr) for df in left)
+    assert one == two and sorted((r[:2] for r in one), key=repr) == sorted([(1, "a b c"), (1, "other words here"), (3, None), *[(None, "a b c")] * 6], key=repr)
+    assert minhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -268,6 +288,18 @@ def test_pipeline(spark, tmp_path, odd):  # noqa: F811
     assert cp.ORACLE_SQL is None
 
 
+def test_stages_without_languages_and_with_clashing_names(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"the words of document {i} a.b@mail.example.com", None, "a", 0, "mine", "yours") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _judged string, _found string")
+    assert cp.language(spark, docs, "").count() == 2
+    langs = docs.withColumn("lang", F.lit("en"))
+    assert {(r._judged, r._found) for r in cp.language(spark, langs, "").collect()} <= {("mine", "yours")}
+    out = cp.personal_data(spark, docs, "")
+    assert out.columns == docs.columns and {(r._judged, r._found, "<EMAIL>" in r.text) for r in out.collect()} == {("mine", "yours", True)}
+
+
 def test_pairs_near_a_hub_lose_no_link(spark):
     """Sets that differ from the hub in 0 to 60 % of their items, and copies of the far ones: all links between components are named."""
     rng, hub = np.random.default_rng(5), set(range(100))
