@@ -10,22 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subvox.llm import langid, minhash, mixing, packing, pii
-from subvox.llm.common import prepare, saved
+from subvox.llm.common import fresh, prepare, saved
 from subvox.llm.queries import tokenizer_path, training
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; rejected ones, and those without a letter, go."""
+    """Documents whose language is known; rejected ones, and those without a letter, go.
+
+    If no row that may be learned from has a language, nothing can be judged and all documents stay. Each row is judged by its
+    own text, so that repeated rows stay or go together.
+    """
     prepare(spark)
     model = langid.fit(training(docs))
     if not model.languages:
-        return docs.limit(0)
-    judged = docs.withColumn("_judged", langid.identify(docs, model))
-    return judged.where("not _judged.rejected").select(*[f"`{c}`" for c in docs.columns])
+        return docs
+    found = fresh(docs, "_judged")
+    judged = docs.withColumn(found, langid.identify(docs, model))
+    return judged.where(f"not {found}.rejected").drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
+
+    Texts without words are in no group. Rows that repeat a key are one document and stay once for each different text; rows
+    without a key stay.
+    """
     prepare(spark)
     return minhash.keep_one(docs)
 
@@ -33,9 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
     prepare(spark)
-    found = docs.withColumn("_found", pii.detect(docs, pii.fit(docs), redacted=True))
-    new = {"text": F.col("_found.redacted"), "n_chars": F.length("_found.redacted").cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    found = fresh(docs, "_found")
+    rows = docs.withColumn(found, pii.detect(docs, pii.fit(docs), redacted=True))
+    new = {"text": F.col(f"{found}.redacted"), "n_chars": F.length(f"{found}.redacted").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
