@@ -115,7 +115,7 @@ def nearest_words(spark, sf):
     ranked = part.select(F.col("p_type").alias("word")).distinct().withColumn("rank", F.row_number().over(Window.orderBy("word")) - 1)
     codes = e.select("event_type").distinct().select(F.explode(F.array("event_type", F.upper("event_type"))).alias("code"))
     codes = codes.unionByName(part.select(F.explode(F.array("p_type", F.upper("p_name"))).alias("code")))
-    out = lx.nearest_words(codes, ranked.withColumn("code", F.col("word")), piece=2)
+    out = lx.nearest_words(codes, ranked.withColumn("code", F.col("word")))
     return out.select("code", "word", F.col("distance").cast("long").alias("distance"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from subvox.functions.fixed import BASE_LEXICON, PHONE_PATTERN, PHONES
 from subvox.functions.text import normalize_word
 from subvox.plans.joins import spread_join
+from subvox.session import cut_lineage
 
 
 def base_lexicon(spark: SparkSession) -> DataFrame:
@@ -99,26 +100,79 @@ def phone_code(phones: Column) -> Column:
     return F.array_join(F.filter(F.transform(phones, lambda p: table[p]), lambda c: c.isNotNull()), "")
 
 
-def nearest_words(hyps: DataFrame, lexicon: DataFrame, piece: int = 2000) -> DataFrame:
-    """Closest lexicon word of each distinct string ``code`` by edit distance.
+def _piece(number: Column, length: Column, count: Column) -> tuple[Column, Column]:
+    """Start (from 0) and size of a piece of a word of ``length`` cut into ``count`` pieces."""
+    start = F.floor(number * length / count).cast("int")
+    return start, (F.floor((number + 1) * length / count) - start).cast("int")
 
-    ``lexicon(word, code, rank)``: equal strings win, then the smallest distance, then the
-    lowest rank. Exact hits leave by an equi join; the rest meet the closed lexicon in
-    pieces of bounded arrays and are measured inside one expression, without pair rows.
+
+def _met(strings: DataFrame, words: DataFrame, distance: int, sizes: dict[int, int]) -> DataFrame:
+    """Pairs of a string and a word that may be ``distance`` apart or less: ``code, word, rank, _d`` (-1: they are not).
+
+    A word in ``distance + 1`` pieces keeps one of them whole in any string so near, at a place that the errors before and
+    after it allow. A word with fewer characters than that keeps one character, or none at all. Where a length has
+    no more words than a string would have pieces for it, the string meets those words themselves.
+    """
+    few = [n for n, count in sizes.items() if count <= (distance + 1) ** 2]
+    whole = F.col("_len").isin(few) if few else F.lit(False)
+    count = F.least(F.lit(distance + 1), F.col("_len"))
+    numbers = F.when(whole, F.array(F.lit(-1))).when(F.col("_len") > 0, F.sequence(F.lit(0), count - 1))
+    start, size = _piece(F.col("_no"), F.col("_len"), count)
+
+    def text(of: str, place: Column) -> Column:
+        return F.when(F.col("_no") < 0, F.lit("")).otherwise(F.substring(F.col(of), place + 1, size))
+
+    indexed = words.withColumn("_no", F.explode(numbers)).select("word", "rank", "_c", "_len", "_no", text("_c", start).alias("_text"))
+    lengths = F.array(*[F.lit(n) for n in sorted(sizes)])
+    asked = strings.select("code", F.explode(F.filter(lengths, lambda n: F.abs(n - F.length("code")) <= distance)).alias("_len"))
+    asked = asked.withColumn("_no", F.explode(numbers))
+    delta, before, after = F.length("code") - F.col("_len"), F.col("_no"), F.lit(distance) - F.col("_no")
+    in_pieces = F.col("_len") > distance
+    low = F.when(in_pieces, F.greatest(start - before, start + delta - after)).otherwise(start - distance)
+    high = F.when(in_pieces, F.least(start + before, start + delta + after)).otherwise(start + distance)
+    low, high = F.greatest(low, F.lit(0)), F.least(high, F.length("code") - size)
+    places = F.when(F.col("_no") < 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
+    asked = asked.withColumn("_at", F.explode(places)).select("code", "_len", "_no", text("code", F.col("_at")).alias("_text")).distinct()
+    return asked.join(indexed, ["_len", "_no", "_text"]).select("code", "word", "rank", F.levenshtein("code", "_c", distance).alias("_d"))
+
+
+def nearest_words(hyps: DataFrame, lexicon: DataFrame, first: int | None = None) -> DataFrame:
+    """``code, word, distance``: closest lexicon word of each distinct string ``code`` by edit distance.
+
+    ``lexicon(word, code, rank)``: equal strings win, then the smallest distance, then the lowest rank. Null and empty strings
+    have no row, an empty lexicon gives none. Exact hits leave by an equi join; the others are looked for within a
+    distance that doubles from round to round (from ``first`` on), by joins on pieces of words. A string leaves as soon as its
+    best word is within the round's distance. The word of lowest rank that is not longer than the string, or of the least length,
+    bounds the distance from the start, and is the answer where no character can be kept.
     """
     distinct = hyps.select("code").distinct()
-    first = lexicon.groupBy("code").agg(F.min_by("word", "rank").alias("word"))
-    exact = distinct.join(first, "code").select("code", "word", F.lit(0).alias("distance"))
-    rest = distinct.join(first, "code", "left_anti").where("code <> ''")
-    pieces = lexicon.groupBy(F.floor(F.col("rank") / piece).alias("_piece")).agg(
-        F.collect_list(F.struct("word", F.col("code").alias("c"), "rank")).alias("_words")
-    )
-    n_pieces = lexicon.agg(F.max("rank")).first()[0]
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(int(n_pieces or 0) // piece).cast("long"))
-    spread = rest.withColumn("_piece", F.explode(numbers))
-    met = spread_join(spread, pieces, ["_piece"], salt_by=["code"])
-    best = F.array_min(
-        F.transform("_words", lambda w: F.struct(F.levenshtein(F.col("code"), w["c"]).alias("d"), w["rank"].alias("r"), w["word"].alias("w")))
-    )
-    near = met.groupBy("code").agg(F.min(best).alias("_b")).select("code", F.col("_b.w").alias("word"), F.col("_b.d").alias("distance"))
-    return exact.unionByName(near)
+    known = lexicon.where("code is not null").groupBy("code").agg(F.min("rank").alias("rank"), F.min_by("word", "rank").alias("word"))
+    exact = distinct.join(known, "code").select("code", "word", F.lit(0).alias("distance"))
+    words = known.select("word", "rank", F.col("code").alias("_c"), F.length("code").alias("_len"))
+    # One row per length of a word.
+    table = sorted(words.groupBy("_len").agg(F.count(F.lit(1)), F.min(F.struct("rank", "word", "_c"))).collect())
+    if not table:
+        return exact
+    sizes = {n: count for n, count, _ in table}
+    lowest = [(n, min(row for m, _, row in table if m <= n)) for n in sizes]
+    bounds = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r.rank).alias("rank"), F.lit(r.word).alias("word"), F.lit(r._c).alias("c")) for n, r in lowest])
+    limit = F.greatest(F.length("code"), F.lit(min(sizes)))
+    rest = distinct.join(known, "code", "left_anti").where("code <> ''")
+    rest = rest.withColumn("_a", F.element_at(F.filter(bounds, lambda b: b["n"] <= limit), -1))
+    best = F.struct(F.levenshtein("code", "_a.c").alias("d"), F.col("_a.rank").alias("rank"), F.col("_a.word").alias("word"))
+    waiting = cut_lineage(rest.select("code", best.alias("_best")))
+    distance, total = first or 2, sum(sizes.values())
+    while first is None and distance < 16 and total <= 4 * (distance + 1) ** 2:  # so few words are met at once
+        distance *= 2
+    out = exact
+    while True:
+        near = _met(waiting, words, distance, sizes).where("_d >= 0")
+        near = near.groupBy("code").agg(F.min(F.struct(F.col("_d").alias("d"), "rank", "word")).alias("_near"))
+        found = waiting.join(near, "code", "left").select("code", F.least("_best", F.coalesce("_near", "_best")).alias("_best"))
+        found = cut_lineage(found)
+        done = found.where(F.col("_best.d") <= distance)
+        out = out.unionByName(done.select("code", F.col("_best.word").alias("word"), F.col("_best.d").alias("distance")))
+        waiting = found.where(F.col("_best.d") > distance)
+        if not waiting.limit(1).count():
+            return out
+        distance *= 2
