@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from subvox.functions.design import LinearFilter, band_filter, low_filter
@@ -95,13 +97,43 @@ def window_frames(fs: float, window_ms: float, step_ms: float) -> tuple[int, int
     return max(2, int(round(fs * window_ms / 1000))), max(1, int(round(fs * step_ms / 1000)))
 
 
+#: Frames from which a pane is worth its own moments.
+PANE = 32
+
+
+def pane_moments(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter (sum of outer products of what differs from the mean) of each full pane of ``size`` frames."""
+    panes = x[: len(x) // size * size].reshape(-1, size, x.shape[1])
+    means = panes.mean(axis=1)
+    level = panes - means[:, None]
+    return means, np.swapaxes(level, 1, 2) @ level
+
+
+def merged_scatter(means: np.ndarray, scatter: np.ndarray | None, size: int, count: int, step: int) -> np.ndarray:
+    """Scatter of ``count`` panes in a row, every ``step`` panes: their scatters (none for panes of one frame) and that of their means."""
+    runs = np.lib.stride_tricks.sliding_window_view(means, count, axis=0)[::step]
+    level = runs - runs.mean(axis=2, keepdims=True)
+    out = level @ np.swapaxes(level, 1, 2)
+    if scatter is not None:
+        out *= size
+        for i in range(count):
+            out += scatter[i : i + (len(out) - 1) * step + 1 : step]
+    return out
+
+
 def covariances(x: np.ndarray, win: int, step: int) -> np.ndarray:
-    """Sample covariance of every full window: ``(window, channel, channel)``."""
+    """Sample covariance of every full window: ``(window, channel, channel)``.
+
+    Windows are merges of panes, whose size divides window and step, so frames that windows share are multiplied once.
+    Panes of less than ``PANE`` frames cost more to merge than to multiply again: then each frame is a pane.
+    """
     if len(x) < win:
         return np.zeros((0, x.shape[1], x.shape[1]))
-    views = np.lib.stride_tricks.sliding_window_view(x, win, axis=0)[::step]
-    level = views - views.mean(axis=2, keepdims=True)
-    return level @ np.swapaxes(level, 1, 2) / max(win - 1, 1)
+    size = math.gcd(win, step)
+    if size < PANE or win == size:
+        size = 1
+    means, scatter = pane_moments(x, size) if size > 1 else (x, None)
+    return merged_scatter(means, scatter, size, win // size, step // size) / max(win - 1, 1)
 
 
 def shrink(cov: np.ndarray, eta: float) -> np.ndarray:

@@ -22,20 +22,16 @@ from subvox.plans.ordered import drop_halo, halo_window, with_halo
 
 def window_cov(events: DataFrame, win: int, step: int, keys: Sequence[str] = ("session_id", "event_id")) -> DataFrame:
     """Covariance of every full window of every event: ``(keys, frame, channels, cov)`` with
-    ``cov`` the upper triangle, row by row."""
+    ``cov`` the upper triangle, row by row. Windows are merged from moments of the panes they share."""
     keys = list(keys)
     fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                cov = k.upper(k.covariances(k.frames(row["samples"], row["channels"]), win, step))
-                if not len(cov):
-                    continue
-                yield pd.DataFrame(
-                    {**{c: [row[c]] * len(cov) for c in keys}, "frame": range(len(cov)), "channels": int(row["channels"]), "cov": list(cov)}
-                )
+            for *of, channels, samples in zip(*[pdf[c] for c in (*keys, "channels", "samples")]):
+                cov = k.upper(k.covariances(k.frames(samples, channels), win, step))
+                if len(cov):
+                    yield pd.DataFrame({**{c: [v] * len(cov) for c, v in zip(keys, of)}, "frame": range(len(cov)), "channels": int(channels), "cov": list(cov)})
 
     return events.select(*keys, "channels", "samples").mapInPandas(run, f"{fields}, frame int, channels int, cov array<double>")
 

@@ -256,3 +256,15 @@ def test_low_filter_from_zero():
     flt = low_filter(2, 5.0, FS)
     x = np.ones((4000, 1))
     assert flt.run(x, np.zeros((flt.size, 1)))[0][-1, 0] == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize(("n", "win", "step"), [(1000, 100, 50), (999, 100, 30), (64, 8, 4), (50, 7, 3), (40, 40, 10), (30, 5, 9), (20, 6, 12), (9, 10, 5), (10, 1, 1), (0, 4, 2)])
+@pytest.mark.parametrize("pane", [1, 32])
+def test_windows_from_panes(monkeypatch, n, win, step, pane):
+    """Covariances merged from panes, also far from zero, equal those of each window."""
+    monkeypatch.setattr(k, "PANE", pane)
+    x = np.random.default_rng(n).normal(size=(n, 3)).cumsum(0) + 1e6
+    got = k.covariances(x, win, step)
+    want = [np.cov(x[a : a + win].T) if win > 1 else np.zeros((3, 3)) for a in range(0, n - win + 1, step)]
+    assert got.shape == (len(want), 3, 3)
+    assert not want or np.allclose(got, want, rtol=1e-7, atol=1e-7)
