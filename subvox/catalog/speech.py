@@ -344,7 +344,27 @@ def sigma_sequences(spark, sf):
     return out.select("event_id", "frame", F.transform("sigma", lambda v: F.round(v.cast("double"), 3)).alias("sigma"))
 
 
-@query("augment_sigma")
+def _unit_sql(*parts: str) -> str:
+    """A repeatable draw from [0, 1) by copy, event and place."""
+    return f"(('0x' || substr(md5(concat_ws(':', '5', copy, '0', event_id, {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(
+    "augment_sigma",
+    f"""WITH placed AS (SELECT CAST(label AS BIGINT) AS event_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding FROM embeddings),
+events AS (SELECT event_id, count(*) AS t FROM placed GROUP BY event_id),
+copies AS (SELECT event_id, t, unnest([1, 2]) AS copy FROM events),
+times AS (SELECT *, unnest(range(1, CASE WHEN t > 4 THEN greatest(1, round_even(t * 0.08::DOUBLE, 0))::BIGINT ELSE 0 END + 1)) AS m FROM copies),
+wide AS (SELECT *, 1 + CAST(floor({_unit_sql("'w'", "m")} * greatest(1, t // 8)) AS BIGINT) AS width FROM times),
+masks AS (SELECT *, CAST(floor({_unit_sql("'s'", "m")} * greatest(1, t - width)) AS BIGINT) AS start FROM wide),
+dropped AS (SELECT DISTINCT event_id, copy, CAST(floor({_unit_sql("'f'", "m")} * 64) AS BIGINT) AS c FROM (SELECT *, unnest([1, 2, 3]) AS m FROM copies)),
+cells AS (SELECT event_id, frame, copy, unnest(range(0, 64)) AS c, unnest(embedding)::DOUBLE AS v FROM placed JOIN copies USING (event_id)),
+drawn AS (SELECT *, sqrt(-2 * ln(1 - {_unit_sql("frame", "c", "'a'")})) * cos(2 * pi() * {_unit_sql("frame", "c", "'b'")}) AS gauss FROM cells)
+SELECT event_id, CAST(frame AS BIGINT) AS frame, CAST(copy AS BIGINT) AS copy, CAST(c AS BIGINT) AS at,
+       CASE WHEN EXISTS (SELECT 1 FROM masks k WHERE k.event_id = d.event_id AND k.copy = d.copy AND d.frame >= k.start AND d.frame < k.start + k.width)
+              OR EXISTS (SELECT 1 FROM dropped f WHERE f.event_id = d.event_id AND f.copy = d.copy AND f.c = d.c)
+            THEN 0.0::DOUBLE ELSE round(CAST(CAST(v + 0.02::DOUBLE * gauss AS FLOAT) AS DOUBLE), 4) + 0.0 END AS v FROM drawn d""",
+)
 def augment_sigma(spark, sf):
     from subvox.plans.ordered import add_position
 
@@ -352,7 +372,8 @@ def augment_sigma(spark, sf):
     counted = f.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_rows"))
     placed = add_position(f.withColumnRenamed("frame", "vec_id"), ["event_id"], ["vec_id"], on=F.col("vec_id"), name="frame")
     out = spd.augment_sigma(placed.join(counted, "event_id"), copies=2, seed=5)
-    return out.select("event_id", "frame", "copy", F.transform("sigma", lambda v: F.round(v.cast("double"), 4)).alias("sigma"))
+    cells = out.select("event_id", "frame", "copy", F.posexplode("sigma").alias("at", "v"))
+    return cells.select(*[F.col(c).cast("long").alias(c) for c in ("event_id", "frame", "copy", "at")], (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"))
 
 
 @query(
