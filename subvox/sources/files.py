@@ -24,6 +24,7 @@ from subvox.functions.text import first_word, slug
 from subvox.operators.blocks import block_frames
 
 EVENT_FIELDS = "session_id string, event_id bigint, start_sample bigint, end_sample bigint, label string, trial_id bigint, word_idx int"
+PHONE_FIELDS = "session_id string, phone_idx bigint, start_sample bigint, end_sample bigint, phone string, word string"
 BLOCK_FIELDS = "session_id string, block bigint, start_sample bigint, n_frames int, channels int, samples array<float>"
 
 
@@ -136,22 +137,34 @@ def read_arrays(files: DataFrame) -> DataFrame:
     return work.repartition(F.col("path"), F.col("block")).mapInPandas(load, BLOCK_FIELDS)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """``events.csv`` of every session folder; optional columns are null where absent."""
+def _span_tables(spark: SparkSession, path: str, name: str, needs: list[str], others: list[str], fields: str, number: str) -> DataFrame:
+    """Tables of spans named ``name`` in the session folders below ``path``, their rows numbered; optional columns are null where absent."""
+    types = dict(f.split(" ") for f in fields.split(", "))
+    kinds = {c: "Int64" if types[c] != "string" else str if c in needs else "string" for c in (*needs, *others)}
+    absent = {c: ["", "nan", "NaN", "NA", "None", "null"] if kind == "Int64" else [""] for c, kind in kinds.items()}  # "null" is a word like others
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s, text in zip(pdf["session_id"], pdf["text"]):
-                rows = pd.read_csv(io.StringIO(text), comment="#")
-                missing = {"start_sample", "end_sample", "label"} - set(rows.columns)
+                rows = pd.read_csv(io.StringIO(text), comment="#", keep_default_na=False, na_values=absent)
+                missing = set(needs) - set(rows.columns)
                 if missing:
-                    raise ValueError(f"events of {s} lack {sorted(missing)}")
-                rows = rows.reindex(columns=["start_sample", "end_sample", "label", "trial_id", "word_idx"])
-                rows = rows.astype({"label": str, "trial_id": "Int64", "word_idx": "Int64"})
-                yield rows.assign(session_id=s, event_id=range(len(rows)))[[f.split(" ")[0] for f in EVENT_FIELDS.split(", ")]]
+                    raise ValueError(f"{name} of {s} lacks {sorted(missing)}")
+                rows = rows.reindex(columns=[*needs, *others]).astype(kinds)
+                yield rows.assign(**{"session_id": s, number: range(len(rows))})[list(types)]
+
+    texts = _texts(spark, path, name).select(_session_of("path", path).alias("session_id"), "text")
+    return texts.mapInPandas(parse, fields)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """``events.csv`` of every session folder; optional columns are null where absent."""
+    return _span_tables(spark, path, "events.csv", ["start_sample", "end_sample", "label"], ["trial_id", "word_idx"], EVENT_FIELDS, "event_id")
+
 
-    texts = _texts(spark, path, "events.csv").select(_session_of("path", path).alias("session_id"), "text")
-    return texts.mapInPandas(parse, EVENT_FIELDS)
+def read_phones(spark: SparkSession, path: str) -> DataFrame:
+    """``phonemes.csv`` of the session folders that have one: the span of each phone and the word it is said in."""
+    return _span_tables(spark, path, "phonemes.csv", ["start_sample", "end_sample", "phone"], ["word"], PHONE_FIELDS, "phone_idx")
 
 
 def word_span(samples: int, word: Column, words: Column) -> tuple[Column, Column]:

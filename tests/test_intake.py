@@ -38,6 +38,10 @@ def test_session_folders(spark, tmp_path):
         got = np.vstack([np.reshape(r.samples, (-1, 4)) for r in blocks.where(F.col("session_id") == name).orderBy("block").collect()])
         np.testing.assert_array_equal(got, x)
     assert {(r.session_id, r.event_id, r.trial_id) for r in events.collect()} == {("a", 0, None), ("a", 1, None), ("b", 0, 3)}
+    pd.DataFrame({"start_sample": [100, 150], "end_sample": [150, 300], "phone": ["N", "OW"], "word": ["null", "null"]}).to_csv(tmp_path / "a" / "phonemes.csv", index=False)
+    pd.DataFrame({"start_sample": [5], "end_sample": [9], "phone": ["AH"]}).to_csv(tmp_path / "b" / "phonemes.csv", index=False)
+    phones = {tuple(r) for r in files.read_phones(spark, str(tmp_path)).collect()}
+    assert phones == {("a", 0, 100, 150, "N", "null"), ("a", 1, 150, 300, "OW", "null"), ("b", 0, 5, 9, "AH", None)}
     files.write_tables(blocks, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == blocks.count()
 
