@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -49,16 +51,20 @@ def spd_regularize(df: DataFrame, eta: float = SPD_ETA, cov: str = "cov") -> Dat
     return df.withColumn(cov, value).drop("_p", "_t")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _log_upper(cov: pd.Series, eta: pd.Series) -> pd.Series:
-    out: list = [None] * len(cov)
-    sizes = cov.map(len)
-    for size in sizes.unique():
-        at = np.flatnonzero(sizes == size)
-        logs = k.log_spd(k.from_upper(np.vstack(cov.iloc[at])), float(eta.iloc[0]))
-        for i, row in zip(at, k.upper(logs)):
-            out[i] = row
-    return pd.Series(out)
+#: Matrices a task unfolds at once; what it holds beside its Arrow batch grows with this, not with the batch.
+SLICE = 64
+
+
+def _rows(lists: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as views of its values."""
+    if lists.null_count:
+        raise ValueError("a matrix is null")
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), np.concatenate(rows))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -72,7 +78,19 @@ def log_euclidean_mean(covs: DataFrame, keys: Sequence[str], eta: float = SPD_ET
     The mean of arrays is a mergeable aggregate, so a key of any size is reduced map-side.
     Matrices are shrunk once more before the logarithm.
     """
-    logs = covs.select(*keys, array_to_vector(_log_upper("cov", F.lit(float(eta)))).alias("_l"))
+    keys = list(keys)
+    fields = ", ".join(f"{c} {covs.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                logs: list = []
+                for _, same in groupby(_rows(part["cov"]), len):
+                    logs += list(k.upper(k.log_spd(k.from_upper(np.vstack(list(same))), eta)))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keys), _lists(logs)], [*keys, "_l"])
+
+    logs = covs.select(*keys, "cov").mapInArrow(run, f"{fields}, _l array<double>").select(*keys, array_to_vector("_l").alias("_l"))
     return logs.groupBy(*keys).agg(Summarizer.mean(F.col("_l")).alias("_m"), F.count(F.lit(1)).alias("n_matrices")).select(
         *keys, vector_to_array("_m").alias("mean_log"), "n_matrices"
     )
@@ -91,12 +109,16 @@ def project_sigma(covs: DataFrame, basis: DataFrame, keys: Sequence[str], mode:
     """``Q' E Q`` of each matrix: log diagonal, raw upper triangle or full log matrix."""
 
     @F.pandas_udf("array<float>")
-    def sigma(cov: pd.Series, q: pd.Series) -> pd.Series:
-        out = []
-        for v, b in zip(cov, q):
-            c = int(np.sqrt(len(b)))
-            out.append(k.project(k.from_upper(np.asarray(v))[None], np.reshape(b, (c, c)), mode)[0].astype(np.float32))
-        return pd.Series(out)
+    def sigma(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for covs, bases in batches:
+            for at in range(0, len(covs), SLICE):
+                out: list = []
+                pairs = zip(covs.iloc[at : at + SLICE], bases.iloc[at : at + SLICE])
+                for flat, same in groupby(pairs, lambda p: np.asarray(p[1]).tobytes()):
+                    q = np.frombuffer(flat)
+                    c = int(np.sqrt(len(q)))
+                    out += list(k.project(k.from_upper(np.vstack([v for v, _ in same])), q.reshape(c, c), mode).astype(np.float32))
+                yield pd.Series(out)
 
     joined = spread_join(covs, basis.select(*keys, "q"), keys, salt_by=["frame"])
     return joined.withColumn("sigma", sigma("cov", "q")).drop("q", "cov")
