@@ -6,7 +6,7 @@ import struct
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from subvox.catalog.decoding import predictions
@@ -32,16 +32,31 @@ def packed(spark, sf):
     )
 
     def pack(batches):
-        for pdf in batches:
-            out = []
-            for index, frames, nation in zip(pdf["sample_index"], pdf["frames"], pdf["s_nationkey"]):
-                counts = (np.arange(frames * 2) * 7 + index) % 30_000 - 15_000
-                head = struct.pack("<2sBBHHIQ", b"OA" if index % 11 else b"XX", 1 if index % 7 else 2, 2, frames, 0, index, index)
-                body = counts.astype("<i2").tobytes()
-                out.append(head + (body[:-1] if nation == 3 else body))
-            yield pd.DataFrame({"device_id": pdf["device_id"], "arrival_no": pdf["arrival_no"], "payload": out})
-
-    return lines.select("device_id", "arrival_no", "sample_index", "frames", "s_nationkey").mapInPandas(
+        for batch in batches:
+            if batch["sample_index"].null_count or batch["frames"].null_count:
+                raise ValueError("a packet without sample index or number of frames")
+            index, frames = batch["sample_index"].to_numpy(), batch["frames"].to_numpy()
+            if len(index) and (index.min() < 0 or index.max() >= 2**32 or frames.min() < 0 or frames.max() >= 2**16):
+                raise ValueError("sample index or number of frames does not fit the header")
+            head = np.zeros(len(index), pk.HEADER)
+            head["magic"] = np.where(index % 11, int.from_bytes(b"OA", "little"), int.from_bytes(b"XX", "little"))
+            head["version"] = np.where(index % 7, 1, 2)
+            head["channels"], head["n_frames"], head["seq"], head["sample_index"] = 2, frames, index, index
+            n = frames * 2
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            words = pk.HEADER.itemsize // 2
+            ends = np.cumsum(n + words)
+            at = (ends - n - words)[:, None] + np.arange(words)
+            data, body = np.zeros(int((n + words).sum()), "<u2"), np.ones(int((n + words).sum()), bool)
+            data[at], body[at] = head.view("<u2").reshape(-1, words), False
+            data[body] = ((k * 7 + np.repeat(index, n)) % 30_000 - 15_000).astype("<i2").view("<u2")
+            cut = batch["s_nationkey"].fill_null(-1).to_numpy(zero_copy_only=False) == 3
+            payload = np.delete(data.view(np.uint8), 2 * ends[cut] - 1)
+            bounds = np.concatenate([[0], 2 * ends - np.cumsum(cut)]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(bounds), pa.py_buffer(payload)])
+            yield pa.RecordBatch.from_arrays([batch["device_id"], batch["arrival_no"], binary], ["device_id", "arrival_no", "payload"])
+
+    return lines.select("device_id", "arrival_no", "sample_index", "frames", "s_nationkey").mapInArrow(
         pack, "device_id bigint, arrival_no bigint, payload binary"
     )
 
@@ -59,9 +74,15 @@ FROM v LEFT JOIN c ON c.device_id = v.device_id AND c.arrival_no = v.arrival_no"
 )
 def decode_packets(spark, sf):
     d = pk.decode_packets(packed(spark, sf))
-    counts = F.transform("samples", lambda v: F.bround(v.cast("double") / F.lit(microvolts_per_count())).cast("long"))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, v: s + v)
-    return d.select("device_id", "arrival_no", F.col("n_frames").cast("long").alias("n_frames"), "sample_index", total.alias("total"), "reject")
+
+    @F.arrow_udf("bigint")
+    def total(samples: pa.Array) -> pa.Array:
+        """Sum of the counts of each packet."""
+        counts = np.rint(samples.values.to_numpy().astype(np.float64) / microvolts_per_count()).astype(np.int64)
+        upto, ends = np.append(0, np.cumsum(counts)), samples.offsets.to_numpy()
+        return pa.array(upto[ends[1:]] - upto[ends[:-1]], mask=samples.is_null().to_numpy(zero_copy_only=False))
+
+    return d.select("device_id", "arrival_no", F.col("n_frames").cast("long").alias("n_frames"), "sample_index", total("samples").alias("total"), "reject")
 
 
 @query(
@@ -125,9 +146,12 @@ def live_run(spark, df, key: str, pos: str, build, slices: int = 3):
     """Plays a table to a live operator in ``slices`` arrivals and reads what it wrote.
 
     Rows are staged in the shared folder in order of ``pos``; each arrival holds a key's
-    rows in one file, so micro-batches never break the order of a key.
+    rows in one file, so micro-batches never break the order of a key. The table is worked out
+    once, not for each arrival.
     """
     folder = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/all")
+    df = spark.read.schema(df.schema).parquet(f"{folder}/all")
     top = df.agg(F.max(pos).alias("m")).first()["m"]
     if top is None:
         return build(df)
