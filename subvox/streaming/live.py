@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +33,18 @@ def _number(v) -> float | None:
 def stream_gaps(packets: DataFrame) -> DataFrame:
     """Samples lost before each packet and so far, per device in arrival order."""
 
-    def step(state, row):
+    def feed(state, rows):
         due, total = state
-        lost = max(0, int(row.sample_index) - due) if due is not None else 0
-        total += lost
-        return (int(row.sample_index) + int(row.frames), total), [(row.device_id, row.arrival_no, lost, total)]
+        first = rows["sample_index"].to_numpy(np.int64)
+        after = first + rows["frames"].to_numpy(np.int64)
+        lost = np.maximum(0, first - np.append(first[0] if due is None else due, after[:-1]))
+        totals = total + np.cumsum(lost)
+        out = pd.DataFrame({"device_id": rows["device_id"].to_numpy(), "arrival_no": rows["arrival_no"].to_numpy(), "lost": lost, "lost_total": totals})
+        return (int(after[-1]), int(totals[-1])), out
 
     schema = f"device_id {_type(packets, 'device_id')}, arrival_no bigint, lost bigint, lost_total bigint"
     cols = packets.select("device_id", "arrival_no", "sample_index", "frames")
-    return keyed(cols, ["device_id"], ["arrival_no"], schema, lambda: (None, 0), step)
+    return keyed_frames(cols, ["device_id"], ["arrival_no"], schema, lambda: (None, 0), feed)
 
 
 class Arrivals:
