@@ -40,7 +40,7 @@ g AS (SELECT trial_id, CASE WHEN rn <= {VAL_SQL.format(f="0.2")} THEN 'val' ELSE
 SELECT trial_id, word_idx, label, split FROM px_trials JOIN g USING (trial_id)""",
 )
 def split_grouped(spark, sf):
-    s = sp.split_grouped(px.px_trials(spark, sf), ["trial_id"], 0.2, 7)
+    s = sp.split_grouped(cut_lineage(px.px_trials(spark, sf)), ["trial_id"], 0.2, 7)
     return s.select("trial_id", "word_idx", "label", "split")
 
 

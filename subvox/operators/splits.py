@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from subvox.functions.fixed import SIM_TRIALS, TEST_TRIALS, TRAIN_TRIALS, VAL_TRIALS
 from subvox.plans.draws import draw, quota_cut
 from subvox.plans.joins import spread_join
+from subvox.plans.ordered import dealt
 
 
 def _val_quota(n: Column, fraction: float) -> Column:
@@ -40,6 +41,7 @@ def dominant_labels(events: DataFrame, group: Sequence[str], label: str = "label
 
 def split_grouped(events: DataFrame, group: Sequence[str], fraction: float, seed: int, label: str = "label") -> DataFrame:
     """Stratified split of whole groups by their dominant label."""
+    events = dealt(events, group, events.count())
     groups = split_stratified(dominant_labels(events, group, label), group, fraction, seed, label)
     return events.join(groups.select(*group, "split"), list(group))
 

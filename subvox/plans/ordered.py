@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Rows one window task should hold; below this a plain window is used.
 ROWS_PER_BUCKET = 2_000_000
+#: Rows of a table that one task should sort.
+ROWS_PER_TASK = 500_000
 #: Most cut points asked for at once (their number, not the data, reaches the driver).
 MAX_BUCKETS = 4096
 
@@ -50,6 +52,13 @@ def bucketed(df: DataFrame, on: Column, cuts: Sequence[float]) -> DataFrame:
     return tool.transform(df.withColumn("_on", on.cast("double"))).drop("_on")
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` by hash of ``keys`` in partitions whose number grows with ``rows``, its number of rows, so that their size does
+    not; as it is while the session's number of shuffle partitions is enough."""
+    n = -(-rows // rows_per_task)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def add_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,7 +88,8 @@ def add_position(
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     return (
-        parts.join(before, [*keys, BUCKET])
+        dealt(parts, [*keys, BUCKET], (len(cuts) + 1) * rows_per_bucket)
+        .join(before, [*keys, BUCKET])
         .withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_before", BUCKET)
     )
