@@ -6,7 +6,8 @@ and digits. A run of coefficient ``t`` has ``2 * |both| - t * |run| >= t * |temp
 the largest such sum, found in one pass over short chunks of words; they are then measured exactly. A unit has
 its best template only. Two size bounds prune: a unit whose number of distinct bigrams lies
 outside ``[t / (2 - t), (2 - t) / t]`` times a template's can't reach a coefficient of ``t`` with it, and a text
-without at least ``t / (2 - t)`` of a template's bigrams holds no such run. If the templates are few, a text without
+without at least ``t / (2 - t)`` of a template's bigrams holds no such unit or run: units and runs are compared with the
+other templates only, and a text without any isn't cut. If the templates are few, a text without
 any of their rarest bigrams' words is left out first (a match lacks at most a fixed part of the template's
 bigrams, so that of one more than that many at least one must occur).
 """
@@ -99,8 +100,8 @@ def compiled(templates: dict[str, list[str]], t: float) -> tuple[list[tuple[str,
 
 def _pairs(unit: Column) -> Column:
     """Bigrams of a normalised unit (words with one blank between), in order."""
-    made = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.element_at(F.transform(F.array(F.split(unit, " ")), made), 1)
+    # At the start of a word only, so that a text that is one long word is read once.
+    return F.regexp_extract_all(unit, F.lit(r"\b(?=([a-z0-9]++ [a-z0-9]++))[a-z0-9]++"), F.lit(1))
 
 
 def _bigrams(unit: Column) -> Column:
@@ -121,7 +122,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates:
     # The bigrams of a template are one literal: thousands of them would be slow to plan.
     struct = lambda i, name, b: F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), F.split(F.lit("|".join(b)), "[|]").alias("grams"))
     numbered = [(i, name, b) for i, (name, b) in enumerate(items)]
-    table = F.array(*[struct(*x) for x in numbered])
     brief, bulky = ([x for x in numbered if (len(x[2]) <= SHORT) == side] for side in (True, False))
     few = F.split(F.lit("|".join(sorted({g for _, _, b in brief for g in b}))), "[|]")
 
@@ -136,12 +136,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates:
     dice = lambda b, t: F.lit(2.0) * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + F.size(t["grams"]))
     fits = lambda b, t: (F.size(b) >= F.size(t["grams"]) * low - 1e-9) & (F.size(b) <= F.size(t["grams"]) * high + 1e-9)
     best_of = lambda ms: F.slice(F.array_sort(ms, lambda x, y: F.when(x["dice"] != y["dice"], F.when(x["dice"] > y["dice"], -1).otherwise(1)).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(x["id"] - y["id"])), 1, 1)
-    in_units = lambda whole, every: F.flatten(  # noqa: E731  whole: the normalised text, every: its distinct bigrams
+    in_units = lambda whole, every, near: F.flatten(  # noqa: E731  whole: the normalised text, every: its distinct bigrams, near: templates it may hold
         F.transform(
             F.filter(F.concat(F.transform(some(whole), _bigrams), F.array(every)), lambda b: (F.size(b) >= min(sizes) * low - 1e-9) & (F.size(b) <= max(sizes) * high + 1e-9)),
             lambda b: best_of(
                 F.filter(
-                    F.transform(F.filter(table, lambda t: fits(b, t)), lambda t: F.struct(dice(b, t).alias("dice"), t["name"].alias("name"), t["id"].alias("id"))),
+                    F.transform(F.filter(near, lambda t: fits(b, t)), lambda t: F.struct(dice(b, t).alias("dice"), t["name"].alias("name"), t["id"].alias("id"))),
                     lambda m: m["dice"] >= threshold - 1e-12,
                 )
             ),
@@ -193,15 +193,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates:
         )
         return F.filter(measured, lambda m: m["dice"] >= threshold - 1e-12)
 
-    def sought(pairs: Column, group: list, known: Column) -> Column:
-        """Runs that match a template of ``group``, most of whose bigrams are among ``known``."""
-        near = F.filter(F.array(*[struct(*x) for x in group]), lambda t: (F.size(known) >= F.size(t["grams"]) * low - 1e-9))
-        near = F.filter(near, lambda t: F.size(F.array_intersect(known, t["grams"])) >= F.size(t["grams"]) * low - 1e-9)
-        return F.flatten(F.transform(near, lambda t: runs(pairs, t)))
+    def among(known: Column, group: list) -> Column:
+        """Templates of ``group`` of which ``known`` has as many bigrams as a unit or run that matches must have."""
+        near = F.filter(F.array(*[struct(*x) for x in group]), lambda t: F.size(known) >= F.size(t["grams"]) * low - 1e-6)
+        return F.filter(near, lambda t: F.size(F.array_intersect(known, t["grams"])) >= F.size(t["grams"]) * low - 1e-6)
 
-    def all_runs(pairs: Column, every: Column) -> Column:
-        parts = [bind(F.array_intersect(every, few), lambda known: sought(pairs, brief, known))] if brief else []
-        parts += [sought(pairs, bulky, every)] if bulky else []
+    def held(pairs: Column) -> Column:
+        """Templates that a unit or run of the text may match."""
+        parts = [bind(F.array_intersect(pairs, few), lambda known: among(known, brief))] if brief else []
+        parts += [among(pairs, bulky)] if bulky else []
         return F.concat(*parts)
 
     def apart(ms: Column) -> Column:
@@ -210,11 +210,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates:
         left = F.filter(ms, lambda m: ~F.exists(ms, lambda o: better(m, o)))
         return F.transform(left, lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name"), m["id"].alias("id")))
 
-    def matches(whole: Column, pairs: Column, every: Column) -> Column:
-        loose = F.when(F.size(pairs) > 0, bind(all_runs(pairs, every), apart)).otherwise(F.array().cast("array<struct<dice:double,name:string,id:int>>"))
-        return bind(in_units(whole, every), lambda units: F.concat(units, F.array_except(loose, units)))
+    def matches(whole: Column, pairs: Column, near: Column) -> Column:
+        loose = bind(F.flatten(F.transform(near, lambda t: runs(pairs, t))), apart)
+        return bind(bind(F.array_distinct(pairs), lambda every: in_units(whole, every, near)), lambda units: F.concat(units, F.array_except(loose, units)))
 
-    found = bind(normal(lower), lambda whole: bind(_pairs(whole), lambda pairs: bind(F.array_distinct(pairs), lambda every: matches(whole, pairs, every))))
+    # Most texts hold no template: these are neither cut into units nor searched for runs.
+    found = bind(normal(lower), lambda whole: bind(_pairs(whole), lambda pairs: bind(held(pairs), lambda near: F.when((F.size(pairs) > 0) & (F.size(near) > 0), matches(whole, pairs, near)))))
     found = F.transform(found, lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name")))
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).select("_key", F.when(may, found).alias("_found"))
     rows = rows.withColumn("_found", F.coalesce("_found", F.array().cast("array<struct<dice:double,name:string>>")))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from subvox.llm import langid, licenses, packing, pii, syncmers, tokens
 from subvox.llm.queries import tokenizer_path
@@ -127,6 +128,38 @@ def test_licenses_as_they_are_shipped(spark):
     assert got[900].licenses == "ISC,MIT"
 
 
+def test_licenses_cut_only_texts_that_may_hold_one(spark, monkeypatch):
+    rng = random.Random(9)
+    plain = [(i, "\n\n".join(prose(rng, 40, ["the", "of", "and", "license", "ab", "software"]) for _ in range(30)), None, None) for i in range(5)]
+    monkeypatch.setattr(licenses, "_bigrams", lambda unit: F.array(F.raise_error(unit).cast("string")))
+    assert {(r.licenses, r.best_license, r.n_matches) for r in licenses.scan(docs_of(spark, plain)).collect()} == {("", None, 0)}
+
+
+def test_licenses_of_damaged_templates(spark):
+    rng, rows = random.Random(10), []
+    items, _ = licenses.compiled(licenses.TEMPLATES, licenses.THRESHOLD)
+    for i, (_, text) in enumerate((name, x) for name, texts in licenses.TEMPLATES.items() for x in texts for _ in range(3)):
+        kept = [w for w in text.split() if rng.random() > 0.1] or ["a"]
+        rows.append((i, prose(rng, 30, ["ab", "zu"]) + "\n" + " ".join(kept) + "\n" + prose(rng, 30, ["ab", "zu"]), None, None))
+    got, reached = {r.doc_id: r for r in licenses.scan(docs_of(spark, rows)).collect()}, 0
+    for key, text, *_ in rows:
+        for unit in (*text.lower().split("\n"), text.lower()):
+            mine = set(licenses.bigrams(unit))
+            best = max((2 * len(mine & set(grams)) / (len(mine) + len(grams)), name) for name, grams in items)
+            if best[0] >= licenses.THRESHOLD:
+                reached += 1
+                assert best[1] in got[key].licenses.split(",") and got[key].best_dice >= round(best[0], 6), (key, best, got[key])
+    assert reached > 10
+
+
+def test_licenses_pairs_of_words(spark):
+    texts = ["", "a", "a b", "a b a b", "ab1 2 c", "x" * 300_000, "x" * 300_000 + " y", " ".join("abc" * 50_000)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", licenses._pairs(F.col("x")).alias("p")).collect()
+    for r in got:
+        w = texts[r.i].split()
+        assert r.p == [f"{a} {b}" for a, b in zip(w, w[1:])], r.i
+
+
 def test_language(spark):
     rng, rows = random.Random(5), []
     kinds = {"aa": ["the", "ing", "er", "on"], "bb": ["sch", "ein", "keit", "ü"], "cc": ["ción", "ado", "que", "ñ"]}
