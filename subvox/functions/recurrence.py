@@ -95,7 +95,7 @@ class Clamped:
         return min(self.high, max(self.low, self.scale * x + self.shift))
 
     def then(self, scale: float, shift: float, low: float, high: float) -> Clamped:
-        bound = lambda x: min(high, max(low, scale * x + shift))
+        bound = lambda x: min(high, max(low, (scale * x if scale else 0.0) + shift))  # noqa: E731  0 times an open bound is 0
         return Clamped(scale * self.scale, scale * self.shift + shift, bound(self.low), bound(self.high))
 
 

@@ -33,6 +33,11 @@ def test_clamped_steps_compose(steps, x):
     assert abs(made(x) - want) < 1e-6
 
 
+def test_clamped_step_without_scale():
+    assert Clamped().then(0.0, 1.0, 0.0, 1.0)(5.0) == 1.0
+    assert Clamped().then(2.0, 1.0, 0.0, 4.0).then(0.0, 3.0, 0.0, 5.0)(7.0) == 3.0
+
+
 def walked(t, names, gap, last):
     for name, now in zip(names, t):
         if name != last[0] or now - last[1] >= gap:
