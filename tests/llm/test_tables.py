@@ -8,9 +8,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from subvox.llm import images, minhash, mixing, pages
+import slow_images
 import slow_pages
 from test_texts import docs_of, odd, prose  # noqa: F401  (fixture)
 
@@ -264,6 +266,70 @@ def test_image_turns():
     assert mine and near >= 0.8 * len(mine)
 
 
+def pictures():
+    """Smooth pictures of two sizes, flat ones, and noisy copies and quarter turns of some."""
+    rng = np.random.default_rng(6)
+    base = [images.vector_image(rng.normal(size=64), 64 if i % 2 else 50) for i in range(14)]
+    noisy = [np.round(x + rng.normal(size=x.shape) * 2) for x in base[:5]]
+    return [*base, *noisy, *(np.rot90(x).copy() for x in base[:5]), np.full((64, 64), 7.0), np.zeros((20, 64)), rng.normal(size=(40, 33)) * 50]
+
+
+def corners_of(found):
+    rows = [(i, d) for i, d in enumerate(found) if d]
+    columns = [[i for i, _ in rows], [len(d) for _, d in rows], *([[c[k] for c in d] for _, d in rows] for k in range(4)), [images.pieces(np.array([c[4] for c in d])).ravel() for _, d in rows]]
+    return images.Corners(pa.table(dict(zip(("_id", "_n", "_row", "_col", "_turn", "_scale", "_keys"), columns))))
+
+
+def test_stacks_of_images_have_the_corners_of_each_image(spark):
+    shown, shapes = pictures(), {}
+    for x in shown:
+        shapes.setdefault(x.shape, []).append(x)
+    for stack in shapes.values():
+        of, *values, bits = images.describe_all(np.stack(stack))
+        for i, x in enumerate(stack):
+            want = slow_images.describe(x)
+            assert np.array_equal(bits[of == i], np.array([c[4] for c in want]).reshape(-1, images.TESTS))
+            assert all(np.allclose(v[of == i], [c[k] for c in want], rtol=0, atol=1e-9) for k, v in enumerate(values))
+    frame = spark.createDataFrame([(i, [float(len(x)), *x.ravel().tolist()]) for i, x in enumerate(shown)], "_id long, _data array<double>").coalesce(1)
+    got = {r["_id"]: r for r in images.described(frame, lambda d: np.array(d[1:]).reshape(int(d[0]), -1)).collect()}
+    assert {i: len(images.describe(x)) for i, x in enumerate(shown) if images.describe(x)} == {i: r["_n"] for i, r in got.items()}
+    assert all(r["_row"] == [c[0] for c in images.describe(shown[i])] and len(r["_keys"]) == images.TABLES * r["_n"] for i, r in got.items())
+
+
+def test_image_votes_are_those_of_all_pairs_of_corners(spark, monkeypatch):
+    shown = pictures()
+    index, asked = [images.describe(x) for x in shown], [images.describe(images.cropped(x)) for x in shown]
+    corners, tables = corners_of(index), images.HammingTables(corners_of(asked))
+    pairs = {(q, i): slow_images.near(asked[q], index[i]) for q in range(len(asked)) for i in range(len(index))}
+    want = {k: n for k, (_, matches) in pairs.items() if (n := slow_images.inliers(matches))}
+    assert len(want) > len(tables.corners.ids) and sum((q, q) in want for q in range(19)) >= 15
+    n = len(corners.ids)
+    for candidates, counters, together in ((1 << 20, 1 << 17, n), (1 << 20, 1 << 17, 5), (40, 1, 7), (1, 1 << 17, n)):
+        monkeypatch.setattr(images, "CANDIDATES", candidates)
+        monkeypatch.setattr(images, "COUNTERS", counters)
+        found = [tables.votes(corners, k, min(k + together, n)) for k in range(0, n, together)]
+        assert {(r.query, r.image): r.inliers for part in found for r in part.itertuples()} == want
+
+
+def test_few_pairs_that_share_a_piece_are_compared():
+    """Pictures that have nothing in common: most such pairs are alone with their turn and zoom."""
+    rng = np.random.default_rng(9)
+    found = [images.describe(images.vector_image(rng.normal(size=64))) for _ in range(30)]
+    corners = corners_of(found)
+    met = sum(slow_images.near(a, b)[0] for i, a in enumerate(found) for j, b in enumerate(found) if i != j)
+    compared = sum((corners.of[other] != corners.of[mine]).sum() for other, mine, *_ in images.HammingTables(corners).candidates(corners, 0, 30))
+    assert met > 5000 and 3 * compared < met
+
+
+def test_blocks_of_searched_images_find_what_one_block_does(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(30)], "_id long, _data array<double>")
+    rows = images.described(frame, images.vector_image)
+    one = sorted(images.matched_images(rows, rows).collect())
+    monkeypatch.setattr(images, "BLOCK_CORNERS", 60)
+    assert sorted(images.matched_images(rows, rows).collect()) == one and len(one) >= 30
+
+
 def test_pipeline(spark, tmp_path, odd):  # noqa: F811
     import corpus_pipeline as cp
 
